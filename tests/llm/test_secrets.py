@@ -1,0 +1,54 @@
+import hashlib
+import random
+import re
+
+from lodestone.llm import secrets
+from tests.llm.helpers import edges, empty, table
+
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    spans = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+
+
+def compare(docs):
+    got = secrets.secrets(docs).collect()
+    want = sorted(((r["doc_id"], hashlib.sha256(base(r["text"] or "").encode()).hexdigest()) for r in docs.select("doc_id", "text").collect()), key=repr)
+    assert sorted(((r["doc_id"], r["base_sha256"]) for r in got), key=repr) == want
+    return got
+
+
+def test_base_spans_match_brute_force(spark):
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in compare(table(spark, sf="sf0.01"))) > 10
+
+
+def test_edges(spark):
+    compare(edges(spark))
+    assert secrets.secrets(empty(spark)).count() == 0
+
+
+def test_random_near_matches():
+    parts = ["password", "PASSWD", "seCret", "token", "api_key", "apikey", "API_KEY", "AKIA", "akia", "=", ":", " ", '"', "'", "abcdef012345", "ABCDEF0123456789", "-", "é", "K", "İ", "\n", "tpassword=", "toKen=abcdefghijklmnop"]
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert ",".join(f"{k}:{s}:{e}" for k, s, e in secrets.scan(text) if k in secrets.BASE) == base(text), repr(text)
+
+
+def test_checksums_decide():
+    body = "".join(random.Random(1).choice(secrets._BASE62) for _ in range(30))
+    import zlib
+
+    n, tail = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        tail = secrets._BASE62[d] + tail
+    good, bad = f"ghp_{body}{tail}", f"ghp_{body}{tail[:-1]}{'A' if tail[-1] != 'A' else 'B'}"
+    assert [x[0] for x in secrets.scan(f"x {good} y")] == ["github"]
+    assert secrets.scan(f"x {bad} y") == []
+    assert [x[0] for x in secrets.scan("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc_-1")] == ["jwt"]
+    assert secrets.scan("eyJxxxxxx.eyJzdWIiOiIxIn0.abc_-1") == []
