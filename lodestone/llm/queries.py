@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import htmlmain, licenses, lsa, mixing, quality, secrets, simhash, tokens, toxicity
+from lodestone.llm import htmlmain, kneser_ney, licenses, lsa, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files)}
+    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_lm_scores, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
