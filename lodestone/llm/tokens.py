@@ -14,6 +14,7 @@ rows are all kept, in order of the text's hash; an empty table gives no shards;
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -78,6 +79,12 @@ class Encoder:
         return [b"".join(map(known.__getitem__, parts)) + self.end for parts in cut]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(vocabulary: str, dtype: str, end: int | None) -> Encoder:
+    """One for all tasks of a worker, so that what it remembers outlives a task."""
+    return Encoder(vocabulary, dtype, end)
+
+
 def _store(folder: str):
     """A file system and a path that tasks can write to, whatever the shared folder's scheme."""
     from pyarrow import fs
@@ -86,7 +93,7 @@ def _store(folder: str):
 
 
 def _write_shard(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str, dtype: str, end: int | None) -> Iterator[pd.DataFrame]:
-    encoder, files, name = Encoder(vocabulary, dtype, end), None, None
+    encoder, files, name = _encoder(vocabulary, dtype, end), None, None
     shard, n_null, lengths, docs = None, 0, [], []
     for pdf in batches:
         for at in range(0, len(pdf), 500):
