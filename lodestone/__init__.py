@@ -1,0 +1 @@
+"""Grounded analytics over tables and a small governed document corpus, on PySpark."""

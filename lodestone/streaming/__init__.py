@@ -1,0 +1 @@
+"""Nothing streams here: every source of this library is a bounded table or document collection."""
