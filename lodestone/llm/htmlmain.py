@@ -45,7 +45,8 @@ _BAD_WORDS = frozenset(
     "recommended recommendations comment comments commentlist respond reply replies disqus discussion pagination pager toolbar search searchform copyright legal disclaimer skip hidden contentinfo complementary form dialog".split()
 )
 _COMMENT = re.compile(r"(?:^|\s)(?:comment|comments|commentlist|respond|reply|replies|disqus|discussion)(?:[-_](?:body|list|area|item|content|thread))?(?:\s|$)", re.I)
-_GOOD = re.compile(r"(?:^|\s)(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)(?:\s|$)|(?:^|\s)(?:articlebody|main)(?:\s|$)", re.I)
+_GOOD = re.compile(r"(?:^|\s)(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)(?:\s|$)|(?:^|\s)(?:articlebody|main|content|article|post|entry|story)(?:\s|$)", re.I)
+_OF_ARTICLE = frozenset("article post entry story".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -71,7 +72,7 @@ def _kind(name: str, raw: str, in_article: bool) -> str:
     found = set(_WORD.findall(_CAMEL.sub(" ", named).lower()))
     if name in ("article", "main") or a.get("role") == "main" or a.get("itemprop", "").lower() == "articlebody" or _GOOD.search(named):
         return "bad" if _COMMENT.search(named) else "article"
-    if found & _BAD_WORDS and not (in_article and found & _BAD_WORDS <= {"header"}):
+    if found & _BAD_WORDS and not (found & _BAD_WORDS <= {"header"} and (in_article or found & _OF_ARTICLE)):
         return "bad"
     return "bad" if a.get("role") == "navigation" else ""
 

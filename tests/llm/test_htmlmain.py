@@ -29,6 +29,9 @@ def test_structure():
     <table><tr><td>a<td>b</table></article><section id="comments"><article class="comment"><p>Nice!</p></article></section></main>
     <div class="sidebar">Links</div><footer>&copy;</footer></body></html>"""
     assert htmlmain.main_text(page) == "Head & line First bold text more. Second <tag>. One Two a b"
+    page = """<body><div class="topbar">Top</div><div class="page"><div class="post-header"><h1>T</h1></div><div id="content"><h2>H</h2><p>Body.</p>
+    <div class="share-buttons">Share</div></div><ul class="comment-list"><li>Hi</li></ul><div class="notice notice-info">N</div></div></body>"""
+    assert htmlmain.main_text(page) == "T H Body."
     assert htmlmain.main_text(None) == htmlmain.main_text("") == htmlmain.main_text("<p hidden>x</p>") == ""
     assert htmlmain.main_text("plain & text") == "plain & text"
     assert htmlmain.main_text("<p>unclosed <b>tags <i>here<p>a < b > c") == "unclosed tags here a < b > c"
