@@ -268,6 +268,18 @@ def guard_verdicts(spark, d):
     return spark.createDataFrame(rows, "name string, rejected string, error string, tables string, rewrites string")
 
 
+_CHOICES = [("open", "Orders over time", "SELECT year(l_shipdate) AS y, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"), ("named", "Lines by l_shipdate", "SELECT year(l_shipdate) AS y, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"), ("single", "Orders by date", "SELECT year(o_orderdate) AS y, COUNT(*) AS n FROM orders GROUP BY 1")]
+
+
+def interpretive_choices(spark, d):
+    tables.register(spark, d, pipeline.TABLES)
+    return spark.createDataFrame([(n, ";".join(f"{c} or {o}" for c, o in sqls.open_choices(spark, s, q))) for n, q, s in _CHOICES], "name string, choices string")
+
+
+def schema_text(spark, d):
+    return spark.createDataFrame([(x,) for x in tables.rendered(spark, d, pipeline.TABLES).split("\n")], "line string")
+
+
 def answered_questions(spark, d):
     return pipeline.run(spark, d)
 
@@ -275,7 +287,7 @@ def answered_questions(spark, d):
 _TEXT = {
     f.__name__: f for f in (
         chunk_markdown, corpus_manifest, token_df, stem_tokens, bm25_topk, bm25_corpus, entity_expand, definition_expand, retrieve_chunks, quarantine_lines, date_windows, kpi_formulas, reporting_groups, policy_facts, route_labels,
-        resolved_windows, planned_constraints, jaccard_pairs, typed_answer_json, validator_failures, confidence_rubric, cell_tolerance, recall_grid, confusion, calibration, config_ranking, label_profile, row_counts, column_owners, guard_verdicts, answered_questions,
+        resolved_windows, planned_constraints, jaccard_pairs, typed_answer_json, validator_failures, confidence_rubric, cell_tolerance, recall_grid, confusion, calibration, config_ranking, label_profile, row_counts, column_owners, guard_verdicts, interpretive_choices, schema_text, answered_questions,
     )
 }
 

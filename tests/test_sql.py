@@ -79,3 +79,22 @@ def test_replies():
     assert sql.clean_sql("sql: WITH x AS (SELECT 1) SELECT * FROM x; DROP TABLE y") == "WITH x AS (SELECT 1) SELECT * FROM x"
     assert sql.repaired("SELECT a FROM OrderDetails WHERE d BETWEDIR 1 AND 2 AND n = 'BETWEDIR'", ["Order Details"], ["a", "d", "n"]) == ("SELECT a FROM `Order Details` WHERE d BETWEEN 1 AND 2 AND n = 'BETWEDIR'", ["OrderDetails -> `Order Details`", "BETWEDIR -> BETWEEN"])
     assert sql.repaired("SELECT distinctive FROM t", ["t"], ["distinctive"])[1] == []
+
+
+def test_open_choices(views):
+    joined = "SELECT year(l_shipdate) AS y, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
+    assert sql.open_choices(views, joined, "Orders by year") == [("l_shipdate", "o_orderdate")]
+    assert sql.open_choices(views, joined, "Orders by year", "use l_shipdate") == []
+    assert sql.open_choices(views, "SELECT year(o_orderdate) AS y, COUNT(*) AS n FROM orders GROUP BY 1", "Orders by year") == []
+
+
+def test_equivalence(views):
+    guard = sql.Guarded(views, timeout_s=60)
+    gold = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
+    assert sql.equivalent(guard, "SELECT o_orderstatus AS s, SUM(1) AS k FROM orders GROUP BY 1 ORDER BY 2", gold)
+    assert not sql.equivalent(guard, "SELECT o_orderstatus, COUNT(*) + 1 AS n FROM orders GROUP BY 1", gold)
+    assert not sql.equivalent(guard, "SELECT COUNT(*) FROM orders", gold)
+    assert not sql.equivalent(guard, "SELECT nothing", gold)
+    assert not sql.equivalent(sql.Guarded(views, row_limit=2), "SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders")
+    with pytest.raises(ValueError):
+        sql.equivalent(guard, gold, "SELECT nothing")
