@@ -69,9 +69,10 @@ def block_masks(n: int, distance: int) -> list[int]:
 
 
 def _blocks_for(rows: int, distance: int) -> int:
-    """As few blocks as give keys of at least log2(rows) + 8 bits."""
-    n = distance + 2
-    while 64 * (n - distance) / n < math.log2(max(rows, 2)) + 8 and n < 16:
+    """As few blocks as give keys long enough to keep chance groups small: log2(rows) + 8 bits, or + 1 beyond a distance
+    of 4, where longer keys would be too many."""
+    n, spare = distance + 2, 8 if distance <= 4 else 1
+    while 64 * (n - distance) / n < math.log2(max(rows, 2)) + spare and n < 16:
         n += 1
     return n
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import lsa, mixing, quality, simhash
+from lodestone.llm import lsa, mixing, quality
 from lodestone.llm.queries import vocabulary
 from tests.llm.helpers import edges, empty, table, words
 from tests.llm.test_simhash import brute
@@ -16,8 +16,8 @@ def test_stages_follow_each_other(spark):
     kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     first = [(d, texts[d]) for d in sorted(kept)]
-    distinct = {c for _, _, c in brute(first)}
-    bench = [set_of for set_of in table(spark, "benchmark").collect()]
+    distinct = {c for _, _, c in brute(first, 5, 6)}
+    bench = table(spark, "benchmark").collect()
     leaked = {d for d in distinct for b in bench if f" {' '.join(lsa.tokens(b['text']))} " in f" {' '.join(lsa.tokens(texts[d]))} "}
     third = docs.filter(docs.doc_id.isin([d for d in distinct - leaked]))
     taken = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mixed(third).collect()}
@@ -49,4 +49,4 @@ def test_clean_documents_stay(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, "").collect()}
     good = [r["doc_id"] for r in docs.collect() if labels.get(r["doc_id"]) == 1 and len(words(r["text"])) >= 10]
     assert sum(d in kept for d in good) >= 0.98 * len(good)
-    assert simhash.one_of_each(docs).select("doc_id").distinct().count() == len({c for _, _, c in brute([(r["doc_id"], r["text"]) for r in docs.collect()])})
+    assert corpus_pipeline.distinct(spark, docs, "").select("doc_id").distinct().count() == len({c for _, _, c in brute([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 6)})

@@ -6,17 +6,17 @@ from lodestone.llm.components import connected_components
 from tests.llm.helpers import edges, empty, lower, table, words
 
 
-def brute_print(text):
+def brute_print(text, k=4):
     w = words(lower(text))
     if not w:
         return 0
-    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or [" ".join(w)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
 
 
-def brute(docs):
-    prints = [brute_print(t) for _, t in docs]
+def brute(docs, shingle=4, distance=4):
+    prints = [brute_print(t, shingle) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -26,7 +26,7 @@ def brute(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
                 root[find(i)] = find(j)
     names = {}
     for i, (d, _) in enumerate(docs):
@@ -37,11 +37,12 @@ def brute(docs):
 
 def compare(df, **kw):
     got = sorted((tuple(r) for r in simhash.near_duplicates(df, **kw).collect()), key=repr)
-    assert got == brute([tuple(r) for r in df.select("doc_id", "text").collect()])
+    assert got == brute([tuple(r) for r in df.select("doc_id", "text").collect()], **kw)
 
 
 def test_matches_brute_force(spark):
     compare(table(spark, sf="sf0.01"))
+    compare(table(spark, sf="sf0.01"), shingle=5, distance=6)
 
 
 def test_edges(spark):
