@@ -20,22 +20,23 @@ table gives an empty result; other columns are ignored. Different words with one
 from __future__ import annotations
 
 import functools
-import uuid
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, bucket_of_id, new_path, saved, split_words
+from lodestone.llm.common import bucket_of_id, new_path, saved
 from lodestone.llm.tokens import _mapped, _store
 
 #: The end of a text as a word, and the beginning as a context; no word can have these texts or ids.
-END, BEGIN = "\n", (1 << 32) - 2
+END, BEGIN = b"\n", (1 << 32) - 2
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 1 << 16
 _FLUSH = 1_000_000
@@ -49,14 +50,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _words(text: str) -> list[str]:
-    return [*split_words(ascii_lower(text)), END]
+def _words(text: str) -> list[bytes]:
+    """Lower-case words in UTF-8 and the end. Of bytes, lower() changes A-Z and split() cuts at the six blanks, no others."""
+    found = text.encode().lower().split()
+    found.append(END)
+    return found
+
+
+def _groups(pdf: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows in groups of about so many characters, for texts may be very long."""
+    for _, some in pdf.groupby(pdf["text"].str.len().cumsum().to_numpy() // chars, sort=False):
+        yield some
+
+
+def _runs(labels: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of each run of equal labels."""
+    return iter(np.split(np.arange(len(labels)), np.flatnonzero(np.diff(labels)) + 1)) if len(labels) else iter(())
+
+
+def _by_label(labels: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of each label; small labels sort in linear time."""
+    small = len(labels) and labels.min() >= 0 and labels.max() < 1 << 16
+    order = np.argsort(labels.astype(np.uint16) if small else labels, kind="stable")
+    return (order[run] for run in _runs(labels[order]))
 
 
 class Sorted:
@@ -76,60 +98,65 @@ class Sorted:
     def __setstate__(self, index):
         self.__init__(index)
 
+    def segment(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of a bucket, mapped."""
+        file, start, n = self.index[bucket]
+        if file not in self.files:
+            self.files[file] = _mapped(file + ".key", "<u8"), _mapped(file + ".cnt", "<u4")
+        keys, counts = self.files[file]
+        return keys[start : start + n], counts[start : start + n]
+
     def find(self, buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each key."""
         ids, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        order = np.argsort(buckets, kind="stable")
-        cuts = np.flatnonzero(np.diff(buckets[order])) + 1
-        for some in np.split(order, cuts):
-            if not len(some) or int(buckets[some[0]]) not in self.index:
-                continue
+        for some in _by_label(buckets):
             b = int(buckets[some[0]])
-            file, start, n = self.index[b]
-            if file not in self.files:
-                self.files[file] = _mapped(file + ".key", "<u8"), _mapped(file + ".cnt", "<u4")
-            own, cnt = (x[start : start + n] for x in self.files[file])
-            at = np.minimum(np.searchsorted(own, keys[some]), n - 1)
-            hit = own[at] == keys[some]
-            ids[some[hit]] = self.base[b] + at[hit]
-            counts[some[hit]] = cnt[at[hit]]
+            if b in self.index:
+                own, cnt = self.segment(b)
+                asked = keys[some]
+                at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+                hit = own[at] == asked
+                ids[some[hit]] = self.base[b] + at[hit]
+                counts[some[hit]] = cnt[at[hit]]
         return ids, counts
 
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts by id; ids must be sorted."""
+        buckets = np.array(sorted(self.base))
+        bases = np.array([self.base[b] for b in buckets])
+        of, out = np.searchsorted(bases, ids, "right") - 1, np.zeros(len(ids), np.int64)
+        for run in _runs(of):
+            b = int(buckets[of[run[0]]])
+            out[run] = self.segment(b)[1][ids[run] - self.base[b]]
+        return out
 
-def _write_sorted(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, str, int]]:
-    """Sorted rows (bucket, key, n) to files; yields (bucket, keys, counts, file, start) of each bucket, counts of equal keys added up."""
-    store, path = _store(folder)
-    name, out, at = f"/{uuid.uuid4().hex}", None, 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    bucket = None
 
-    def close_bucket():
-        nonlocal out, at
-        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, n = keys[starts], np.minimum(np.add.reduceat(n, starts), (1 << 32) - 1)
-        if out is None:
-            store.create_dir(path, recursive=True)
-            out = store.open_output_stream(path + name + ".key"), store.open_output_stream(path + name + ".cnt")
-        out[0].write(keys.astype("<u8").tobytes())
-        out[1].write(n.astype("<u4").tobytes())
-        at += len(keys)
-        held.clear()
-        return bucket, keys, n, folder + name, at - len(keys)
+def _file(folder: str, number: int) -> str:
+    return f"{folder}/{number:016x}"
 
-    for pdf in batches:
-        b, k, n = pdf["bucket"].to_numpy(), pdf["key"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("i8")
-        for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
-            if not len(part):
-                continue
-            if held and bucket != b[part[0]]:
-                yield close_bucket()
-            bucket = int(b[part[0]])
-            held.append((k[part], n[part]))
-    if held:
-        yield close_bucket()
-    for f in out or ():
-        f.close()
+
+def _write_sorted(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """A partition's rows (bucket, key, n), sorted, to a file; yields (bucket, keys, counts, file number, start) of each
+    bucket, counts of equal keys added up. A partition's keys are held as arrays; more partitions make them smaller."""
+    columns = [(pdf["bucket"].to_numpy("i4"), pdf["key"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("i8")) for pdf in batches]
+    if not columns:
+        return
+    buckets, keys, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+    del columns
+    order = np.argsort(keys)
+    buckets, keys, n = buckets[order], keys[order], n[order]
+    store, path = _store(folder)
+    store.create_dir(path, recursive=True)
+    number, at = secrets.randbits(62), 0
+    with store.open_output_stream(_file(path, number) + ".key") as key_file, store.open_output_stream(_file(path, number) + ".cnt") as count_file:
+        for some in _by_label(buckets):
+            own = keys[some]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            own, counts = own[starts], np.minimum(np.add.reduceat(n[some], starts), (1 << 32) - 1)
+            key_file.write(own.astype("<u8").tobytes())
+            count_file.write(counts.astype("<u4").tobytes())
+            yield int(buckets[some[0]]), own, counts, number, at
+            at += len(own)
 
 
 def _count_words(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
@@ -150,11 +177,6 @@ def _count_words(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.Data
         yield flush()
 
 
-def _signed_order(key: str):
-    """Order of unsigned numbers for a column that holds them as signed ones."""
-    return F.col(key) < 0, F.col(key)
-
-
 @dataclass
 class Words:
     """The stored words, and what follows from their counts."""
@@ -168,10 +190,11 @@ class Words:
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the words of all texts, their counts, number of words of each text)."""
         split = [_words(t) for t in texts]
-        known = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-        keys = _hashes(list(known))
+        flat = list(chain.from_iterable(split))
+        distinct = list(dict.fromkeys(flat))
+        keys = _hashes(distinct)
         ids, counts = self.store.find((keys >> np.uint64(64 - self.bits)).astype("i4"), keys)
-        at = np.fromiter((known[w] for s in split for w in s), np.int64, sum(map(len, split)))
+        at = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, flat), np.int64, len(flat))
         return ids[at], counts[at], np.fromiter(map(len, split), np.int64, len(split))
 
     def bigram_buckets(self, u: np.ndarray, w: np.ndarray, u_counts: np.ndarray) -> np.ndarray:
@@ -192,17 +215,21 @@ def _count_bigrams(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[pd
     held, size = [], 0
 
     def flush() -> pd.DataFrame:
-        buckets, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+        keys = np.sort(np.concatenate(held))
         held.clear()
-        return pd.DataFrame({"bucket": buckets[first], "key": keys.view("i8"), "n": n})
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.diff(np.r_[starts, len(keys)])
+        keys = keys[starts]
+        u, w = (keys >> np.uint64(32)).astype("i8"), keys & np.uint64(0xFFFFFFFF)
+        begins = int(np.searchsorted(u, BEGIN))
+        counts = np.r_[words.store.counts_of(u[:begins]), np.full(len(u) - begins, words.n_texts)]
+        return pd.DataFrame({"bucket": words.bigram_buckets(u, w, counts), "key": keys.view("i8"), "n": n})
 
     for pdf in batches:
-        texts = pdf["text"].tolist()
-        for at in range(0, len(texts), 500):
-            ids, counts, lengths = words.ids(texts[at : at + 500])
-            u, uc = words.pairs(ids, counts, lengths)
-            held.append((words.bigram_buckets(u, ids, uc), u.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)))
+        for some in _groups(pdf):
+            ids, counts, lengths = words.ids(some["text"].tolist())
+            u, _ = words.pairs(ids, counts, lengths)
+            held.append(u.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
             size += len(ids)
             if size > 6 * _FLUSH:
                 yield flush()
@@ -217,12 +244,13 @@ BEFORE, ONCE, TWICE, MORE = range(4)
 
 def _write_bigrams(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
     """Writes bigram files; rows (k, v, file, start): v of an id's figure at k = 4 * id + figure; below zero, figures of
-    the whole at -1 - i (bigrams that occur i times) and buckets at -10 - bucket, v their number of keys."""
+    the whole at -1 - i (bigrams that occur i times) and buckets at -10 - bucket, v their number of keys. Files are
+    numbers, for sums and maxima of numbers are hashed where those of texts would be sorted."""
     counts = np.zeros(5, np.int64)
     before = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def rows(k, v, file=None, start=None) -> pd.DataFrame:
-        return pd.DataFrame({"k": k, "v": v, "file": pd.Series([file] * len(k), dtype=object), "start": pd.array([start] * len(k), dtype="Int64")})
+    def rows(k, v, file=0, start=0) -> pd.DataFrame:
+        return pd.DataFrame({"k": k, "v": v, "file": file, "start": start})
 
     for bucket, keys, n, file, start in _write_sorted(batches, folder):
         counts += np.bincount(np.minimum(n, 5).astype(int), minlength=6)[1:]
@@ -264,16 +292,14 @@ def _write_blocks(batches: Iterator[pd.DataFrame], folder: str, low_d: np.ndarra
         c = figures[:, BEFORE]
         low = np.maximum(c - low_d[np.minimum(c, 3).astype(int)], 0) / total + rest
         gamma = figures[:, ONCE:] @ high_d[1:]
-        file = f"/{block:08d}-{uuid.uuid4().hex}"
+        file = f"/{block:08d}-{secrets.token_hex(8)}"
         with store.open_output_stream(path + file) as f:
             f.write(np.stack([low, gamma]).astype("<f4").tobytes())
         return pd.DataFrame({"block": [block], "file": [folder + file]})
 
     for pdf in batches:
         b, k, v = (pdf[c].to_numpy("i8") for c in ("block", "k", "v"))
-        for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
-            if not len(part):
-                continue
+        for part in _runs(b):
             if held and block != b[part[0]]:
                 yield close_block()
             block = int(b[part[0]])
@@ -303,11 +329,10 @@ class Model:
     def by_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(w) and gamma(u) * c(u) of ids; -1 is the unknown word."""
         low, gamma = np.full(len(ids), self.unknown), np.zeros(len(ids))
-        order = np.argsort(ids, kind="stable")
-        blocks = ids[order] // BLOCK
-        for some in np.split(order, np.flatnonzero(np.diff(blocks)) + 1):
-            if len(some) and (i := ids[some])[0] >= 0 and (m := self.mapped.get(int(i[0]) // BLOCK)) is not None:
-                low[some], gamma[some] = m[:, i % BLOCK]
+        blocks = np.where(ids < 0, 0, ids // BLOCK + 1)
+        for some in _by_label(blocks):
+            if (m := self.mapped.get(int(blocks[some[0]]) - 1)) is not None:
+                low[some], gamma[some] = m[:, ids[some] % BLOCK]
         return low, gamma
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -318,10 +343,8 @@ class Model:
         gamma = np.where(u == BEGIN, self.begin, np.r_[0, gamma[:-1]])
         keys = u.astype(np.uint64) << np.uint64(32) | (ids.astype(np.uint64) & np.uint64(0xFFFFFFFF))
         ask = np.flatnonzero((u >= 0) & (ids >= 0))
-        distinct, first, back = np.unique(keys[ask], return_index=True, return_inverse=True)
-        at = ask[first]
         c = np.zeros(len(ids))
-        c[ask] = self.bigrams.find(self.words.bigram_buckets(u[at], ids[at], uc[at]), distinct)[1][back]
+        c[ask] = self.bigrams.find(self.words.bigram_buckets(u[ask], ids[ask], uc[ask]), keys[ask])[1]
         has = (u >= 0) & (uc > 0)
         total = np.where(has, uc, 1)
         p = np.where(has, np.maximum(c - self.high_d[np.minimum(c, 3).astype(int)], 0) / total + gamma / total * low, low)
@@ -337,19 +360,17 @@ def train(texts: DataFrame) -> Model:
     bits = max(8, (4 * n - 1).bit_length())
     folder = new_path(spark, "words")
     counted = texts.mapInPandas(partial(_count_words, bits=bits), "bucket int, key long, n long")
-    counted = counted.repartition(n, "bucket").sortWithinPartitions("bucket", *_signed_order("key"))
-    index = counted.mapInPandas(partial(_write_words, folder=folder), "bucket int, file string, start long, size long, n long").collect()
-    store = Sorted({r["bucket"]: (r["file"], r["start"], r["size"]) for r in index})
+    index = counted.repartition(n, "bucket").mapInPandas(partial(_write_words, folder=folder), "bucket int, file long, start long, size long, n long").collect()
+    store = Sorted({r["bucket"]: (_file(folder, r["file"]), r["start"], r["size"]) for r in index})
     words = Words(store, bits, sum(r["n"] for r in index), 0, 1 << bits)
     end = _hashes([END])
     words.n_texts = int(store.find((end >> np.uint64(64 - bits)).astype("i4"), end)[1][0])
     folder = new_path(spark, "bigrams")
     pairs = texts.mapInPandas(partial(_count_bigrams, words=words), "bucket int, key long, n long")
-    pairs = pairs.repartition(n, "bucket").sortWithinPartitions("bucket", *_signed_order("key"))
-    figures = pairs.mapInPandas(partial(_write_bigrams, folder=folder), "k long, v long, file string, start long")
+    figures = pairs.repartition(n, "bucket").mapInPandas(partial(_write_bigrams, folder=folder), "k long, v long, file long, start long")
     figures = saved(figures.groupBy("k").agg(F.sum("v").alias("v"), F.max("file").alias("file"), F.max("start").alias("start")), "figures")
     whole = {r["k"]: r for r in figures.filter("k < 0").collect()}  # one row a bucket
-    bigrams = Sorted({-10 - k: (r["file"], r["start"], r["v"]) for k, r in whole.items() if k <= -10})
+    bigrams = Sorted({-10 - k: (_file(folder, r["file"]), r["start"], r["v"]) for k, r in whole.items() if k <= -10})
     high_d = discounts([whole[-1 - i]["v"] if -1 - i in whole else 0 for i in range(1, 5)])
     own = figures.filter(f"k >= 0 and k < {4 * BEGIN}")
     before = own.filter(f"k % 4 = {BEFORE}").agg(F.sum("v"), *(F.count_if(F.col("v") == i) for i in range(1, 5)), F.count_if(F.col("v") >= 3)).first()
@@ -371,8 +392,7 @@ def _write_words(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.Da
 
 def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            some = pdf.iloc[at : at + 1000]
+        for some in _groups(pdf):
             n, known, base, score = model.score(some["text"].tolist())
             yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "n_tokens": n, "n_known": known, "train_tokens": model.words.n_tokens, "base_score": base, "score": score})
 
