@@ -56,7 +56,8 @@ def stems(text: Column) -> Column:
 def singular(token: Column) -> Column:
     """-ies becomes -y; -es, else -s, is cut off; only where at least three characters stand before the ending."""
     return (
-        F.when(token.rlike("^.{3,}ies$"), F.regexp_replace(token, "ies$", "y"))
+        F.when(~token.endswith("s"), token)
+        .when(token.rlike("^.{3,}ies$"), F.regexp_replace(token, "ies$", "y"))
         .when(token.rlike("^.{3,}es$"), F.regexp_replace(token, "es$", ""))
         .when(token.rlike("^.{3,}s$"), F.regexp_replace(token, "s$", ""))
         .otherwise(token)

@@ -28,11 +28,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "chunk_id", tex
     """(query, doc, score, rank): the k best documents of each query with a score above zero, ties by document.
 
     A token of a query counts as often as it occurs there. Tokens in over half of the documents get EPSILON times the
-    mean idf. Only documents' counts of query tokens meet the queries; lengths come from the same pass over the texts.
+    mean idf. Only documents' counts of query tokens meet the queries; lengths are sums of the same counts.
     """
     counts = token_counts(docs, doc, text)
-    lengths = docs.select(doc, F.size(tokens(F.col(text))).alias("dl"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
+    whole = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(lengths.agg(F.sum("dl").alias("words")))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(whole)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
     floor = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
