@@ -117,7 +117,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     terms, at = np.unique(pdf["term"], return_inverse=True)
     v = np.zeros((len(terms), len(pdf["v"].iloc[0])))
     np.add.at(v, at, np.stack(pdf["v"]))
-    return pd.DataFrame({"term": terms, "v": list(v)})
+    return pd.DataFrame({"term": terms, "v": [row.tobytes() for row in v]})
 
 
 def randomised_basis(rows: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int = 1) -> np.ndarray:
@@ -129,8 +129,8 @@ def randomised_basis(rows: DataFrame, terms: int, rank: int, rounds: int = 2, se
 
     def applied(basis: np.ndarray) -> np.ndarray:
         out = np.zeros_like(basis)
-        for r in rows.mapInPandas(partial(_sketch, basis=basis), "block int, term int, v array<double>").groupBy("block").applyInPandas(_summed, "term int, v array<double>").collect():
-            out[r["term"]] = r["v"]
+        for r in rows.mapInPandas(partial(_sketch, basis=basis), "block int, term int, v array<double>").groupBy("block").applyInPandas(_summed, "term int, v binary").collect():
+            out[r["term"]] = np.frombuffer(r["v"])
         return out
 
     for _ in range(rounds):

@@ -5,8 +5,8 @@ expectation-maximisation fits a latent class model to the counts of the vote pat
 rejects among good and among bad documents (abstentions carry no evidence), and the share of good documents. The
 posterior probability of the good class replaces "all rules must pass".
 
-Scale: votes and base figures come from one narrow pass over the texts; nothing but (pattern, count) is shuffled, and
-there are at most 3 ** len(RULES) patterns however many documents there are.
+Scale: votes and base figures come from one narrow pass over the texts; nothing but (pattern, count) is shuffled. There
+are at most 3 ** 9 patterns however many documents there are, so the driver fits the model to their counts.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows get equal answers;
 an empty table gives an empty result; columns other than those named are carried only where the caller asks for it.
@@ -15,6 +15,8 @@ Equality of five-word windows is tested by their 64-bit hashes within one docume
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,29 +89,27 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = 8) -> dict:
-    """Expectation-maximisation over (votes, count) rows; each round is one aggregation to one row.
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 25) -> dict:
+    """Expectation-maximisation over (votes, count) pairs, at most 3 ** len(names) of them.
 
     Pseudo-counts are shares of the number of documents, so the fit doesn't depend on the size of the input.
     Bounds keep the classes from changing places: a rule rejects at most 0.1 % of good and at least 10 % of bad documents,
     and no rule alone finds most of the bad ones, so that one precise rule outweighs many that have nothing to object to.
     """
     good, rejects = 0.9, {x: (0.001, 0.2) for x in names}  # rejects: among good, among bad documents
-    total = patterns.agg(F.sum("n")).first()[0]
-    if not total:
-        return {"good": good, "rejects": rejects}
-    for _ in range(rounds):
-        p = _posterior(good, rejects, lambda x: F.col(x))
-        sums = [F.sum(F.col("n") * p).alias("g")]
-        for i, x in enumerate(names):
-            for v, tag in ((-1, "r"), (1, "a")):
-                hit = F.col("n") * (F.col(x) == v).cast("double")
-                sums += [F.sum(hit * p).alias(f"g{tag}{i}"), F.sum(hit).alias(f"n{tag}{i}")]
-        s = patterns.agg(*sums).first()
-        good = min(0.99, max(0.5, (s["g"] + 0.09 * total) / (1.1 * total)))
-        for i, x in enumerate(names):
-            gr, ga, nr, na = (s[f"{k}{i}"] for k in ("gr", "ga", "nr", "na"))
-            br, ba = nr - gr, na - ga
+    total = sum(n for _, n in patterns)
+    for _ in range(rounds if total else 0):
+        all_good, counts = 0.0, [[0.0] * 4 for _ in names]  # rejected and accepted among good, among bad
+        for votes, n in patterns:
+            odds = math.log(good / (1 - good)) + sum(_weight(v, *rejects[x]) for v, x in zip(votes, names, strict=True))
+            p = n / (1 + math.exp(-odds))
+            all_good += p
+            for c, v in zip(counts, votes, strict=True):
+                if v:
+                    c[v > 0] += p
+                    c[2 + (v > 0)] += n - p
+        good = min(0.99, max(0.5, (all_good + 0.09 * total) / (1.1 * total)))
+        for x, (gr, ga, br, ba) in zip(names, counts, strict=True):
             rejects[x] = (
                 min(0.001, max(0.0002, (gr + 0.0001 * total) / (gr + ga + 0.01 * total))),
                 min(0.3, max(0.1, (br + 0.003 * total) / (br + ba + 0.01 * total))),
@@ -117,16 +117,19 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = 8) -> dict:
     return {"good": good, "rejects": rejects}
 
 
-def _posterior(good: float, rejects: dict, vote) -> Column:
-    import math
+def _weight(vote: int, good: float, bad: float) -> float:
+    """What a vote adds to the log odds of a good document."""
+    return math.log(good / bad) if vote < 0 else math.log((1 - good) / (1 - bad)) if vote else 0.0
 
+
+def _posterior(good: float, rejects: dict, vote) -> Column:
     odds = F.lit(math.log(good / (1 - good)))
     for x, (g, b) in rejects.items():
-        odds = odds + F.when(vote(x) == -1, math.log(g / b)).when(vote(x) == 1, math.log((1 - g) / (1 - b))).otherwise(0.0)
+        odds = odds + F.when(vote(x) == -1, _weight(-1, g, b)).when(vote(x) == 1, _weight(1, g, b)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def judged(docs: DataFrame, text: str, carry: list[str], rounds: int = 8) -> DataFrame:
+def judged(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     """The columns of docs named in carry, with figures, posterior and verdict under private names.
 
     They are written to the shared folder once, so that no text is read or judged twice.
@@ -135,8 +138,8 @@ def judged(docs: DataFrame, text: str, carry: list[str], rounds: int = 8) -> Dat
     votes = {f"{_OWN}v_{x}": F.when(no, -1).when(yes, 1).otherwise(0).cast("byte") for x, (no, yes) in named.items()}
     table = with_figures(docs, text).withColumns(votes)
     table = saved(table.select(*(f"`{x}`" for x in table.columns if x in carry or x.startswith(_OWN))), "quality")
-    seen = saved(table.groupBy(*votes).agg(F.count("*").alias("n")), "patterns")
-    model = fit(seen, list(votes), rounds)
+    seen = [(tuple(r[v] for v in votes), r["n"]) for r in table.groupBy(*votes).agg(F.count("*").alias("n")).collect()]  # at most 3 ** 9
+    model = fit(seen, list(votes))
     base_failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
     table = table.withColumn(_OWN + "p", _posterior(model["good"], model["rejects"], F.col))
     return table.withColumns({_OWN + "base_failed": base_failed, _OWN + "kept": ~base_failed & (_c("p") >= 0.5)})
