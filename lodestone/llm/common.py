@@ -36,13 +36,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, so that a lost executor costs no recomputation."""
+_scratch: list[str] = []
+
+
+def saved(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
+    """df written as Parquet to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    A scratch table goes with the next release().
+    """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if scratch:
+        _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the scratch tables made so far; to be called only when all results that rest on them have been written."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; none for an empty or null text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))

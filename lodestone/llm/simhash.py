@@ -153,9 +153,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs, one row of each component: that with the smallest id (rows without id last)."""
-    own = "_lodestone_s_"
-    table = saved(docs.withColumns({own + "row": F.monotonically_increasing_id(), own + "fp": fingerprints(F.col(f"`{text}`"), shingle)}), "printed")
-    narrow = table.select(F.col(own + "row").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(own + "fp").alias("fp"))
-    best = _members(narrow, distance).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(own + "row"))
-    return table.join(saved(best.select(own + "row"), "kept"), own + "row", "left_semi").select(*(f"`{x}`" for x in docs.columns))
+    """The columns of docs, one row of each component: that with the smallest id (rows without id last).
+
+    A row is known by two hashes of its columns (maps left out), so that only these travel with fingerprints; docs
+    themselves are shuffled once, to meet the rows to keep.
+    """
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = ["_lodestone_s_a", "_lodestone_s_b"]
+    keyed = docs.withColumns({own[0]: F.xxhash64(*hashed), own[1]: F.xxhash64(F.lit(1), *hashed)})
+    narrow = saved(keyed.select(F.col(own[0]).alias("a"), F.col(own[1]).alias("b"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), fingerprints(F.col(f"`{text}`"), shingle).alias("fp")), "prints")
+    best = _members(narrow, distance).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("m"))
+    kept = saved(best.select(F.col("m.a").alias(own[0]), F.col("m.b").alias(own[1])), "kept")
+    # A merge join at every size: the rows to keep grow with the input.
+    return keyed.join(kept.hint("merge"), own, "left_semi").dropDuplicates(own).select(*(f"`{x}`" for x in docs.columns))
