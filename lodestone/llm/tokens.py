@@ -20,6 +20,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,11 +34,17 @@ from lodestone.llm.common import new_path
 _INDEX = "shard long, ids string, off string, doc string, n_docs long, n_null long, n_ids long"
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _CLOSING = ".,!?;:"
 #: Words remembered by a worker, in two generations of half as many.
 CACHE = 1_200_000
 
 
+def _has_run(text: str) -> bool:
+    """Whether white space may stand beside white space or at an end, so that not every space is a place to cut at."""
+    return text[:1].isspace() or text[-1:].isspace() or (any(x in text for x in _RUNS) if text.isascii() else _RUN.search(text) is not None)
+
+
 class Encoder:
     """Ids of whole texts as bytes. The tokenizer splits at every single space between two non-space characters before
     it merges, so a text's ids are the ids of its parts, cut before such spaces; parts are encoded once and remembered."""
@@ -47,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(vocabulary).encode_batch_fast
-        self.dtype = np.dtype(dtype)
+        self.dtype, self.code = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
@@ -76,7 +83,7 @@ class Encoder:
         for at in range(0, len(missing), 10_000):
             some = missing[at : at + 10_000]
             for p, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                found[p] = self.new[p] = np.asarray(e.ids, self.dtype).tobytes()
+                found[p] = self.new[p] = array(self.code, e.ids).tobytes()
         if len(self.new) > CACHE // 2:
             self.old, self.new = self.new, {}
         for p, core in cores.items():
@@ -84,12 +91,16 @@ class Encoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        cut, words, firsts = [], set(), set()
         for t in texts:
-            parts = _CUT.split(t) if _RUN.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ")
-            cut.append([parts[0], *map(" ".__add__, parts[1:])] if t else [])
-        known = self._known(set(itertools.chain.from_iterable(cut)))
-        return [b"".join(map(known.__getitem__, parts)) + self.end for parts in cut]
+            parts = _CUT.split(t) if _has_run(t) else t.split(" ")
+            cut.append((parts[0], parts[1:]))
+            firsts.add(parts[0])
+            words.update(cut[-1][1])
+        spaced = {w: " " + w for w in words}
+        known = self._known(firsts.union(spaced.values()))
+        after = {w: known[s] for w, s in spaced.items()}
+        return [known[first] + b"".join(map(after.__getitem__, rest)) + self.end for first, rest in cut]
 
 
 @functools.lru_cache(maxsize=1)
