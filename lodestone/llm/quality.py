@@ -1,10 +1,15 @@
 """Quality rules by weak supervision, in DataFrame expressions only.
 
 Every rule votes on every document: keep (+1), reject (-1) or abstain (0). Nobody says which rules are right, so
-expectation-maximisation fits a latent class model to the counts of the vote patterns: for each rule, how often it
-rejects among good and among bad documents (abstentions carry no evidence), and the share of good documents. The
+expectation-maximisation fits a latent class model to the counts of the vote patterns: how often each rule rejects in
+each class (abstentions carry no evidence), and the classes' shares. One class is good; there is a bad class for every
+rule, started from documents that this rule rejects, since defects of different kinds don't come together. The
 posterior probability of the good class replaces "all rules must pass".
 
+A rule that rejects good documents at random and a rule that alone finds a kind of bad document give the same counts, so
+a prior must tell them apart: a rule rejects NOISE of the good documents (weight RATE_WEIGHT of all documents), and
+GOOD of all documents are good (weight SHARE_WEIGHT). Nothing else is bounded but logarithms, by 1e-5 and 0.999.
+
 Scale: votes and base figures come from one narrow pass over the texts; nothing but (pattern, count) is shuffled. There
 are at most 3 ** 9 patterns however many documents there are, so the driver fits the model to their counts.
 
@@ -15,14 +20,15 @@ Equality of five-word windows is tested by their 64-bit hashes within one docume
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import saved, words
 
 WINDOW = 5
+#: The prior: how often a rule rejects good documents, the share of good documents, and the weights of both.
+NOISE, RATE_WEIGHT, GOOD, SHARE_WEIGHT = 0.001, 0.05, 0.9, 0.15
 #: Very frequent words of running text in four languages; fixed values.
 FUNCTION_WORDS = ["the", "and", "of", "to", "in", "is", "der", "die", "und", "das", "le", "la", "les", "et", "de", "un", "el", "que", "los", "en"]
 
@@ -89,44 +95,38 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 25) -> dict:
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 300) -> dict:
     """Expectation-maximisation over (votes, count) pairs, at most 3 ** len(names) of them.
 
-    Pseudo-counts are shares of the number of documents, so the fit doesn't depend on the size of the input.
-    Bounds keep the classes from changing places: a rule rejects at most 0.1 % of good and at least 10 % of bad documents,
-    and no rule alone finds most of the bad ones, so that one precise rule outweighs many that have nothing to object to.
+    Returns the share of good documents, each rule's rate of rejection among them, and the posterior of every pattern.
+    Prior weights are shares of the number of documents, so the fit doesn't depend on the size of the input.
     """
-    good, rejects = 0.9, {x: (0.001, 0.2) for x in names}  # rejects: among good, among bad documents
-    total = sum(n for _, n in patterns)
-    for _ in range(rounds if total else 0):
-        all_good, counts = 0.0, [[0.0] * 4 for _ in names]  # rejected and accepted among good, among bad
-        for votes, n in patterns:
-            odds = math.log(good / (1 - good)) + sum(_weight(v, *rejects[x]) for v, x in zip(votes, names, strict=True))
-            p = n / (1 + math.exp(-odds))
-            all_good += p
-            for c, v in zip(counts, votes, strict=True):
-                if v:
-                    c[v > 0] += p
-                    c[2 + (v > 0)] += n - p
-        good = min(0.99, max(0.5, (all_good + 0.09 * total) / (1.1 * total)))
-        for x, (gr, ga, br, ba) in zip(names, counts, strict=True):
-            rejects[x] = (
-                min(0.001, max(0.0002, (gr + 0.0001 * total) / (gr + ga + 0.01 * total))),
-                min(0.3, max(0.1, (br + 0.003 * total) / (br + ba + 0.01 * total))),
-            )
-    return {"good": good, "rejects": rejects}
-
-
-def _weight(vote: int, good: float, bad: float) -> float:
-    """What a vote adds to the log odds of a good document."""
-    return math.log(good / bad) if vote < 0 else math.log((1 - good) / (1 - bad)) if vote else 0.0
-
-
-def _posterior(good: float, rejects: dict, vote) -> Column:
-    odds = F.lit(math.log(good / (1 - good)))
-    for x, (g, b) in rejects.items():
-        odds = odds + F.when(vote(x) == -1, _weight(-1, g, b)).when(vote(x) == 1, _weight(1, g, b)).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    if not patterns:
+        return {"good": GOOD, "rejects": dict.fromkeys(names, NOISE), "p_good": {}}
+    votes, n = np.array([v for v, _ in patterns]), np.array([n for _, n in patterns], float)
+    rejected, accepted, total, k = (votes < 0).astype(float), (votes > 0).astype(float), n.sum(), len(names)
+    prior = np.vstack([np.full(k, NOISE), np.where(np.eye(k) > 0, 0.9, 0.1)])  # classes by rules, the good one first
+    weight = np.r_[RATE_WEIGHT, np.full(k, 1e-4)][:, None] * total
+    rates, shares = prior.copy(), np.r_[GOOD, np.full(k, (1 - GOOD) / k)]
+    rates[0] *= 10
+    for last in (*[False] * rounds, True):
+        odds = np.log(shares)[:, None] + np.log(rates) @ rejected.T + np.log(1 - rates) @ accepted.T
+        p = np.exp(odds - odds.max(0))
+        p /= p.sum(0)
+        if last:
+            break
+        mine = p * n
+        good = (mine[0].sum() + SHARE_WEIGHT * total * GOOD) / (total * (1 + SHARE_WEIGHT))
+        bad = mine[1:].sum(1) + 1e-6 * total
+        shares = np.r_[good, (1 - good) * bad / bad.sum()]
+        r, a = mine @ rejected, mine @ accepted
+        rates = np.clip((r + weight * prior) / (r + a + weight), 1e-5, 0.999)
+    return {"good": float(shares[0]), "rejects": dict(zip(names, rates[0].tolist(), strict=True)), "p_good": {v: float(x) for (v, _), x in zip(patterns, p[0], strict=True)}}
+
+
+def _code(votes: list[Column]) -> Column:
+    """A pattern of votes as one number."""
+    return sum(((v.cast("int") + 1) * 3**i for i, v in enumerate(votes)), F.lit(0))
 
 
 def judged(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
@@ -138,10 +138,13 @@ def judged(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     votes = {f"{_OWN}v_{x}": F.when(no, -1).when(yes, 1).otherwise(0).cast("byte") for x, (no, yes) in named.items()}
     table = with_figures(docs, text).withColumns(votes)
     table = saved(table.select(*(f"`{x}`" for x in table.columns if x in carry or x.startswith(_OWN))), "quality")
-    seen = [(tuple(r[v] for v in votes), r["n"]) for r in table.groupBy(*votes).agg(F.count("*").alias("n")).collect()]  # at most 3 ** 9
+    seen = sorted((tuple(r[v] for v in votes), r["n"]) for r in table.groupBy(*votes).agg(F.count("*").alias("n")).collect())  # at most 3 ** 9
     model = fit(seen, list(votes))
+    coded = [(sum((x + 1) * 3**i for i, x in enumerate(v)), p) for v, p in model["p_good"].items()]
+    known = docs.sparkSession.createDataFrame(coded, f"{_OWN}code int, {_OWN}p double")
     base_failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
-    table = table.withColumn(_OWN + "p", _posterior(model["good"], model["rejects"], F.col))
+    # At most 3 ** 9 rows.
+    table = table.withColumn(_OWN + "code", _code([F.col(v) for v in votes])).join(F.broadcast(known), _OWN + "code", "left")
     return table.withColumns({_OWN + "base_failed": base_failed, _OWN + "kept": ~base_failed & (_c("p") >= 0.5)})
 
 

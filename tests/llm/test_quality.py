@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,43 @@ def test_verdicts_agree_with_labels(spark):
     assert good >= 0.95 * (good + counts.get((1, False), 0))
 
 
+def voted(rules, n=10_000, noisy=None, lone=0.0):
+    """Counts of patterns: 10 % of bad documents that several rules reject; noisy rejects 15 % of all at random, lone is the
+    share of documents that only the first rule rejects."""
+    rng, counts = random.Random(2), Counter()
+    for _ in range(n):
+        bad = rng.random() < 0.1
+        v = [-1 if bad and i < 5 and rng.random() < 0.8 else 1 for i in range(rules)]
+        if lone and rng.random() < lone:
+            v[0] = -1
+        if noisy is not None and rng.random() < 0.15:
+            v[noisy] = -1
+        counts[tuple(v)] += 1
+    return sorted(counts.items())
+
+
+def test_noisy_rule_loses_weight():
+    names = [f"r{i}" for i in range(9)]
+    clean = (1,) * 9
+    for noisy in (0, 7):
+        model = quality.fit(voted(9, noisy=noisy), names)
+        alone = clean[:noisy] + (-1,) + clean[noisy + 1 :]
+        assert model["rejects"][f"r{noisy}"] > 0.05 and model["p_good"][alone] >= 0.5 and model["p_good"][clean] >= 0.9
+        assert model["p_good"][(-1, -1, -1, -1, -1, 1, 1, 1, 1)] < 0.5  # more than the noisy rule speaks against it
+    model = quality.fit(voted(9, lone=0.03), names)  # a rule that finds a rare kind alone keeps its weight
+    assert model["p_good"][(-1,) + clean[1:]] < 0.5
+
+
+def test_verdicts_differ_from_all_must_pass(spark):
+    rng = random.Random(1)
+    known = [f"palabra{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = table(spark, sf="sf0.001").select("doc_id", "text").collect()
+    # A fifth language: clean running text without any function word that the rule running_text knows.
+    other = [(10_000 + i, "\n".join(" ".join(rng.choice(known) + rng.choice("xyz") + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))) for i in range(40)]
+    got = quality.quality(spark.createDataFrame([*map(tuple, docs), *other], "doc_id long, text string"))
+    assert got.filter("doc_id >= 10000 and kept").count() == 40
+
+
 def test_plan_is_native(spark, capsys):
     quality.with_figures(table(spark)).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
