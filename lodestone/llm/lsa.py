@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are TF-IDF vectors (square root of the count times idf, idf counted over all documents). A distributed
-randomised SVD gives an orthonormal basis of at most `rank` directions of their term space. Every window of every
-document is projected onto it, and items whose cosine with the window is high enough become candidates. A candidate
+randomised SVD gives an orthonormal basis of at most `rank` directions of their term space. Items are searched for by
+class of length, with windows of the least power of two that holds the item, beginning every quarter of it: so a verbatim
+item fills over half of some window, whatever its length. Every window is projected onto the basis, and items of its class whose cosine with the window is high enough become candidates. A candidate
 counts if the longest common subsequence of its words with the surrounding words covers enough of it, and enough of its
 answer (the words of its last sentence): so copies with words changed, added or left out are found, and texts that only
 share vocabulary are not.
@@ -28,7 +29,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE = 32, 8
 #: Least cosine of a candidate; least share of an item, and of its answer, in the common subsequence.
 COSINE, COVERED, ANSWERED = 0.4, 0.7, 0.5
 _ODD = re.compile(r"[\W_]+")
@@ -63,6 +63,11 @@ def common_length(a: list[int], b: list[int], tail: int) -> tuple[int, int]:
     return length(a), length(a[len(a) - tail :])
 
 
+def window_of(words: int) -> int:
+    """Words of the windows that items of that many words are searched with: the least power of two that holds them."""
+    return 1 << max(0, words - 1).bit_length()
+
+
 class Vocabulary:
     """Ids of the benchmark's words; -1 for any other word. Remembers the spellings that it has met, up to a bound."""
 
@@ -146,7 +151,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], vocabulary: Vocabulary, idf: np.ndarray, unknown: float):
         self.vocabulary, self.idf, self.unknown = vocabulary, idf.astype(np.float32), unknown
         self.items = [(i, vocabulary(t).tolist(), answer_length(t)) for i, t in items]
-        self.basis = self.latent = None
+        self.basis, self.classes = None, {}
 
     def vector(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         terms, counts = np.unique(ids[ids >= 0], return_counts=True)
@@ -158,7 +163,8 @@ class Index:
         for row, (_, ids, _) in zip(latent, self.items, strict=True):
             terms, values = self.vector(np.array(ids, np.int32))
             row[:] = values @ basis[terms] / max(1e-9, np.linalg.norm(values))
-        self.latent = latent
+        sizes = np.array([window_of(len(ids)) for _, ids, _ in self.items], int)
+        self.classes = {int(n): (np.flatnonzero(sizes == n), latent[sizes == n]) for n in np.unique(sizes)}
 
     def matches(self, text: str | None) -> list[tuple[int | None, float, float]]:
         """(item_id, share of the item in the common subsequence, cosine) of every item that the text contains."""
@@ -166,18 +172,20 @@ class Index:
         if not len(ids) or not len(self.items):
             return []
         mass = np.where(ids >= 0, self.idf[ids] if len(self.idf) else 0, self.unknown) ** 2
-        starts = np.arange(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE)
-        ends = np.minimum(starts + WINDOW, len(ids))
         upto = np.r_[0, np.cumsum(mass, dtype=np.float64)]
         known = np.r_[0, np.cumsum(np.where(ids >= 0, mass, 0), dtype=np.float64)]
-        norm2 = upto[ends] - upto[starts]
-        near = np.flatnonzero((known[ends] - known[starts] >= COSINE**2 * norm2) & (norm2 > 0))
         spans: dict[int, list] = {}
-        for w in near:
-            terms, values = self.vector(ids[starts[w] : ends[w]])
-            cosines = self.latent @ (values @ self.basis[terms]) / np.sqrt(norm2[w])
-            for k in np.flatnonzero(cosines >= COSINE):
-                spans.setdefault(int(k), []).append((float(cosines[k]), int(starts[w]), int(ends[w])))
+        for window, (rows, latent) in self.classes.items():
+            stride = max(1, window // 4)
+            starts = np.arange(0, max(1, len(ids) - window + stride), stride)
+            ends = np.minimum(starts + window, len(ids))
+            norm2 = upto[ends] - upto[starts]
+            near = np.flatnonzero((known[ends] - known[starts] >= COSINE**2 * norm2) & (norm2 > 0))
+            for w in near:
+                terms, values = self.vector(ids[starts[w] : ends[w]])
+                cosines = latent @ (values @ self.basis[terms]) / np.sqrt(norm2[w])
+                for k in np.flatnonzero(cosines >= COSINE):
+                    spans.setdefault(int(rows[k]), []).append((float(cosines[k]), int(starts[w]), int(ends[w])))
         found = []
         for k, windows in spans.items():
             item_id, words, answer = self.items[k]
@@ -191,7 +199,7 @@ class Index:
             share = 0.0
             for s, e in at:
                 # Runs of overlapping windows are searched piece by piece, each twice as long as item and window.
-                step = len(words) + WINDOW
+                step = len(words) + window_of(len(words))
                 for p in range(s, max(s + 1, e - step), step):
                     whole, tail = common_length(words, ids[p : p + 2 * step].tolist(), answer)
                     if tail >= ANSWERED * answer:

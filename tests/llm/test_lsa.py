@@ -60,6 +60,23 @@ def test_paraphrases(spark):
     assert len({(d, i) for d, _, i in rows} & got) >= 0.95 * len(rows)
 
 
+def test_items_of_every_length(spark):
+    rng, docs, items = random.Random(6), [], []
+    texts = [lsa.tokens(r["text"]) for r in table(spark, sf="sf0.01").orderBy("doc_id").limit(120).collect()]
+    pool = sorted({w for t in texts for w in t})
+    for n in (4, 10, 300, 1000):
+        for _ in range(8):
+            words = rng.sample(pool, min(n, len(pool))) + rng.choices(pool, k=max(0, n - len(pool)))
+            around, at = rng.choices(pool, k=1500), rng.randrange(1500)
+            items.append((len(items), " ".join(words)))
+            docs.append((len(docs), " ".join(around[:at] + words + around[at:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsa.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    missed = [len(items[i][1].split()) for i in range(len(items)) if (i, i) not in got]
+    print("missed lengths", missed)
+    assert not missed
+
+
 def test_basis_spans_the_rows(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(30, 80))
