@@ -222,8 +222,10 @@ def recall_grid(spark, d):
     """How often BM25 over documents finds those that contain a benchmark item, by depth."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     hits = retrieval.bm25(docs, items, 5, "doc_id", "text", "item_id", "text").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("chunk_id"), "rank")
-    texts = hits.join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(items.select(F.col("item_id").alias("qid"), F.col("text").alias("item")), "qid")
-    return evaluation.recall_grid(texts.filter(F.col("text").contains(F.col("item"))).select("qid", "chunk_id"), hits, [1, 2, 3, 5])
+    wanted = items.filter("text <> ''").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    # The benchmark is small; gold comes from all documents, not from hits.
+    gold = docs.join(F.broadcast(wanted), F.col("text").contains(F.col("item"))).select("qid", F.col("doc_id").alias("chunk_id")).distinct()
+    return evaluation.recall_grid(gold, hits, [1, 2, 3, 5])
 
 
 def confusion(spark, d):
@@ -319,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "validator_failures": "SELECT * FROM (VALUES ('a', ''), ('b', 'format,tables,chunks,rows'), ('c', 'tables')) t(qid, failed)",
         "confidence_rubric": f"SELECT qid, CAST(LEAST(GREATEST(CASE WHEN invented > 0 THEN LEAST(c, 60) WHEN open_choices > 0 THEN LEAST(c, 75) ELSE c END, 5), 99) AS DOUBLE) / 100 AS confidence FROM (SELECT *, {cents} AS c FROM {cases})",
         "cell_tolerance": f"SELECT i, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL WHEN TRY_CAST(a AS DOUBLE) IS NOT NULL AND TRY_CAST(b AS DOUBLE) IS NOT NULL THEN abs(TRY_CAST(a AS DOUBLE) - TRY_CAST(b AS DOUBLE)) <= 0.01 ELSE trim(regexp_replace(a, '\\s+', ' ', 'g')) = trim(regexp_replace(b, '\\s+', ' ', 'g')) END AS same FROM {cells}",
+        "recall_grid": f"WITH hits AS (SELECT * FROM ({_bm25_sql('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text', 5)})), gold AS (SELECT DISTINCT item_id, doc_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)) SELECT k, ROUND(COUNT(g.item_id) / (SELECT COUNT(*) FROM gold), 6) AS recall, ROUND(COUNT(*) / (SELECT COUNT(DISTINCT item_id) FROM gold), 6) AS mean_chunks FROM hits h JOIN (VALUES (1), (2), (3), (5)) t(k) ON h.rank <= k LEFT JOIN gold g ON g.item_id = h.item_id AND g.doc_id = h.doc_id GROUP BY k",
         "confusion": f"SELECT label, predicted, COUNT(*) AS n FROM {outcomes} GROUP BY 1, 2",
         "calibration": f"SELECT n, ROUND(a, 6) AS accuracy, ROUND(c, 6) AS confidence, ROUND(c - a, 6) AS gap FROM (SELECT COUNT(*) AS n, AVG(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE 0 END) AS a, AVG(CAST(confidence AS DOUBLE)) AS c FROM {outcomes} WHERE answered)",
         "config_ranking": f"SELECT config, ROUND(AVG(CAST(score AS DOUBLE)), 6) AS mean, ROUND(CAST(MAX(score) - MIN(score) AS DOUBLE), 6) AS spread, AVG(CAST(calls AS DOUBLE)) AS calls FROM {runs} GROUP BY config HAVING NOT bool_or(disqualified)",
