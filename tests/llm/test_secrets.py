@@ -40,7 +40,8 @@ def test_random_near_matches():
 
 
 def test_checksums_decide():
-    body = "".join(random.Random(1).choice(secrets._BASE62) for _ in range(30))
+    rng = random.Random(1)
+    body = "".join(rng.choice(secrets._BASE62) for _ in range(30))
     import zlib
 
     n, tail = zlib.crc32(body.encode()), ""
