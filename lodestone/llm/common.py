@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +23,11 @@ def _local_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
+    """The folder that the driver and all executors see: spark.checkpoint.dir, else that of setCheckpointDir().
 
-    Where it is unset, a temporary folder serves a local master; on a cluster that would lose data, so it is refused.
+    Where neither is set, a temporary folder serves a local master; on a cluster that would lose data, so it is refused.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -36,25 +39,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-_scratch: list[str] = []
+#: Where tables written by saved() are noted, if anybody is to delete them.
+_notes: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("notes", default=None)
 
 
-def saved(df: DataFrame, label: str, scratch: bool = True) -> DataFrame:
-    """df written as Parquet to the shared folder and read back, so that a lost executor costs no recomputation.
-
-    A scratch table goes with the next release().
-    """
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    if scratch:
-        _scratch.append(path)
+    if (notes := _notes.get()) is not None:
+        notes.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far; to be called only when all results that rest on them have been written."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+@contextlib.contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds to paths the tables that saved() writes inside; no other caller's tables are among them."""
+    before = _notes.set(paths)
+    try:
+        yield
+    finally:
+        _notes.reset(before)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes noted tables and empties the list; to be called when every result that rests on them has been written."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

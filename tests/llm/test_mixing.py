@@ -45,3 +45,37 @@ def test_edges(spark):
     mix = mixing.mix(edges(spark))
     assert mix.columns == edges(spark).columns
     assert sum(len(words(r["text"])) for r in mix.collect()) == sum(r["taken"] for r in got)
+
+
+def test_repeated_rows_come_near_the_target(spark):
+    data = [(7, "the very same words", "en", s, 4) for s in "abc" for _ in range(1000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    # Each source has 4,000 words; 18,000 are dealt 3 : 1 : 2, a's target stops at 8,000.
+    want = {8000.0, 10000 / 3, 20000 / 3}
+    per = {}
+    for r in mixing.mixed(docs).collect():
+        per[round(r["target"], 6)] = per.get(round(r["target"], 6), 0) + r["taken"]
+    assert per.keys() == {round(t, 6) for t in want} and all(abs(n - t) <= 4 for t, n in per.items())
+    per = dict(mixing.mix(docs).groupBy("source").count().collect())
+    assert {s: abs(4 * n - t) <= 4 for (s, n), t in zip(sorted(per.items()), (8000, 10000 / 3, 20000 / 3), strict=True)} == dict.fromkeys("abc", True)
+
+
+def test_selection_matches_brute_force(spark):
+    """Sorted by key, a source's documents go in while more than half of the next one fits."""
+    docs = table(spark)
+    keys = {r[0]: (r[1], r[2]) for r in mixing._keyed(docs, 7, "doc_id", "text", "source").select("doc_id", mixing._OWN + "key", mixing._OWN + "tie").collect()}
+    rows_of, got = {}, {}
+    for r in docs.collect():
+        rows_of.setdefault(r["source"], []).append((*keys[r["doc_id"]], r["doc_id"], len(words(r["text"]))))
+    target = {}
+    for r in mixing.mixed(docs).collect():
+        got[r["doc_id"]] = r["taken"]
+        target[r["doc_id"]] = r["target"]
+    for mine in rows_of.values():
+        size = sum(x[3] for x in mine)
+        epochs = int(target[mine[0][2]] // size)
+        rest, run = target[mine[0][2]] - epochs * size, 0
+        for _, _, d, n in sorted(mine):
+            extra = run + n / 2 < rest
+            run += n
+            assert got[d] == n * (epochs + extra)
