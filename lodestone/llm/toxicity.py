@@ -10,7 +10,8 @@ Scale: fitting sees a bounded sample, `positives` and `unlabelled` documents in
 are counted in Spark, at most `features` of them are kept. Every whole text is scored in one pass without a shuffle.
 
 Edge cases: a null or empty text scores by the intercept; null labels and labels of documents that aren't there teach
-nothing; repeated label rows count once, a document with both labels is a positive; without positives every score is
+nothing; repeated label rows count once, a document with both labels is a positive; of documents with one id, the first text in
+order teaches, all are scored; without positives every score is
 the class prior, or 0; an empty table gives an empty result; lang, source, ids and labels are never inputs of a score;
 other columns are ignored.
 """
@@ -110,8 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
     held = docs.filter(teaches & F.col("doc_id").isNotNull())
     chosen = some(known.filter("toxic = 1").join(held.select("doc_id"), "doc_id", "left_semi"), positives).withColumn("positive", F.lit(True))
     chosen = chosen.unionByName(some(held, unlabelled).withColumn("positive", F.lit(False)))
-    # At most positives + unlabelled ids.
-    sample = saved(held.join(F.broadcast(saved(chosen, "chosen")), "doc_id").select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "positive"), "sample")
+    # At most positives + unlabelled ids, and one row of each: the first text of a repeated id.
+    drawn = held.join(F.broadcast(saved(chosen, "chosen")), "doc_id").groupBy("doc_id", "positive").agg(F.min(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    sample = saved(drawn.select("text", "positive"), "sample")
     n = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     if not n.get(True) or not n.get(False) or not 0 < prior < 1:
         return Model({}, math.log(prior / (1 - prior)) if 0 < prior < 1 else -30.0)

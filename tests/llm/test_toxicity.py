@@ -33,3 +33,22 @@ def test_risk_is_kept_from_going_negative():
     rows, positive = np.concatenate([known, x]), np.arange(len(known) + 400) < len(known)
     w, b = toxicity.fit_weights(rows, positive, float(y.mean()))
     assert ((x @ w + b > 0) == y).mean() > 0.9 and np.abs(w).max() < 100
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    data = [(i % 40, f"{'vile awful slur' if i % 40 < 12 else 'kind plain words'} {i % 3}") for i in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    fitted = toxicity.fit_weights
+
+    def watched(x, positive, prior, **kw):
+        seen.append(len(x))
+        return fitted(x, positive, prior, **kw)
+
+    toxicity.fit_weights = watched
+    try:
+        got = toxicity.toxicity(docs, labels, positives=30, unlabelled=30).collect()
+    finally:
+        toxicity.fit_weights = fitted
+    assert seen and seen[0] <= 60 and len(got) == 4000
