@@ -1,28 +1,36 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines (one per block element), each marked by where it stands. Pages of a host are sorted by
-URL path; a page is paired with the neighbour whose path is nearest (longest common beginning), the two pages' lines
-are aligned by longest common subsequence, and shared lines are deleted: what a site repeats from page to page is not
-the article. Markup that states what a line is decides first: lines in menus, headers, footers, sidebars, notices,
-adverts, forms and comments go, and paragraphs, headings, lists and cells inside an article stay even if another page
-repeats them. Differencing decides on all other lines.
+A page is cut into text lines (one per block element). Pages of a host are sorted by URL path; a page is paired with the
+neighbour whose path is nearest (longest common beginning), the two pages' lines are aligned by longest common
+subsequence, and shared lines are deleted: what a site repeats from page to page is not the article.
+
+Markup speaks only where it is plain: lines in elements that are menus, footers, sidebars, forms or hidden, or whose
+class, id or role says nothing but that, go; paragraphs, headings, lists and cells inside an article's container stay
+even if another page repeats them. All other lines, in an article or outside of it, are decided by differencing. A page
+without a neighbour has nothing to be compared with: there, lines outside an article go if the article has more text.
 
 Scale: pages are shuffled by nothing but hashes of lines; pairing is a sort by ranges of (host, path) and an equi-join
 on the row number, so that a host may have any number of pages. Only the numbers of deleted lines come back to pages.
-
-Edge cases: null or empty html gives an empty text; a null or unparsable url has the empty host and path; repeated rows
-are one page when pairing, and each gets its result; a page alone on its host, or with no ambiguous line, is not
-changed by pairing; where deletion would leave nothing of a page without an article, it is a copy of its neighbour and
-is kept; an empty table gives an empty result; other columns are ignored.
+Tags are read in one pass without going back, and lines are aligned in linear memory, so that hostile pages take no
+longer than their length asks for.
+
+Edge cases: null or empty html gives an empty text; a null or unparsable url has the empty host and path; pages of a
+host with the same lines are one page when pairing, and each gets its result; where deletion would leave nothing of a
+page, it is a copy of its neighbour and is kept; a tag or comment that never ends hides the rest, as in browsers; an
+element of media or controls that is never closed hides nothing; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,31 +38,108 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import saved
 
 # Fixed values of HTML: elements by what they do to lines.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = frozenset("script style noscript template svg math iframe object textarea title select datalist canvas video audio head".split())
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+_HIDDEN = frozenset("noscript template svg math object select datalist canvas video audio".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
-_CLOSED_BY = {"p": None, "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
-#: Words of class, id and role that mark boilerplate, and those that mark an article's container.
+_CLOSED_BY = {"p": None, "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
+#: Words of class, id and role that name boilerplate; words that may stand beside them without changing that.
 _BAD_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar header footer sidebar aside widget widgets ad ads adsense advert adverts advertisement advertising sponsor sponsored "
-    "promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social follow related "
-    "recommended recommendations comment comments commentlist respond reply replies disqus discussion pagination pager toolbar search searchform copyright legal disclaimer skip hidden contentinfo complementary form dialog".split()
+    "promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social follow related "
+    "recommended recommendations comment comments commentlist respond reply replies disqus pagination pager toolbar search searchform copyright disclaimer hidden contentinfo complementary form dialog".split()
+)
+_NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content global group icons info inner items left line link links list main message outer page panel posts primary right row secondary "
+    "section site slot top unit wrap wrapper the of and to".split()
 )
 _COMMENT = re.compile(r"(?:^|\s)(?:comment|comments|commentlist|respond|reply|replies|disqus|discussion)(?:[-_](?:body|list|area|item|content|thread))?(?:\s|$)", re.I)
 _GOOD = re.compile(r"(?:^|\s)(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)(?:\s|$)|(?:^|\s)(?:articlebody|main|content|article|post|entry|story)(?:\s|$)", re.I)
 _OF_ARTICLE = frozenset("article post entry story".split())
-_WORD = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r""">|=\s*(["'])""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PART = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
+
+#: What markup says of a line: it goes, it stays, or differencing decides, inside an article or outside of it.
+DROP, KEEP, ASK, OUTSIDE = range(4)
+
+
+class _Ahead:
+    """The next place of an end tag; every part of the page is searched once for a name, since places only grow."""
+
+    def __init__(self, page: str):
+        self.page, self.places = page, {}
+
+    def __call__(self, name: str, at: int) -> int:
+        """Where the next end tag of that name begins, or the page's end."""
+        if self.places.get(name, -1) < at:
+            found = _end_tag(name).search(self.page, at)
+            self.places[name] = found.start() if found else len(self.page)
+        return self.places[name]
+
+
+@functools.lru_cache(maxsize=1000)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I)
 
-DROP, KEEP, ASK, OUTSIDE = 0, 1, 2, 3
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of tags; comments and the like have no name.
+
+    A tag ends at the first ">" outside a quoted value, a comment at "-->"; without that, at the page's end.
+    """
+    at, end, ahead, quotes = 0, len(page), _Ahead(page), {"'", '"'}
+    while (start := page.find("<", at)) >= 0:
+        if not (m := _NAME.match(page, start + 1)):
+            if not page.startswith(("<!", "</", "<?"), start):
+                at = start + 1  # a sign, which stays text
+                continue
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            over = page.find(mark, start + 2)
+            at = over + len(mark) if over >= 0 else end
+            yield start, at, "", False, ""
+            continue
+        name, at = m[2].lower(), m.end()
+        over = end
+        while stop := _STOP.search(page, at):
+            if not stop[1]:
+                over = at = stop.end()
+                break
+            close = page.find(stop[1], stop.end()) if stop[1] in quotes else -1
+            if close < 0:
+                quotes.discard(stop[1])  # none is left in the page
+            at = close + 1 if close >= 0 else stop.end()
+        closed = stop is not None
+        raw = page[m.end() : over - 1] if closed else ""
+        at = over
+        if closed and name in _RAW and not m[1] and not raw.endswith("/"):
+            body = ahead(name, at)
+            at = (page.find(">", body) + 1 or end) if body < end else end
+        yield start, at, name, bool(m[1]), raw
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+    return {m[1].lower(): _unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+
+
+def _unescape(text: str) -> str:
+    """Character references resolved; numbers beyond all characters are the replacement character."""
+    return _html.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def _says_boilerplate(named: str, but: frozenset[str]) -> bool:
+    """Whether some name of a class, id or role consists of words for boilerplate and neutral words only."""
+    for token in named.split()[:50]:
+        parts = set(_PART.findall(_CAMEL.sub(" ", token).lower()))
+        bad = parts & _BAD_WORDS
+        if bad - but and all(p in _BAD_WORDS or p in _NEUTRAL or p.isdigit() for p in parts):
+            return True
+    return False
 
 
 def _kind(name: str, raw: str, in_article: bool) -> str:
@@ -69,124 +154,148 @@ def _kind(name: str, raw: str, in_article: bool) -> str:
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return "bad"
     named = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
-    found = set(_WORD.findall(_CAMEL.sub(" ", named).lower()))
     if name in ("article", "main") or a.get("role") == "main" or a.get("itemprop", "").lower() == "articlebody" or _GOOD.search(named):
         return "bad" if _COMMENT.search(named) else "article"
-    if found & _BAD_WORDS and not (found & _BAD_WORDS <= {"header"} and (in_article or found & _OF_ARTICLE)):
-        return "bad"
-    return "bad" if a.get("role") == "navigation" else ""
+    parts = set(_PART.findall(named.lower()))
+    return "bad" if _says_boilerplate(named, frozenset(["header"]) if in_article or parts & _OF_ARTICLE else frozenset()) else ""
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(line, DROP | KEEP | ASK | OUTSIDE) of a page, in order."""
-    lines: list[tuple[str, int, bool]] = []
+    page = page or ""
+    lines: list[tuple[str, int]] = []
     stack: list[tuple[str, str]] = []
+    open_: Counter = Counter()
     text: list[str] = []
-    linked = 0
-    bad = article = prose = 0
+    linked = links = bad = article = prose = 0
+    ahead = _Ahead(page)
 
     def end_line() -> None:
         nonlocal linked
         if text:
-            line = " ".join(_html.unescape("".join(text)).split())
+            line = " ".join(_unescape("".join(text)).split())
             if line:
                 # Outside an article, a line that is mostly links is a menu.
-                kind = DROP if bad or not article and 2 * linked > len(line) else KEEP if article and prose else ASK
-                lines.append((line, kind, article > 0 or bool(stack) and stack[-1][0] == "h1"))
+                kind = DROP if bad or not article and 2 * linked > len(line) else KEEP if article and prose else ASK if article or stack and stack[-1][0] == "h1" else OUTSIDE
+                lines.append((line, kind))
             text.clear()
         linked = 0
 
-    def pop(to: int) -> None:
+    def push(name: str, kind: str) -> None:
         nonlocal bad, article, prose
-        while len(stack) > to:
-            name, kind = stack.pop()
-            bad -= kind == "bad"
-            article -= kind == "article"
-            prose -= name in _PROSE
+        stack.append((name, kind))
+        open_[name] += 1
+        bad += kind == "bad"
+        article += kind == "article"
+        prose += name in _PROSE
 
-    page = page or ""
-    at, links = 0, 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            text.append(page[at : m.start()])
+    def pop() -> str:
+        nonlocal bad, article, prose
+        name, kind = stack.pop()
+        open_[name] -= 1
+        bad -= kind == "bad"
+        article -= kind == "article"
+        prose -= name in _PROSE
+        return name
+
+    at = 0
+    for start, end, name, closing, raw in _tags(page):
+        if start > at:
+            text.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+                linked += start - at
+        at = end
         if not name:
             continue
-        closing, raw = m[1] or m[4], m[3] or m[6] or ""
-        if name in _RAW and not closing and not raw.endswith("/"):
-            if name not in ("svg", "math"):
-                end_line()
-            over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = over.end() if over else (at if name == "head" else len(page))
+        if name in _RAW:
+            end_line()
             continue
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
-        if name in _INLINE and (closing or not raw):
-            if closing and any(x[0] == name for x in stack[-3:]):
-                pop(max(i for i, x in enumerate(stack) if x[0] == name))
-            continue
         if name == "br":
             text.append(" ")
             continue
         if name in _INLINE:
-            if name not in _VOID and _kind(name, raw, article > 0) == "bad" and name != "a":
+            if closing and any(x[0] == name for x in stack[-3:]):
+                end_line()
+                while pop() != name:
+                    pass
+            elif not closing and raw and name not in _VOID and name != "a" and _kind(name, raw, article > 0) == "bad":
                 end_line()
-                stack.append((name, "bad"))
-                bad += 1
+                push(name, "bad")
             continue
-        end_line()
+        if name not in ("svg", "math"):
+            end_line()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if open_[name]:
+                while pop() != name:
+                    pass
             continue
-        if stack and stack[-1][0] in _CLOSED_BY and ((by := _CLOSED_BY[stack[-1][0]]) is None or name in by):
-            pop(len(stack) - 1)
+        if stack and stack[-1][0] in _CLOSED_BY and name not in _HIDDEN and ((by := _CLOSED_BY[stack[-1][0]]) is None or name in by):
+            pop()
         if name in _VOID or raw.endswith("/"):
             continue
-        kind = _kind(name, raw, article > 0)
-        stack.append((name, kind))
-        bad += kind == "bad"
-        article += kind == "article"
-        prose += name in _PROSE
+        if name in _HIDDEN:
+            # Never closed, or not before its article is: it hides nothing.
+            over = ahead(name, end)
+            if over < len(page) and not any(open_[x] and ahead(x, end) < over for x in ("article", "main")):
+                push(name, "bad")
+            continue
+        push(name, "" if name == "head" else _kind(name, raw, article > 0))
     text.append(page[at:])
     end_line()
-    inside = any(k == KEEP for _, k, _ in lines)
-    return [(line, OUTSIDE if inside and k == ASK and not stays else k) for line, k, stays in lines]
+    return lines
 
 
-def main_text(page: str | None, shared: set[int] = frozenset()) -> str:
-    """The page's text without boilerplate and without the ambiguous lines whose numbers are in shared."""
+def main_text(page: str | None, deleted: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's text without boilerplate and without the open lines whose numbers are in deleted."""
     lines = lines_of(page)
-    kept = [line for i, (line, k) in enumerate(lines) if k == KEEP or k == ASK and i not in shared]
-    return " ".join(kept or [line for line, k in lines if k == ASK])
+    kept = [line for i, (line, k) in enumerate(lines) if k == KEEP or k != DROP and i not in deleted]
+    return " ".join(kept or [line for line, k in lines if k != DROP])
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence with b, by bit-parallel rows."""
+def _row(a: list[int], b: list[int]) -> int:
+    """After all of a: bit j is 0 where the longest common subsequence with b[:j + 1] is longer than with b[:j]; bit-parallel."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    rows = [full]
+    v = full
     for x in a:
-        v = rows[-1]
-        u = v & where.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
-    i, j, found = len(a), len(b), []
-    while i and j:
-        if rows[i] >> (j - 1) & 1:
-            j -= 1
-        elif not rows[i - 1] >> (j - 1) & 1:
-            i -= 1
-        else:
-            i, j = i - 1, j - 1
+        if m := where.get(x):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with every beginning of b."""
+    bits = np.unpackbits(np.frombuffer(_row(a, b).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of a longest common subsequence with b, by divide and conquer over a, so that memory stays linear."""
+    found: list[int] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        i, k, j, n = parts.pop()
+        while i < k and j < n and a[i] == b[j]:
             found.append(i)
-    return found[::-1]
+            i, j = i + 1, j + 1
+        while i < k and j < n and a[k - 1] == b[n - 1]:
+            k, n = k - 1, n - 1
+            found.append(k)
+        if i >= k or j >= n:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:n]:
+                found.append(i)
+            continue
+        half = (i + k) // 2
+        cut = j + int(np.argmax(_lengths(a[i:half], b[j:n]) + _lengths(a[half:k][::-1], b[j:n][::-1])[::-1]))
+        parts += [(i, half, j, cut), (half, k, cut, n)]
+    return sorted(found)
 
 
 def nearest(path: str, before: str | None, after: str | None) -> int:
@@ -205,28 +314,36 @@ def _line_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     for pdf in batches:
-        lines = [lines_of(h) for h in pdf["html"]]
-        yield pd.DataFrame({
-            "key": pdf["key"], "host": pdf["host"], "path": pdf["path"],
-            "lines": [[xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x, _ in own] for own in lines],
-            "ask": [[i for i, (_, k) in enumerate(own) if k == ASK] for own in lines],
-        })
+        rows = []
+        for h in pdf["html"]:
+            lines = lines_of(h)
+            hashes = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) for x, _ in lines], "<u8")
+            kinds = np.array([k for _, k in lines], "u1")
+            name = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes() + kinds.tobytes())).view(np.int64)
+            rows.append((int(name), hashes.view("<i8"), kinds.tobytes(), np.array([len(x) for x, _ in lines], "<i4")))
+        yield pd.concat([pdf[["key", "host", "path"]], pd.DataFrame(rows, columns=["same", "lines", "kinds", "sizes"], index=pdf.index)], axis=1)
+
+
+def deleted_lines(lines: list[int], kinds: bytes, sizes: list[int], other: list[int] | None) -> list[int]:
+    """Numbers of the open lines that a page loses: those that its nearest page has too; without one, those outside of a longer article."""
+    if other is not None:
+        return [i for i in common_lines(lines, other) if kinds[i] in (ASK, OUTSIDE)]
+    outside = [i for i, k in enumerate(kinds) if k == OUTSIDE]
+    return outside if sum(n for n, k in zip(sizes, kinds, strict=True) if k in (KEEP, ASK)) > sum(sizes[i] for i in outside) else []
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples():
             other = (r.before, r.after)[nearest(r.path, r.before_path, r.after_path)]
-            if other is not None:
-                ask = set(r.ask.tolist())
-                rows.append((r.key, [i for i in common_lines(r.lines.tolist(), other.tolist()) if i in ask]))
-        yield pd.DataFrame([x for x in rows if x[1]], columns=["key", "shared"])
+            rows.append((r.host, r.same, deleted_lines(r.lines.tolist(), r.kinds, r.sizes.tolist(), None if other is None else other.tolist())))
+        yield pd.DataFrame([x for x in rows if x[2]], columns=["host", "same", "deleted"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = [main_text(h, set() if s is None else set(s.tolist())) for h, s in zip(pdf["html"], pdf["shared"], strict=True)]
+        texts = [main_text(h, frozenset() if s is None else set(s.tolist())) for h, s in zip(pdf["html"], pdf["deleted"], strict=True)]
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -236,11 +353,13 @@ def _address(url: Column) -> tuple[Column, Column]:
     return F.lower(parts(1)), parts(2)
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """pages (key, host, path, html) -> (key, shared): the numbers of lines that a page shares with its nearest page."""
+def differences(pages: DataFrame) -> DataFrame:
+    """pages (key, host, path, html) -> (key, deleted): the numbers of open lines that pages lose, pages without any left out."""
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = saved(pages.mapInPandas(_line_hashes, "key long, host string, path string, lines array<long>, ask array<int>"), "lines").dropDuplicates(["key"])
-    ranged = narrow.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    read = saved(pages.mapInPandas(_line_hashes, "key long, host string, path string, same long, lines array<long>, kinds binary, sizes array<int>"), "lines")
+    # Pages of a host with the same lines are one; all their columns but the path are equal.
+    narrow = read.groupBy("host", "same").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("lines", "kinds", "sizes")))
+    ranged = narrow.repartitionByRange(n, "host", "path", "same").sortWithinPartitions("host", "path", "same")
     ranged = saved(ranged.withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}), "sorted")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     starts = sizes.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
@@ -251,12 +370,15 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     def neighbour(name: str, step: int) -> DataFrame:
         return numbered.select((F.col("row") + step).alias("row"), F.col("host").alias(name + "_host"), F.col("path").alias(name + "_path"), F.col("lines").alias(name))
 
-    # A page without ambiguous lines loses none.
-    pairs = numbered.filter(F.size("ask") > 0).join(neighbour("before", 1), "row", "left").join(neighbour("after", -1), "row", "left")
+    # A page without open lines loses none.
+    open_lines = F.hex("kinds").rlike(f"^(..)*0[{ASK}{OUTSIDE}]")
+    pairs = numbered.filter(open_lines).join(neighbour("before", 1), "row", "left").join(neighbour("after", -1), "row", "left")
     for name in ("before", "after"):
         same = F.col(name + "_host") == F.col("host")
         pairs = pairs.withColumns({name: F.when(same, F.col(name)), name + "_path": F.when(same, F.col(name + "_path"))})
-    return pairs.select("key", "path", "lines", "ask", "before", "before_path", "after", "after_path").mapInPandas(_shared, "key long, shared array<int>")
+    columns = ("host", "same", "path", "lines", "kinds", "sizes", "before", "before_path", "after", "after_path")
+    lost = pairs.select(*columns).mapInPandas(_deleted, "host string, same long, deleted array<int>")
+    return read.select("key", "host", "same").dropDuplicates(["key"]).join(lost, ["host", "same"]).select("key", "deleted")
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -264,6 +386,6 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     own = pages.select(F.col(f"`{page_id}`").cast("string").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
     host, path = _address(F.col("url"))
     own = own.withColumns({"key": F.xxhash64("page_id", "url", "html"), "host": host, "path": path})
-    shared = saved(shared_lines(own), "shared")
-    found = own.join(shared, "key", "left").select("page_id", "url", "html", "shared").mapInPandas(_texts, "page_id string, url string, text string, n_chars long")
+    deleted = saved(differences(own), "deleted")
+    found = own.join(deleted, "key", "left").select("page_id", "url", "html", "deleted").mapInPandas(_texts, "page_id string, url string, text string, n_chars long")
     return found.withColumn("page_id", F.col("page_id").cast("long"))

@@ -1,6 +1,7 @@
 import html as _html
 import random
 import re
+import time
 
 from lodestone.llm import htmlmain
 from tests.llm.helpers import rows, table
@@ -34,6 +35,12 @@ def test_structure():
     assert htmlmain.main_text(page) == "T H Body."
     assert htmlmain.main_text(None) == htmlmain.main_text("") == htmlmain.main_text("<p hidden>x</p>") == ""
     assert htmlmain.main_text("plain & text") == "plain & text"
+    assert htmlmain.main_text("<body><article><p>One.</p><video src=x><p>Two.</p><select><option>1<p>Three.</article><div>Four</div>") == "One. Two. 1 Three. Four"
+    assert htmlmain.main_text("<article><p>a</p><video><p>No video here</p></video><p>b</p></article>") == "a b"
+    assert htmlmain.main_text("<div class='legal-news'><p>Real article text</p></div>") == "Real article text"
+    assert htmlmain.main_text("a <!-- b --> c <!DOCTYPE x> d <!-- never ends") == "a c d"
+    assert htmlmain.main_text("x &#" + "9" * 6000 + "; &#x41; y") == "x \ufffd A y"
+    assert htmlmain.main_text('<p title="a > b" class=\'>\'>c</p><p title="open>d</p>') == "c d"
     assert htmlmain.main_text("<p>unclosed <b>tags <i>here<p>a < b > c") == "unclosed tags here a < b > c"
 
 
@@ -46,7 +53,7 @@ def test_differencing_removes_what_pages_share(spark):
     assert all(got[i] == f"Story number {i} Words of {i}." for i in range(8))
     assert got[20] == "Welcome to our site Only Page All prices include tax"
     assert got[21] == got[22] == ""
-    assert got[31].endswith("Twin page All prices include tax")
+    assert got[30] == got[31] == "Twin page"  # copies are one page, compared with another
 
 
 def test_empty_and_extra_columns(spark):
@@ -67,3 +74,36 @@ def test_common_lines_match_brute_force():
         assert len(got) == best[-1][-1]
         rest = iter(b)
         assert all(a[i] in rest for i in got)
+
+
+def test_differencing_decides_inside_and_outside_of_articles(spark):
+    page = """<body><div>Site of news</div><article><p>{0}</p><div>Share this story</div><div>{1}</div></article><div>{2}</div><div>Read our terms</div></body>"""
+    data = [(i, f"http://x.org/{i}", page.format(f"Lead {i}.", f"Inner {i}.", f"Outer text of {i} " * 3)) for i in range(5)]
+    # Nothing to compare with: the longer article alone counts, else all lines.
+    data += [(10, "http://y.org/", page.format("Lead. " * 20, "Inner.", "Outer")), (11, "http://z.org/", page.format("Teaser.", "", "Outer text. " * 20))]
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Lead {i}. Inner {i}. " + (f"Outer text of {i} " * 3).strip() for i in range(5))
+    assert got[10] == ("Lead. " * 20) + "Share this story Inner."
+    assert got[11].startswith("Site of news Teaser.") and got[11].endswith("Outer text. Read our terms")
+
+
+def test_share_of_lines_decided_by_differencing(spark):
+    """Of pages whose markup says nothing, all lines; of the fixtures', whose markup says everything, none."""
+    kinds = lambda pages: [k for p in pages for _, k in htmlmain.lines_of(p)]
+    fixtures = [r["html"] for r in table(spark, "pages", "sf0.01").collect()]
+    unmarked = [re.sub(r"</?(?:article|nav|footer)>", "", re.sub(r"<li><a [^>]*>([^<]*)</a></li>", r"<div>\1</div>", p)).replace(' class="ad"', "") for p in fixtures]
+    share = lambda pages: sum(k in (htmlmain.ASK, htmlmain.OUTSIDE) for k in kinds(pages)) / len(kinds(pages))
+    print("decided by differencing:", share(fixtures), share(unmarked))
+    assert share(fixtures) == 0 and share(unmarked) == 1
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    pages = ["<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, '<a b="' * 170_000, "<video>" * 150_000, "<!--" * 250_000, "<script>" * 120_000, "&#9" * 300_000, "<select>" * 100_000 + "</select>", "<a b='" * 100_000 + '"' * 100_000]
+    for page in pages:
+        began = time.process_time()
+        htmlmain.main_text(page)
+        assert time.process_time() - began < 3, page[:20]
+    a = list(range(20_000))
+    b = a[:]
+    random.Random(1).shuffle(b)
+    assert len(htmlmain.common_lines(a, b)) > 200 and htmlmain.common_lines(a, a) == a
