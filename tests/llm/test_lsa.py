@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import lsa
@@ -60,27 +61,49 @@ def test_paraphrases(spark):
     assert len({(d, i) for d, _, i in rows} & got) >= 0.95 * len(rows)
 
 
-def test_items_of_every_length(spark):
+def planted(spark, lengths, changed, each=8):
+    """(documents, items): item i of n words lies in document i, with every changed-th word replaced by another."""
     rng, docs, items = random.Random(6), [], []
     texts = [lsa.tokens(r["text"]) for r in table(spark, sf="sf0.01").orderBy("doc_id").limit(120).collect()]
     pool = sorted({w for t in texts for w in t})
-    for n in (4, 10, 300, 1000):
-        for _ in range(8):
+    for n in lengths:
+        for _ in range(each):
             words = rng.sample(pool, min(n, len(pool))) + rng.choices(pool, k=max(0, n - len(pool)))
             around, at = rng.choices(pool, k=1500), rng.randrange(1500)
             items.append((len(items), " ".join(words)))
-            docs.append((len(docs), " ".join(around[:at] + words + around[at:])))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in lsa.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    missed = [len(items[i][1].split()) for i in range(len(items)) if (i, i) not in got]
-    print("missed lengths", missed)
-    assert not missed
+            inside = [f"other{k}" if changed and k % changed == 1 else w for k, w in enumerate(words)]
+            docs.append((len(docs), " ".join(around[:at] + inside + around[at:])))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_items_of_every_length(spark):
+    for changed in (0, 6):
+        docs, items = planted(spark, (3, 4, 10, 40, 220, 300, 600, 2000), changed)
+        got = {(r["doc_id"], r["item_id"]) for r in lsa.leaks(docs, items, rank=32).collect()}
+        missed = [n for i, n in enumerate(k for k in (3, 4, 10, 40, 220, 300, 600, 2000) for _ in range(8)) if (i, i) not in got]
+        print("words changed", changed, "missed lengths", missed)
+        # A third of three words changed leaves less than COVERED.
+        assert set(missed) <= ({3} if changed else set())
+
+
+def test_recall_by_rank(spark):
+    """A lower rank proposes more, and loses none: equal words have equal places at any rank."""
+    docs, items = planted(spark, (12, 30, 60), 7, each=50)
+    for rank in (16, 64, 128):
+        found = lsa.leaks(docs, items, rank=rank).filter("doc_id = item_id").count()
+        print(f"rank {rank}: {found} of 150")
+        assert found >= 140
+
+
+def test_an_index_beyond_the_limit_is_refused(spark):
+    with pytest.raises(ValueError, match="bytes"):
+        lsa.leaks(table(spark), table(spark, "benchmark"), max_bytes=100_000)
 
 
 def test_basis_spans_the_rows(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(30, 80))
-    rows = spark.createDataFrame([(list(range(80)), x.tolist()) for x in a], "terms array<int>, values array<double>").repartition(3)
+    rows = spark.createDataFrame([(list(range(80)), x.tolist()) for x in a], "terms array<int>, values array<float>").repartition(3)
     v = lsa.randomised_basis(rows, 80, 30)
     assert np.allclose(a @ v @ v.T, a, atol=1e-3)
     low = lsa.randomised_basis(rows, 80, 5, rounds=6)
