@@ -9,18 +9,21 @@ Scale: texts are shuffled once; a task holds a batch of texts and a bounded cach
 A task that is tried again writes another file, and the index names only files of tasks that succeeded.
 
 Edge cases: null and empty texts are documents of the end id alone; rows without doc_id come first; ties and repeated
-rows are all kept, in order of the text's hash; an empty table gives no shards; other columns are ignored.
+rows are all kept, in order of the text's hash; an empty table gives no shards; other columns are ignored. A vocabulary
+of any kind that the tokenizers library reads will do; ids above what dtype holds are an error.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import uuid
 import zlib
 from array import array
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,9 +38,8 @@ _INDEX = "shard long, ids string, off string, doc string, n_docs long, n_null lo
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-_CLOSING = ".,!?;:"
-#: Words remembered by a worker, in two generations of half as many.
-CACHE = 1_200_000
+#: Words that a worker remembers, besides those of the texts at hand.
+CACHE = 500_000
 
 
 def _has_run(text: str) -> bool:
@@ -45,62 +47,53 @@ def _has_run(text: str) -> bool:
     return text[:1].isspace() or text[-1:].isspace() or (any(x in text for x in _RUNS) if text.isascii() else _RUN.search(text) is not None)
 
 
+def _cuts_at_spaces(vocabulary: str) -> bool:
+    """Whether a tokenizer splits at every single space between two non-space characters before it merges: a byte-level
+    one with its own expression, nothing that rewrites texts, and added tokens that take no white space along."""
+    with open(vocabulary, encoding="utf-8") as f:
+        said = json.load(f)
+    before, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return bool(
+        plain and said.get("model", {}).get("type") == "BPE" and not any(said.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"] for t in added)
+    )
+
+
 class Encoder:
-    """Ids of whole texts as bytes. The tokenizer splits at every single space between two non-space characters before
-    it merges, so a text's ids are the ids of its parts, cut before such spaces; parts are encoded once and remembered."""
+    """Ids of whole texts as bytes. Where the tokenizer splits at every single space between two non-space characters, a
+    text's ids are the ids of its parts, cut before such spaces; parts are encoded once and remembered. With any other
+    tokenizer, texts are encoded whole."""
 
     def __init__(self, vocabulary: str, dtype: str, end: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(vocabulary).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.dtype, self.code = np.dtype(dtype), {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
-        self.old: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
-
-    def _known(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of each part. A letter or digit and closing punctuation are never merged, so both sides are encoded on their own."""
-        cores, pieces = {}, set()
-        for p in parts:
-            core = p.rstrip(_CLOSING)
-            if len(core) < len(p) and core[-1:].isalnum():
-                cores[p] = core
-                pieces.add(core)
-                pieces.add(p[len(core) :])
-            else:
-                pieces.add(p)
-        found, missing = {}, []
-        for p in pieces:
-            b = self.new.get(p)
-            if b is None:
-                b = self.old.get(p)
-                if b is None:
-                    missing.append(p)
-                    continue
-                self.new[p] = b
-            found[p] = b
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            for p, e in zip(some, self.encode(some, add_special_tokens=False), strict=True):
-                found[p] = self.new[p] = array(self.code, e.ids).tobytes()
-        if len(self.new) > CACHE // 2:
-            self.old, self.new = self.new, {}
-        for p, core in cores.items():
-            found[p] = found[core] + found[p[len(core) :]]
-        return found
+        self.cuts = _cuts_at_spaces(vocabulary)
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 10_000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False):
+                yield array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut, words, firsts = [], set(), set()
+        if not self.cuts:
+            return [b + self.end for b in self._encoded(texts)]
+        cut, words, known = [], set(), self.known
         for t in texts:
             parts = _CUT.split(t) if _has_run(t) else t.split(" ")
-            cut.append((parts[0], parts[1:]))
-            firsts.add(parts[0])
-            words.update(cut[-1][1])
-        spaced = {w: " " + w for w in words}
-        known = self._known(firsts.union(spaced.values()))
-        after = {w: known[s] for w, s in spaced.items()}
-        return [known[first] + b"".join(map(after.__getitem__, rest)) + self.end for first, rest in cut]
+            cut.append(parts)
+            words.update(parts)
+        missing = list(words.difference(known))
+        known.update(zip(missing, self._encoded([" " + w for w in missing]), strict=True))
+        found = [first + b"".join(map(known.__getitem__, parts[1:])) + self.end for first, parts in zip(self._encoded([p[0] for p in cut]), cut, strict=True)]
+        if len(known) > CACHE:  # the words of the last texts stay; frequent ones are among them
+            self.known = {w: known[w] for w in words} if len(words) <= CACHE // 2 else {}
+        return found
 
 
 @functools.lru_cache(maxsize=1)
@@ -164,31 +157,49 @@ class TokenFiles:
         return self.index().mapInPandas(partial(_read_shards, dtype=self.dtype, with_ids=with_ids), schema)
 
 
-def _mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the shared folder is mounted, else read."""
-    store, path = _store(uri)
-    size = store.get_file_info(path).size
-    if not size:
-        return np.empty(0, dtype)
-    if store.type_name == "local":
-        return np.memmap(path, dtype=dtype, mode="r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Reader:
+    """Parts of files as arrays: memory-mapped where the shared folder is mounted; else read by ranges, of which the
+    latest are kept, up to so many bytes."""
+
+    def __init__(self, most: int = 256 << 20):
+        self.most, self.size, self.mapped, self.stores, self.kept = most, 0, {}, {}, OrderedDict()
+
+    def __call__(self, uri: str, dtype: str, start: int, n: int) -> np.ndarray:
+        """n values from the start-th on."""
+        if not n:
+            return np.empty(0, dtype)
+        if (whole := self.mapped.get((uri, dtype))) is not None:
+            return whole[start : start + n]
+        store, path = self.stores.get(uri) or self.stores.setdefault(uri, _store(uri))
+        if store.type_name == "local":
+            return self.mapped.setdefault((uri, dtype), np.memmap(path, dtype=dtype, mode="r"))[start : start + n]
+        if (part := self.kept.pop((uri, start, n), None)) is None:
+            width = np.dtype(dtype).itemsize
+            with store.open_input_file(path) as f:
+                f.seek(start * width)
+                part = np.frombuffer(f.read(n * width), dtype)
+            self.size += part.nbytes
+        self.kept[uri, start, n] = part
+        while self.size > self.most and len(self.kept) > 1:
+            self.size -= self.kept.popitem(last=False)[1].nbytes
+        return part
 
 
 def _read_shards(batches: Iterator[pd.DataFrame], dtype: str, with_ids: bool) -> Iterator[pd.DataFrame]:
+    read = Reader(0)
     for pdf in batches:
         for s in pdf.itertuples():
-            ids, off, doc = _mapped(s.ids, dtype), _mapped(s.off, "<i8"), _mapped(s.doc, "<i8")
             for at in range(0, s.n_docs, 2000):
-                k = np.arange(at, min(s.n_docs, at + 2000))
+                n = min(s.n_docs - at, 2000)
+                off, doc = read(s.off, "<i8", at, n + 1), read(s.doc, "<i8", at, n)
+                ids = [read(s.ids, dtype, int(a), int(b - a)) for a, b in zip(off, off[1:], strict=False)]
                 rows = pd.DataFrame({
-                    "doc_id": pd.array(doc[k], dtype="Int64"), "start": s.start + off[k], "n_tokens": off[k + 1] - off[k],
-                    "ids_crc32": [zlib.crc32(ids[off[i] : off[i + 1]].astype("<u4").tobytes()) for i in k],
+                    "doc_id": pd.array(doc, dtype="Int64"), "start": s.start + off[:-1], "n_tokens": off[1:] - off[:-1],
+                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
                 })
-                rows.loc[k < s.n_null, "doc_id"] = pd.NA
+                rows.loc[np.arange(at, at + n) < s.n_null, "doc_id"] = pd.NA
                 if with_ids:
-                    rows["ids"] = [ids[off[i] : off[i + 1]].astype("<i8") for i in k]
+                    rows["ids"] = [x.astype("<i8") for x in ids]
                 yield rows
 
 
@@ -199,8 +210,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int | None = 2, dtype: s
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(n, "doc_id", "tie")
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(n, "doc_id", "tie", "row")  # row spreads rows that are repeated very often
         .sortWithinPartitions("doc_id", "tie")
         .select(F.spark_partition_id().alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("absent"), "text")
     )

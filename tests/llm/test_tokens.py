@@ -43,8 +43,34 @@ def test_edges(spark):
 
 
 def test_parts_encode_like_whole_texts():
-    rng, parts = random.Random(2), [" ", "  ", "\n", " \n", "\t", "a", "Bc'", "'s", "'ll", "12", "é", "\xa0", "　", "\x1c", "\x85", "😀", "<|endoftext|>", "...", "word", "-"]
+    rng, parts = random.Random(2), [" ", "  ", "\n", " \n", "\t", "a", "Bc'", "'s", "'ll", "12", "é", "\xa0", "　", "\x1c", "\x85", "😀", "<|endoftext|>", "...", "word", "-", "dogs'", "_", "x.\n", ")\n(", "<|", "|>", "½", "²", "e\u0301"]
     t, encode = encoder(), tokens.Encoder(vocabulary(), "<u2", 2)
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
     for text, b in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(b, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2], repr(text)
+
+
+def test_other_vocabularies_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path, texts = vocabulary("word_bpe_49k.json"), ["One  two, THREE<|endoftext|> four", "", " a b ", "line\n\nline"]
+    t, encode = Tokenizer.from_file(path), tokens.Encoder(path, "<u2", None)
+    assert not encode.cuts
+    assert [np.frombuffer(b, "<u2").tolist() for b in encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    t, encode = encoder(), tokens.Encoder(vocabulary(), "<u2", 2)
+    for k in range(5):
+        texts = [f"word{k}x{i} common again" for i in range(40)]
+        for text, b in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(b, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+        assert len(encode.known) <= 50
+
+
+def test_very_many_equal_rows_are_spread(spark):
+    df = spark.createDataFrame([(None, "same") for _ in range(400)] + [(3, "x")], "doc_id long, text string").repartition(6)
+    files = tokens.write_tokens(df, vocabulary(), shards=4)
+    assert max(s[4] for s in files.shards) < 300
+    assert sorted(r["start"] for r in files.documents().collect()) == list(range(0, 802, 2))
