@@ -4,13 +4,15 @@ N-grams are counted in Spark and stored as sorted arrays of 64-bit keys with the
 that workers map into memory and search by bisection.
 
 Words are stored by the 64-bit hash of their text; a word's place in the sorted array is its id. A bigram's key is the
-pair of ids, exact. P(w | u) = max(c(u w) - D(c), 0) / c(u) + gamma(u) * P(w), with three discounts D for counts 1, 2
+pair of ids, exact, where two ids fit into 63 bits (over two thousand million words), else a 64-bit hash of the pair.
+Counts have 64 bits. P(w | u) = max(c(u w) - D(c), 0) / c(u) + gamma(u) * P(w), with three discounts D for counts 1, 2
 and more, and P(w) likewise from the number of different words before w, interpolated with the uniform distribution
 over the vocabulary and one unknown word. The beginning of a text is a context, its end a word.
 
 Scale: three passes over texts in tasks, which count before they emit; words and bigrams are dealt out to many buckets,
-the bigrams of a frequent first word over as many of them as its share asks for; the driver sees one row a bucket.
-Workers map what they search; nothing of the model's size is broadcast.
+the bigrams of a frequent first word over as many of them as its share asks for; Spark sorts them, with spilling, and
+tasks write them as they come. The driver sees one row a bucket. Workers map what they search, or read it by buckets
+where the shared folder isn't mounted, and keep a bounded part; nothing of the model's size is broadcast.
 
 Edge cases: null and empty texts are the end alone; unknown words share one unknown's probability; without training
 texts every word is unknown; repeated rows count each time; null ids belong to the fold of the empty text; an empty
@@ -19,7 +21,6 @@ table gives an empty result; other columns are ignored. Different words with one
 
 from __future__ import annotations
 
-import functools
 import secrets
 from collections import Counter
 from collections.abc import Iterator
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bucket_of_id, new_path, saved
-from lodestone.llm.tokens import _mapped, _store
+from lodestone.llm.tokens import Reader, _store
 
-#: The end of a text as a word, and the beginning as a context; no word can have these texts or ids.
-END, BEGIN = b"\n", (1 << 32) - 2
+#: The end of a text as a word; no word can have this text. The beginning, a context only, has the id after all words.
+END = b"\n"
 FOLDS, HELD_OUT = 7, 2
+#: Bits of a bigram's key that may hold two ids.
+PACKED = 63
 BLOCK = 1 << 16
 _FLUSH = 1_000_000
 
@@ -81,6 +84,10 @@ def _by_label(labels: np.ndarray) -> Iterator[np.ndarray]:
     return (order[run] for run in _runs(labels[order]))
 
 
+#: One for all tasks of a worker.
+_read = Reader()
+
+
 class Sorted:
     """Sorted keys and counts in bucket files: {bucket: (file, start, n)}; ids are places in the order of buckets."""
 
@@ -90,7 +97,6 @@ class Sorted:
             self.base[b] = at
             at += index[b][2]
         self.size = at
-        self.files: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self):
         return self.index
@@ -99,12 +105,9 @@ class Sorted:
         self.__init__(index)
 
     def segment(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of a bucket, mapped."""
+        """Keys and counts of a bucket."""
         file, start, n = self.index[bucket]
-        if file not in self.files:
-            self.files[file] = _mapped(file + ".key", "<u8"), _mapped(file + ".cnt", "<u4")
-        keys, counts = self.files[file]
-        return keys[start : start + n], counts[start : start + n]
+        return _read(file + ".key", "<i8", start, n), _read(file + ".cnt", "<i8", start, n)
 
     def find(self, buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each key."""
@@ -135,28 +138,55 @@ def _file(folder: str, number: int) -> str:
     return f"{folder}/{number:016x}"
 
 
-def _write_sorted(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
-    """A partition's rows (bucket, key, n), sorted, to a file; yields (bucket, keys, counts, file number, start) of each
-    bucket, counts of equal keys added up. A partition's keys are held as arrays; more partitions make them smaller."""
-    columns = [(pdf["bucket"].to_numpy("i4"), pdf["key"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("i8")) for pdf in batches]
-    if not columns:
-        return
-    buckets, keys, n = (np.concatenate(x) for x in zip(*columns, strict=True))
-    del columns
-    order = np.argsort(keys)
-    buckets, keys, n = buckets[order], keys[order], n[order]
-    store, path = _store(folder)
-    store.create_dir(path, recursive=True)
-    number, at = secrets.randbits(62), 0
-    with store.open_output_stream(_file(path, number) + ".key") as key_file, store.open_output_stream(_file(path, number) + ".cnt") as count_file:
-        for some in _by_label(buckets):
-            own = keys[some]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            own, counts = own[starts], np.minimum(np.add.reduceat(n[some], starts), (1 << 32) - 1)
-            key_file.write(own.astype("<u8").tobytes())
-            count_file.write(counts.astype("<u4").tobytes())
-            yield int(buckets[some[0]]), own, counts, number, at
-            at += len(own)
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows (bucket, key, n, ...) sorted by bucket and key, in pieces of one bucket; n of equal keys is added up, across batches too."""
+    last: dict[str, np.ndarray] = {}
+
+    def pieces(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        for run in _runs(rows["bucket"]):
+            yield {c: x[run[0] : run[-1] + 1] for c, x in rows.items()}
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rows = {c: pdf[c].to_numpy("i8") for c in pdf}
+        if last:
+            rows = {c: np.r_[last[c], x] for c, x in rows.items()}
+        b, k = rows["bucket"], rows["key"]
+        starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
+        n = np.add.reduceat(rows["n"], starts)
+        rows = {c: n if c == "n" else x[starts] for c, x in rows.items()}
+        last = {c: x[-1:] for c, x in rows.items()}  # may go on in the next batch
+        yield from pieces({c: x[:-1] for c, x in rows.items()})
+    if last:
+        yield from pieces(last)
+
+
+def _write_sorted(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[tuple[dict[str, np.ndarray] | None, tuple[int, int, int, int] | None]]:
+    """Writes a partition's sorted rows to a file as they come; yields (piece, None) of each, and (None, (bucket, file
+    number, start, size)) at the end of a bucket."""
+    store = bucket = None
+    try:
+        for piece in _merged(batches):
+            if store is None:
+                store, path = _store(folder)
+                store.create_dir(path, recursive=True)
+                number, at, start = secrets.randbits(62), 0, 0
+                files = [store.open_output_stream(_file(path, number) + x) for x in (".key", ".cnt")]
+            if bucket is not None and piece["bucket"][0] != bucket:
+                yield None, (bucket, number, start, at - start)
+                start = at
+            bucket = int(piece["bucket"][0])
+            files[0].write(piece["key"].astype("<i8").tobytes())
+            files[1].write(piece["n"].astype("<i8").tobytes())
+            at += len(piece["key"])
+            yield piece, None
+    finally:
+        if store is not None:
+            for f in files:
+                f.close()
+    if bucket is not None:
+        yield None, (bucket, number, start, at - start)
 
 
 def _count_words(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
@@ -187,27 +217,42 @@ class Words:
     n_texts: int
     buckets: int
 
+    def __post_init__(self):
+        self.begin = self.store.size
+        self.shift = self.begin.bit_length()
+        self.packed = 2 * self.shift <= PACKED
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the words of all texts, their counts, number of words of each text)."""
         split = [_words(t) for t in texts]
         flat = list(chain.from_iterable(split))
         distinct = list(dict.fromkeys(flat))
         keys = _hashes(distinct)
-        ids, counts = self.store.find((keys >> np.uint64(64 - self.bits)).astype("i4"), keys)
+        ids, counts = self.store.find((keys >> np.uint64(64 - self.bits)).astype("i4"), keys.view("i8"))
         at = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, flat), np.int64, len(flat))
         return ids[at], counts[at], np.fromiter(map(len, split), np.int64, len(split))
 
+    def keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Keys of bigrams by their words' ids."""
+        if self.packed:
+            return u << self.shift | w
+        return _mix(_mix(u) + w.astype(np.uint64)).view("i8")
+
+    def parts(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of bigrams: from their keys, or carried beside them."""
+        return (rows["key"] >> self.shift, rows["key"] & ((1 << self.shift) - 1)) if self.packed else (rows["u"], rows["w"])
+
     def bigram_buckets(self, u: np.ndarray, w: np.ndarray, u_counts: np.ndarray) -> np.ndarray:
         """A first word with a share f of all tokens goes to 1 + f * buckets buckets."""
-        parts = 1 + u_counts * self.buckets // max(1, self.n_tokens)
-        part = (_mix(w) % parts.astype(np.uint64)).astype(np.uint64)
+        parts = 1 + (u_counts * (self.buckets / max(1, self.n_tokens))).astype(np.uint64)
+        part = _mix(w) % parts
         return (_mix(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part) % np.uint64(self.buckets)).astype("i4")
 
     def pairs(self, ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every word's context and its count: the word before, or the beginning."""
         u, uc = np.r_[0, ids[:-1]], np.r_[0, counts[:-1]]
         first = np.cumsum(lengths) - lengths
-        u[first], uc[first] = BEGIN, self.n_texts
+        u[first], uc[first] = self.begin, self.n_texts
         return u, uc
 
 
@@ -215,21 +260,28 @@ def _count_bigrams(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[pd
     held, size = [], 0
 
     def flush() -> pd.DataFrame:
-        keys = np.sort(np.concatenate(held))
+        u, w = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        keys = words.keys(u, w)
+        if words.packed:
+            keys.sort()
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys, u, w = keys[order], u[order], w[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         n = np.diff(np.r_[starts, len(keys)])
-        keys = keys[starts]
-        u, w = (keys >> np.uint64(32)).astype("i8"), keys & np.uint64(0xFFFFFFFF)
-        begins = int(np.searchsorted(u, BEGIN))
-        counts = np.r_[words.store.counts_of(u[:begins]), np.full(len(u) - begins, words.n_texts)]
-        return pd.DataFrame({"bucket": words.bigram_buckets(u, w, counts), "key": keys.view("i8"), "n": n})
+        out = {"key": keys[starts], "n": n} | ({} if words.packed else {"u": u[starts], "w": w[starts]})
+        u, w = words.parts(out)
+        order = np.arange(len(u)) if words.packed else np.argsort(u, kind="stable")
+        begins = int(np.searchsorted(u[order], words.begin))
+        counts = np.empty(len(u), np.int64)
+        counts[order] = np.r_[words.store.counts_of(u[order[:begins]]), np.full(len(u) - begins, words.n_texts)]
+        return pd.DataFrame({"bucket": words.bigram_buckets(u, w, counts)} | out)
 
     for pdf in batches:
         for some in _groups(pdf):
             ids, counts, lengths = words.ids(some["text"].tolist())
-            u, _ = words.pairs(ids, counts, lengths)
-            held.append(u.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+            held.append((words.pairs(ids, counts, lengths)[0], ids))
             size += len(ids)
             if size > 6 * _FLUSH:
                 yield flush()
@@ -242,29 +294,36 @@ def _count_bigrams(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[pd
 BEFORE, ONCE, TWICE, MORE = range(4)
 
 
-def _write_bigrams(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+def _write_bigrams(batches: Iterator[pd.DataFrame], folder: str, words: Words) -> Iterator[pd.DataFrame]:
     """Writes bigram files; rows (k, v, file, start): v of an id's figure at k = 4 * id + figure; below zero, figures of
     the whole at -1 - i (bigrams that occur i times) and buckets at -10 - bucket, v their number of keys. Files are
     numbers, for sums and maxima of numbers are hashed where those of texts would be sorted."""
     counts = np.zeros(5, np.int64)
-    before = np.empty(0, np.int64), np.empty(0, np.int64)
+    before, held = [], 0
 
     def rows(k, v, file=0, start=0) -> pd.DataFrame:
         return pd.DataFrame({"k": k, "v": v, "file": file, "start": start})
 
-    for bucket, keys, n, file, start in _write_sorted(batches, folder):
-        counts += np.bincount(np.minimum(n, 5).astype(int), minlength=6)[1:]
-        u, w = (keys >> np.uint64(32)).astype("i8"), (keys & np.uint64(0xFFFFFFFF)).astype("i8")
-        k, v = np.unique(4 * u + np.minimum(n, 3).astype("i8"), return_counts=True)
-        yield rows([-10 - bucket], [len(keys)], file, start)
+    def befores() -> pd.DataFrame:
+        ids, m = np.unique(np.concatenate(before), return_counts=True)
+        before.clear()
+        return rows(4 * ids + BEFORE, m)
+
+    for piece, bucket in _write_sorted(batches, folder):
+        if bucket:
+            yield rows([-10 - bucket[0]], [bucket[3]], bucket[1], bucket[2])
+            continue
+        counts += np.bincount(np.minimum(piece["n"], 5), minlength=6)[1:]
+        u, w = words.parts(piece)
+        k, v = np.unique(4 * u + np.minimum(piece["n"], 3), return_counts=True)
         yield rows(k, v)
-        ids, m = np.unique(np.r_[before[0], w], return_inverse=True)
-        before = ids, np.bincount(m, np.r_[before[1], np.ones(len(w), "i8")]).astype("i8")
-        if len(ids) > _FLUSH:
-            yield rows(4 * ids + BEFORE, before[1])
-            before = np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(before[0]):
-        yield rows(4 * before[0] + BEFORE, before[1])
+        before.append(w)
+        held += len(w)
+        if held > 4 * _FLUSH:
+            yield befores()
+            held = 0
+    if before:
+        yield befores()
     if counts.any():
         yield rows(-1 - np.arange(1, 5), counts[:4])
 
@@ -319,20 +378,13 @@ class Model:
     unknown: float
     begin: float  # gamma(beginning) * number of texts
 
-    @functools.cached_property
-    def mapped(self) -> dict[int, np.ndarray]:
-        return {b: _mapped(f, "<f4").reshape(2, BLOCK) for b, f in self.blocks.items()}
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "mapped"}
-
     def by_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(w) and gamma(u) * c(u) of ids; -1 is the unknown word."""
         low, gamma = np.full(len(ids), self.unknown), np.zeros(len(ids))
         blocks = np.where(ids < 0, 0, ids // BLOCK + 1)
         for some in _by_label(blocks):
-            if (m := self.mapped.get(int(blocks[some[0]]) - 1)) is not None:
-                low[some], gamma[some] = m[:, ids[some] % BLOCK]
+            if (file := self.blocks.get(int(blocks[some[0]]) - 1)) is not None:
+                low[some], gamma[some] = _read(file, "<f4", 0, 2 * BLOCK).reshape(2, BLOCK)[:, ids[some] % BLOCK]
         return low, gamma
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -340,11 +392,10 @@ class Model:
         ids, counts, lengths = self.words.ids(texts)
         u, uc = self.words.pairs(ids, counts, lengths)
         low, gamma = self.by_id(ids)
-        gamma = np.where(u == BEGIN, self.begin, np.r_[0, gamma[:-1]])
-        keys = u.astype(np.uint64) << np.uint64(32) | (ids.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        gamma = np.where(u == self.words.begin, self.begin, np.r_[0, gamma[:-1]])
         ask = np.flatnonzero((u >= 0) & (ids >= 0))
         c = np.zeros(len(ids))
-        c[ask] = self.bigrams.find(self.words.bigram_buckets(u[ask], ids[ask], uc[ask]), keys[ask])[1]
+        c[ask] = self.bigrams.find(self.words.bigram_buckets(u[ask], ids[ask], uc[ask]), self.words.keys(u[ask], ids[ask]))[1]
         has = (u >= 0) & (uc > 0)
         total = np.where(has, uc, 1)
         p = np.where(has, np.maximum(c - self.high_d[np.minimum(c, 3).astype(int)], 0) / total + gamma / total * low, low)
@@ -360,19 +411,19 @@ def train(texts: DataFrame) -> Model:
     bits = max(8, (4 * n - 1).bit_length())
     folder = new_path(spark, "words")
     counted = texts.mapInPandas(partial(_count_words, bits=bits), "bucket int, key long, n long")
-    index = counted.repartition(n, "bucket").mapInPandas(partial(_write_words, folder=folder), "bucket int, file long, start long, size long, n long").collect()
+    index = counted.repartition(n, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(partial(_write_words, folder=folder), "bucket int, file long, start long, size long, n long").collect()
     store = Sorted({r["bucket"]: (_file(folder, r["file"]), r["start"], r["size"]) for r in index})
     words = Words(store, bits, sum(r["n"] for r in index), 0, 1 << bits)
     end = _hashes([END])
-    words.n_texts = int(store.find((end >> np.uint64(64 - bits)).astype("i4"), end)[1][0])
+    words.n_texts = int(store.find((end >> np.uint64(64 - bits)).astype("i4"), end.view("i8"))[1][0])
     folder = new_path(spark, "bigrams")
-    pairs = texts.mapInPandas(partial(_count_bigrams, words=words), "bucket int, key long, n long")
-    figures = pairs.repartition(n, "bucket").mapInPandas(partial(_write_bigrams, folder=folder), "k long, v long, file long, start long")
+    pairs = texts.mapInPandas(partial(_count_bigrams, words=words), "bucket int, key long, n long" + ", u long, w long" * (not words.packed))
+    figures = pairs.repartition(n, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(partial(_write_bigrams, folder=folder, words=words), "k long, v long, file long, start long")
     figures = saved(figures.groupBy("k").agg(F.sum("v").alias("v"), F.max("file").alias("file"), F.max("start").alias("start")), "figures")
     whole = {r["k"]: r for r in figures.filter("k < 0").collect()}  # one row a bucket
     bigrams = Sorted({-10 - k: (_file(folder, r["file"]), r["start"], r["v"]) for k, r in whole.items() if k <= -10})
     high_d = discounts([whole[-1 - i]["v"] if -1 - i in whole else 0 for i in range(1, 5)])
-    own = figures.filter(f"k >= 0 and k < {4 * BEGIN}")
+    own = figures.filter(f"k >= 0 and k < {4 * words.begin}")
     before = own.filter(f"k % 4 = {BEFORE}").agg(F.sum("v"), *(F.count_if(F.col("v") == i) for i in range(1, 5)), F.count_if(F.col("v") >= 3)).first()
     total = before[0] or 0
     low_d = discounts(list(before[1:5]))
@@ -381,13 +432,18 @@ def train(texts: DataFrame) -> Model:
     folder = new_path(spark, "blocks")
     blocks = own.select(F.floor(F.col("k") / (4 * BLOCK)).cast("long").alias("block"), "k", "v").repartition(n, "block").sortWithinPartitions("block")
     blocks = blocks.mapInPandas(partial(_write_blocks, folder=folder, low_d=low_d, high_d=high_d, total=max(1, total), rest=rest), "block long, file string").collect()
-    begin = {r["k"] - 4 * BEGIN: r["v"] for r in figures.filter(f"k >= {4 * BEGIN}").collect()}
+    begin = {r["k"] - 4 * words.begin: r["v"] for r in figures.filter(f"k >= {4 * words.begin}").collect()}
     return Model(words, bigrams, {r["block"]: r["file"] for r in blocks}, high_d, rest, float(sum(high_d[i] * begin.get(i, 0) for i in (1, 2, 3))))
 
 
 def _write_words(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    for bucket, keys, n, file, start in _write_sorted(batches, folder):
-        yield pd.DataFrame([(bucket, file, start, len(keys), int(n.sum()))], columns=["bucket", "file", "start", "size", "n"])
+    n = 0
+    for piece, bucket in _write_sorted(batches, folder):
+        if piece is not None:
+            n += int(piece["n"].sum())
+        else:
+            yield pd.DataFrame([(*bucket, n)], columns=["bucket", "file", "start", "size", "n"])
+            n = 0
 
 
 def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:

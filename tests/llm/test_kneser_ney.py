@@ -1,9 +1,12 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from lodestone.llm import kneser_ney as kn
+from lodestone.llm import tokens
 from tests.llm.helpers import crc_mod, edges, empty, lower, table, words
 
 
@@ -69,3 +72,30 @@ def test_probabilities_sum_to_one():
 def test_better_than_base_on_held_out_texts(spark):
     got = kn.lm_scores(table(spark, sf="sf0.01")).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got["s"] > got["b"]
+
+
+def test_hashed_keys_where_ids_need_more_bits(spark, monkeypatch):
+    monkeypatch.setattr(kn, "PACKED", 0)
+    compare(edges(spark))
+    compare(table(spark).limit(80))
+
+
+def test_counts_have_64_bits(tmp_path):
+    folder, big = f"file://{tmp_path}", (1 << 33) + 5
+    batches = [pd.DataFrame({"bucket": [0, 0, 2], "key": [-7, 3, 3], "n": [1, big, big]}), pd.DataFrame({"bucket": [2, 2], "key": [3, 9], "n": [big, 2]})]
+    ends = [end for _, end in kn._write_sorted(iter(batches), folder) if end]
+    store = kn.Sorted({b: (kn._file(folder, f), start, n) for b, f, start, n in ends})
+    ids, counts = store.find(np.array([2, 0, 0, 2, 1], "i4"), np.array([3, -7, 3, 4, 3]))
+    assert ids.tolist() == [2, 0, 1, -1, -1] and counts.tolist() == [2 * big, 1, big, 0, 0]
+    assert store.counts_of(np.array([0, 1, 2, 3])).tolist() == [1, big, 2 * big, 2]
+
+
+def test_stores_that_are_not_mounted_are_read_in_parts(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<i8").tofile(tmp_path / "x")
+    monkeypatch.setattr(tokens, "_store", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), uri.removeprefix("file://")))
+    read = tokens.Reader(most=3000)
+    for start in (0, 300, 600, 0, 300):
+        assert read(f"file://{tmp_path}/x", "<i8", start, 150).tolist() == list(range(start, start + 150))
+        assert read.size <= 3000 and len(read.kept) <= 2
