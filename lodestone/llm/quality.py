@@ -8,10 +8,13 @@ posterior probability of the good class replaces "all rules must pass".
 
 A rule that rejects good documents at random and a rule that alone finds a kind of bad document give the same counts, so
 a prior must tell them apart: a rule rejects NOISE of the good documents (weight RATE_WEIGHT of all documents), and
-GOOD of all documents are good (weight SHARE_WEIGHT). Nothing else is bounded but logarithms, by 1e-5 and 0.999.
+GOOD of all documents are good (weight SHARE_WEIGHT). Nothing else bounds a rate. Rounds end when the posterior likelihood has
+stopped rising.
+
+No rule knows words of any language.
 
 Scale: votes and base figures come from one narrow pass over the texts; nothing but (pattern, count) is shuffled. There
-are at most 3 ** 9 patterns however many documents there are, so the driver fits the model to their counts.
+are at most 3 ** 8 patterns however many documents there are, so the driver fits the model to their counts.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows get equal answers;
 an empty table gives an empty result; columns other than those named are carried only where the caller asks for it.
@@ -29,9 +32,6 @@ from lodestone.llm.common import saved, words
 WINDOW = 5
 #: The prior: how often a rule rejects good documents, the share of good documents, and the weights of both.
 NOISE, RATE_WEIGHT, GOOD, SHARE_WEIGHT = 0.001, 0.05, 0.9, 0.15
-#: Very frequent words of running text in four languages; fixed values.
-FUNCTION_WORDS = ["the", "and", "of", "to", "in", "is", "der", "die", "und", "das", "le", "la", "les", "et", "de", "un", "el", "que", "los", "en"]
-
 _OWN = "_lodestone_q_"  # prefix of scratch columns, so that no column of the caller's can clash
 
 
@@ -52,7 +52,6 @@ def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
         p + "n_upper": F.regexp_count(_c("text"), F.lit("[A-Z]")).cast("long"),
         p + "n_shouts": F.regexp_count(_c("text"), F.lit("!")).cast("long"),
         p + "lines": F.filter(F.split(_c("text"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-        p + "running": F.arrays_overlap(_c("words"), F.array(*map(F.lit, FUNCTION_WORDS))),
         p + "windows": F.transform(
             F.slice(_c("words"), 1, F.greatest(F.size(_c("words")) - (WINDOW - 1), F.lit(0))),
             lambda w, i: F.xxhash64(w, *(F.get(_c("words"), i + k) for k in range(1, WINDOW))),
@@ -91,37 +90,44 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "upper_case": (upper > 0.3, upper < 0.15),
         "shouting": (per_word("n_shouts") > 0.3, per_word("n_shouts") < 0.05),
         "stutter": ((n >= 10) & (n < 300) & (_c("n_distinct") <= 0.51 * n), (n >= 20) & (_c("n_distinct") >= 0.6 * n)),
-        "running_text": ((n >= 100) & ~_c("running"), _c("running")),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 300) -> dict:
-    """Expectation-maximisation over (votes, count) pairs, at most 3 ** len(names) of them.
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 5000, rise: float = 1e-10) -> dict:
+    """Expectation-maximisation over (votes, count) pairs, at most 3 ** len(names) of them, until a round raises the mean
+    log posterior of a document by less than rise.
 
-    Returns the share of good documents, each rule's rate of rejection among them, and the posterior of every pattern.
-    Prior weights are shares of the number of documents, so the fit doesn't depend on the size of the input.
+    Returns the share of good documents, each rule's rate of rejection among them, the posterior of every pattern, and the
+    log posterior after each round. Prior weights are shares of the number of documents, so the fit doesn't depend on the
+    size of the input.
     """
     if not patterns:
-        return {"good": GOOD, "rejects": dict.fromkeys(names, NOISE), "p_good": {}}
+        return {"good": GOOD, "rejects": dict.fromkeys(names, NOISE), "p_good": {}, "trace": []}
     votes, n = np.array([v for v, _ in patterns]), np.array([n for _, n in patterns], float)
-    rejected, accepted, total, k = (votes < 0).astype(float), (votes > 0).astype(float), n.sum(), len(names)
+    rejected, accepted, k = (votes < 0).astype(float), (votes > 0).astype(float), len(names)
+    n /= n.sum()
     prior = np.vstack([np.full(k, NOISE), np.where(np.eye(k) > 0, 0.9, 0.1)])  # classes by rules, the good one first
-    weight = np.r_[RATE_WEIGHT, np.full(k, 1e-4)][:, None] * total
+    weight = np.r_[RATE_WEIGHT, np.full(k, 1e-4)][:, None]
     rates, shares = prior.copy(), np.r_[GOOD, np.full(k, (1 - GOOD) / k)]
     rates[0] *= 10
-    for last in (*[False] * rounds, True):
-        odds = np.log(shares)[:, None] + np.log(rates) @ rejected.T + np.log(1 - rates) @ accepted.T
-        p = np.exp(odds - odds.max(0))
+    trace: list[float] = []
+    while True:
+        odds = np.log(shares)[:, None] + np.log(rates) @ rejected.T + np.log1p(-rates) @ accepted.T
+        top = odds.max(0)
+        p = np.exp(odds - top)
+        # Of the bad classes' shares only the sum has a prior, and each a trace that keeps it above zero.
+        believed = (weight * (prior * np.log(rates) + (1 - prior) * np.log1p(-rates))).sum() + SHARE_WEIGHT * (GOOD * np.log(shares[0]) + (1 - GOOD) * np.log(1 - shares[0]))
+        trace.append(float(n @ (top + np.log(p.sum(0))) + believed))
         p /= p.sum(0)
-        if last:
+        if len(trace) > rounds or len(trace) > 1 and trace[-1] - trace[-2] < rise:
             break
         mine = p * n
-        good = (mine[0].sum() + SHARE_WEIGHT * total * GOOD) / (total * (1 + SHARE_WEIGHT))
-        bad = mine[1:].sum(1) + 1e-6 * total
+        good = (mine[0].sum() + SHARE_WEIGHT * GOOD) / (1 + SHARE_WEIGHT)
+        bad = mine[1:].sum(1) + 1e-9
         shares = np.r_[good, (1 - good) * bad / bad.sum()]
         r, a = mine @ rejected, mine @ accepted
-        rates = np.clip((r + weight * prior) / (r + a + weight), 1e-5, 0.999)
-    return {"good": float(shares[0]), "rejects": dict(zip(names, rates[0].tolist(), strict=True)), "p_good": {v: float(x) for (v, _), x in zip(patterns, p[0], strict=True)}}
+        rates = (r + weight * prior) / (r + a + weight)
+    return {"good": float(shares[0]), "rejects": dict(zip(names, rates[0].tolist(), strict=True)), "p_good": {v: float(x) for (v, _), x in zip(patterns, p[0], strict=True)}, "trace": trace}
 
 
 def _code(votes: list[Column]) -> Column:
@@ -138,12 +144,12 @@ def judged(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     votes = {f"{_OWN}v_{x}": F.when(no, -1).when(yes, 1).otherwise(0).cast("byte") for x, (no, yes) in named.items()}
     table = with_figures(docs, text).withColumns(votes)
     table = saved(table.select(*(f"`{x}`" for x in table.columns if x in carry or x.startswith(_OWN))), "quality")
-    seen = sorted((tuple(r[v] for v in votes), r["n"]) for r in table.groupBy(*votes).agg(F.count("*").alias("n")).collect())  # at most 3 ** 9
+    seen = sorted((tuple(r[v] for v in votes), r["n"]) for r in table.groupBy(*votes).agg(F.count("*").alias("n")).collect())  # at most 3 ** 8
     model = fit(seen, list(votes))
     coded = [(sum((x + 1) * 3**i for i, x in enumerate(v)), p) for v, p in model["p_good"].items()]
     known = docs.sparkSession.createDataFrame(coded, f"{_OWN}code int, {_OWN}p double")
     base_failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
-    # At most 3 ** 9 rows.
+    # At most 3 ** 8 rows.
     table = table.withColumn(_OWN + "code", _code([F.col(v) for v in votes])).join(F.broadcast(known), _OWN + "code", "left")
     return table.withColumns({_OWN + "base_failed": base_failed, _OWN + "kept": ~base_failed & (_c("p") >= 0.5)})
 

@@ -1,7 +1,10 @@
+import math
 import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import quality
 from tests.llm.helpers import edges, empty, table, words
 
@@ -74,12 +77,61 @@ def test_verdicts_differ_from_all_must_pass(spark):
     rng = random.Random(1)
     known = [f"palabra{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
     docs = table(spark, sf="sf0.001").select("doc_id", "text").collect()
-    # A fifth language: clean running text without any function word that the rule running_text knows.
+    # Another language: no rule knows its words.
     other = [(10_000 + i, "\n".join(" ".join(rng.choice(known) + rng.choice("xyz") + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))) for i in range(40)]
     got = quality.quality(spark.createDataFrame([*map(tuple, docs), *other], "doc_id long, text string"))
     assert got.filter("doc_id >= 10000 and kept").count() == 40
 
 
+def brute_posteriors(rows, names, rounds):
+    """Expectation-maximisation document by document, with loops and plain numbers."""
+    k, total = len(names), len(rows)
+    prior = [[quality.NOISE] * k] + [[0.9 if i == j else 0.1 for j in range(k)] for i in range(k)]
+    weight = [quality.RATE_WEIGHT * total] + [1e-4 * total] * k
+    rates, shares = [[10 * x for x in prior[0]], *[x[:] for x in prior[1:]]], [quality.GOOD] + [(1 - quality.GOOD) / k] * k
+    for last in [False] * rounds + [True]:
+        posteriors = []
+        for v in rows:
+            like = [s * math.prod(r if x < 0 else 1 - r if x > 0 else 1 for x, r in zip(v, rs, strict=True)) for s, rs in zip(shares, rates, strict=True)]
+            posteriors.append([x / sum(like) for x in like])
+        if last:
+            return [p[0] for p in posteriors]
+        mass = [sum(p[c] for p in posteriors) for c in range(k + 1)]
+        good = (mass[0] + quality.SHARE_WEIGHT * total * quality.GOOD) / (total * (1 + quality.SHARE_WEIGHT))
+        bad = [m + 1e-9 * total for m in mass[1:]]
+        shares = [good] + [(1 - good) * b / sum(bad) for b in bad]
+        for c in range(k + 1):
+            for j in range(k):
+                r = sum(p[c] for p, v in zip(posteriors, rows, strict=True) if v[j] < 0)
+                a = sum(p[c] for p, v in zip(posteriors, rows, strict=True) if v[j] > 0)
+                rates[c][j] = (r + weight[c] * prior[c][j]) / (r + a + weight[c])
+
+
+def test_posteriors_and_verdicts_match_brute_force(spark):
+    docs = table(spark, sf="sf0.01").unionByName(edges(spark, extra=False))
+    votes = {x: F.when(no, -1).when(yes, 1).otherwise(0) for x, (no, yes) in quality.rules().items()}
+    rows = [tuple(r) for r in quality.with_figures(docs).select(*(v.alias(x) for x, v in votes.items())).collect()]
+    model = quality.fit(sorted(Counter(rows).items()), list(votes))
+    assert len(model["trace"]) > 5 and all(b >= a - 1e-12 for a, b in zip(model["trace"], model["trace"][1:]))
+    want = brute_posteriors(rows, list(votes), len(model["trace"]) - 1)
+    got = [model["p_good"][v] for v in rows]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-6
+    verdicts = Counter(p >= 0.5 and not figures(t)[5] for p, (t,) in zip(want, docs.select("text").collect(), strict=True))
+    assert Counter(r["kept"] for r in quality.quality(docs).collect()) == verdicts
+
+
+def test_a_reject_alone_and_joint_evidence():
+    """One reject of a rule that also strikes good documents is forgiven; two of such rules together are not."""
+    names = [f"r{i}" for i in range(8)]
+    rng, counts = random.Random(5), Counter()
+    for _ in range(20_000):
+        bad = rng.random() < 0.15
+        counts[tuple(-1 if rng.random() < (0.85 if bad else 0.1) and i < 3 else 1 for i in range(8))] += 1
+    model = quality.fit(sorted(counts.items()), names)
+    one, two = (-1,) + (1,) * 7, (-1, -1) + (1,) * 6
+    assert model["p_good"][one] > 0.5 > model["p_good"][two]
+
+
 def test_plan_is_native(spark, capsys):
     quality.with_figures(table(spark)).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
