@@ -9,6 +9,7 @@ from lodestone.functions.columns import jaccard, question_words, stems, tokens
 
 #: Public defaults of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Fixed value: what stands in place of such a line.
 REDACTED = "- [redacted: instruction-like text, not policy content]"
 #: What makes a line an instruction to whoever answers, case ignored.
 RULES = {

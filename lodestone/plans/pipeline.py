@@ -36,15 +36,20 @@ class Step:
 
 @dataclass
 class Record:
+    """An answer, or why there is none; figures are what the confidence rubric counts."""
+
     qid: str
     status: str = "needs_review"
     final_answer: object = None
     sql: str = ""
-    confidence: float | None = None
     tables: list[str] = field(default_factory=list)
+    expected: list[str] = field(default_factory=list)
     chunks: list[str] = field(default_factory=list)
     repairs: int = 0
+    n_rows: int = 0
     review: str | None = None
+    choices: list[tuple[str, str]] = field(default_factory=list)
+    figures: dict[str, int] = field(default_factory=dict)
     events: list[dict] = field(default_factory=list)
 
 
@@ -68,56 +73,74 @@ def template_generator(step: Step) -> str:
     if "suppliers by revenue" in q:
         return f"```sql\nSELECT s_name AS supplier, {revenue} AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey ORDER BY revenue DESC, s_suppkey LIMIT 3\n```"
     if "revenue" in q:
-        return f"SELECT {revenue} AS revenue FROM {joined} JOIN part ON l_partkey = p_partkey{where} AND p_type IN ('LARGE', 'STANDARD')"
+        members = lines["REPORTING GROUP"].split(" = ")[1].split(", ") if "REPORTING GROUP" in lines else []
+        group = "lower(p_type) IN (" + ", ".join(f"'{m.lower()}'" for m in members) + ")" if members else ""
+        return f"SELECT {revenue} AS revenue FROM {joined} JOIN part ON l_partkey = p_partkey" + (where + " AND " + group if where and group else where or group and " WHERE " + group)
     return "SELECT NULL AS unknown"
 
 
 def planned(spark: SparkSession, questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plans, retrieved) of all questions."""
     chunks = retrieval.sanitized(corpus.chunks(docs))
-    columns = [f.name for n in TABLES for f in spark.table(n).schema]
+    columns = {n: spark.table(n).columns for n in TABLES}
     return constraints.plans(chunks, questions, docs, columns), retrieval.retrieve(chunks, questions)
 
 
-def _policy_answer(facts: list, question: str) -> tuple[int, str] | None:
-    """A number of days that a policy states for a subject of the question: the upper end of a range."""
-    for f in facts:
-        named = [f["subject"], *f["members"].split(",")]
-        if f["high"] is not None and any(n.strip().lower() and n.strip().lower() in question.lower() for n in named):
-            return f["high"], f["chunk_id"]
-    return None
+def _from_documents(record: Record, plan: dict, hint: str) -> None:
+    """The upper end of the range that a policy states for a subject of the question."""
+    facts = [f for f in plan.get("facts") or [] if f["high"] is not None]
+    if len({f["high"] for f in facts}) != 1 or not answers.fits(facts[0]["high"], hint):
+        record.review = "documents disagree" if len({f["high"] for f in facts}) > 1 else "documents don't answer this"
+        return
+    record.status, record.final_answer, record.chunks, record.n_rows = "answered", facts[0]["high"], sorted({f["chunk_id"] for f in facts}), len(facts)
+    record.figures["rag"] = 1
+
 
+def answer(guard: sqls.Guarded, generator: Generator, plan: dict, hint: str, labels: dict[str, str] | None = None) -> Record:
+    """One question's record; plan is its row of planned(); labels are those of tables.label_profile that collide, with their keys.
 
-def answer(guard: sqls.Guarded, generator: Generator, plan: dict, hint: str, seen: list[str], facts: list) -> Record:
-    """One question's record; plan is its row of planned()."""
+    A statement is repaired only where Spark refuses it; labels become keys and inclusive dates become days before it runs.
+    """
     record, told = Record(plan["qid"]), lambda step, **kw: record.events.append({"qid": plan["qid"], "step": step, "attempt": record.repairs, "outputs": kw})
     told("plan", route=plan["route"], blocker=plan["blocker"])
     if plan["blocker"]:
         record.review = plan["blocker"]
         return record
     if plan["route"] == "rag":
-        found = _policy_answer(facts, plan["question"])
-        told("read", found=found)
-        if not found or not answers.fits(found[0], hint):
-            record.review = "documents don't answer this"
-            return record
-        record.status, record.final_answer, record.chunks, record.confidence = "answered", found[0], [found[1]], 0.65
+        _from_documents(record, plan, hint)
+        told("read", found=record.final_answer)
         return record
-    feedback, names = "", [n for n in TABLES]
+    spark, feedback = guard.spark, ""
+    names = [*TABLES, *(c for t in TABLES for c in spark.table(t).columns)]
     while True:
-        raw = sqls.clean_sql(generator(Step(plan["question"], hint, plan["constraints"], record.repairs, feedback)))
-        raw, _ = sqls.repaired(raw, names, [])
-        statement, notes = sqls.grain_safe(guard.spark, sqls.compatible(raw))
-        result = guard.execute(statement)
+        raw = sqls.compatible(sqls.clean_sql(generator(Step(plan["question"], hint, plan["constraints"], record.repairs, feedback))), names)
+        statement, notes = sqls.repaired(spark, raw)
+        problem = sqls.verdict(spark, statement)
+        if not problem:
+            for rewrite in (lambda s: sqls.by_key(spark, s, labels or {}), lambda s: sqls.grain_safe(spark, s)):
+                statement, more = rewrite(statement)
+                notes += more
+            problem = sqls.static_error(spark, statement)
+        if not problem:
+            statement, more = sqls.whole_days(spark, statement)
+            notes += more
+        result = sqls.Result(error=problem) if problem else guard.execute(statement)
         told("execute", sql=statement, error=result.error, rows=len(result.rows), notes=notes)
         problem = result.error or ("no rows" if not result.rows else "truncated" if result.truncated else None)
         if not problem:
             value = shaped(result, hint)
             problem = None if answers.fits(value, hint) else f"not a {hint}"
         if not problem:
-            record.status, record.final_answer, record.sql = "answered", value, statement
-            record.tables, record.chunks = sqls.footprint(guard.spark, statement), [c for c in seen if plan["route"] == "hybrid"]
-            record.confidence = max(0.05, round(0.75 - 0.05 * len(notes) - 0.12 * record.repairs, 2))
+            record.status, record.final_answer, record.sql, record.n_rows = "answered", value, statement, len(result.rows)
+            record.tables, record.chunks = sqls.footprint(spark, statement), list(plan.get("used_chunks") or [])
+            record.expected = record.tables
+            record.choices = sqls.open_choices(spark, statement, plan["question"], plan["constraints"])
+            windows = plan.get("windows") or []
+            record.figures = {
+                "rewrites": len(notes), "repairs": record.repairs, "resolved_conflict": sum(bool(w["conflict"]) for w in windows), "precedence": sum(w["status"] == "revision claims precedence" for w in windows),
+                "open_choices": len(record.choices), "approximated": len(plan.get("supplied") or []),
+                "legacy_ambiguity": int(len({f["label"] for f in plan.get("formulas") or []}) > 1),
+            }
             return record
         if record.repairs == MAX_REPAIRS:
             record.review = problem
@@ -139,23 +162,57 @@ def shaped(result: sqls.Result, hint: str):
 
 #: Format hints of the registered questions.
 HINTS = {"q1": "float", "q2": "float", "q3": "{customer:str,margin:float}", "q4": "int", "q5": "int", "q6": "list[{supplier:str,revenue:float}]"}
+#: Label columns that may collide, with their tables and keys.
+LABELS = [("customer", "c_name", "c_custkey"), ("supplier", "s_name", "s_suppkey"), ("part", "p_name", "p_partkey")]
+
+
+def packet(plan: dict, record: Record) -> dict[str, str]:
+    """What a reviewer is shown of a question that wasn't answered, in fewer than 150 words."""
+    windows = [f"{w['name']} {w['start_date']} to {w['end_date'] or 'unresolved'}" for w in plan.get("windows") or []]
+    formulas = [f"{f['name']} = {f['expression']}" for f in plan.get("formulas") or []]
+    executed = [e["outputs"] for e in record.events if e["step"] == "execute"]
+    return answers.fitted_packet({
+        "question": plan["question"],
+        "understood": "; ".join([f"route {plan['route']}", *windows, *formulas]),
+        "blocker": record.review or "",
+        "considered": "; ".join(f"{x['sql']} ({x['error'] or str(x['rows']) + ' rows'})" for x in executed) or "no statement was run",
+        "decision": "say which end of the window holds" if "conflict" in (record.review or "") else "say what stands for the missing field" if "no column" in (record.review or "") else "answer by hand or ask again",
+    })
 
 
 def run(spark: SparkSession, folder: str, generator: Generator = template_generator, hints: dict[str, str] = HINTS) -> DataFrame:
-    """(qid, status, answer, route, tables, chunks, confidence, repairs, review) of the registered questions.
+    """(qid, route, status, answer, tables, chunks, confidence, repairs, assumptions, review) of the registered questions.
 
-    A batch of questions is small by nature: plans come to the driver, statements run as Spark jobs.
+    A batch of questions is small by nature: plans come to the driver, statements run as Spark jobs. Validation and the
+    confidence rubric then run over all records as DataFrames; an answer that fails a check goes to review.
     """
     tables.register(spark, folder, TABLES)
     docs, questions = corpus.documents(spark), corpus.questions(spark)
     plans, hits = planned(spark, questions, docs)
-    seen = {r["qid"]: r["chunks"] for r in hits.groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunks")).collect()}
-    facts = constraints.policy_facts(retrieval.sanitized(corpus.chunks(docs))).collect()
-    guard, rows = sqls.Guarded(spark, timeout_s=60), []
+    seen = {r["qid"]: r["chunks"] for r in hits.groupBy("qid").agg(F.collect_set("chunk_id").alias("chunks")).collect()}
+    profile = tables.label_profile(spark, folder, [(t, c) for t, c, _ in LABELS]).filter("collides").collect()
+    labels = {c: k for t, c, k in LABELS if f"{t}.{c}" in {r["label"] for r in profile}}
+    guard, records, rows = sqls.Guarded(spark, timeout_s=60), [], []
     for p in plans.orderBy("qid").collect():
+        plan = p.asDict(recursive=True)
         try:
-            r = answer(guard, generator, p.asDict(), hints[p["qid"]], seen.get(p["qid"], []), facts)
+            r = answer(guard, generator, plan, hints[p["qid"]], labels)
         except Exception as e:  # one question's crash is its own review
             r = Record(p["qid"], review=f"crash: {type(e).__name__}")
-        rows.append((r.qid, p["route"], r.status, None if r.final_answer is None else json.dumps(r.final_answer, sort_keys=True), r.tables, r.chunks, r.confidence, r.repairs, r.review))
-    return spark.createDataFrame(rows, "qid string, route string, status string, answer string, tables array<string>, chunks array<string>, confidence double, repairs int, review string")
+        records.append((plan, r))
+        about = [f"{c} and not {others}" for c, others in r.choices] + [f"{x['field']} as {x['expression']}" for x in plan["supplied"] or []]
+        shown = sorted({*seen.get(r.qid, []), *plan["used_chunks"], *(f["chunk_id"] for f in plan["facts"] or [])})  # by retrieval, or in the plan
+        numeric = isinstance(r.final_answer, (int, float))
+        rows.append((
+            r.qid, p["route"], r.status, None if r.final_answer is None else json.dumps(r.final_answer, sort_keys=True), r.tables, r.expected, r.chunks, shown, r.repairs, r.n_rows, numeric,
+            r.status != "answered" or answers.fits(r.final_answer, hints[p["qid"]]), "; ".join(about), json.dumps(packet(plan, r), sort_keys=True), r.review, *(r.figures.get(c, 0) for c in answers.CONFIDENCE), 0,
+        ))
+    figures = ", ".join(f"{c} int" for c in answers.CONFIDENCE)
+    schema = "qid string, route string, status string, answer string, cited array<string>, expected array<string>, chunks array<string>, seen array<string>, repairs int, n_rows int, `numeric` boolean, format_ok boolean, assumptions string, packet string, review string, "
+    told = spark.createDataFrame(rows, schema.replace("repairs int, ", "n_repairs int, ") + figures + ", invented int")
+    done = told.join(answers.failures(told), "qid").join(answers.confidence(told), "qid")
+    passed = (F.col("status") == "answered") & (F.col("failed") == "")
+    return done.select(
+        "qid", "route", F.when(passed, "answered").otherwise("needs_review").alias("status"), F.when(passed, F.col("answer")).alias("answer"), F.col("cited").alias("tables"), "chunks", F.when(passed, F.col("confidence")).alias("confidence"),
+        F.col("n_repairs").alias("repairs"), "assumptions", F.when(passed, F.lit(None)).otherwise(F.coalesce("review", F.concat(F.lit("failed: "), "failed"))).alias("review"), F.when(~passed, F.col("packet")).alias("packet"),
+    )

@@ -171,16 +171,17 @@ def policy_facts(spark, d):
 
 
 def route_labels(spark, d):
-    return constraints.routes(corpus.questions(spark))
+    columns = {t: table(spark, d, t).columns for t in pipeline.TABLES}
+    return constraints.routes(corpus.questions(spark), _chunks(spark), corpus.documents(spark), list(columns), [c for cs in columns.values() for c in cs])
 
 
 def resolved_windows(spark, d):
-    return constraints.resolved_windows(_chunks(spark), corpus.questions(spark), corpus.documents(spark))
+    return constraints.resolved_windows(_chunks(spark), corpus.questions(spark), corpus.documents(spark)).drop("used")
 
 
 def planned_constraints(spark, d):
-    columns = [r["column_name"] for r in tables.schema(spark, d, pipeline.TABLES).collect()]
-    return constraints.plans(_chunks(spark), corpus.questions(spark), corpus.documents(spark), columns).select("qid", "route", "blocker", "constraints")
+    columns = {t: table(spark, d, t).columns for t in pipeline.TABLES}
+    return constraints.plans(_chunks(spark), corpus.questions(spark), corpus.documents(spark), columns).select("qid", "route", "blocker", "constraints", "used_chunks")
 
 
 def jaccard_pairs(spark, d):

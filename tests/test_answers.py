@@ -42,7 +42,7 @@ def run_with(spark, replies, hint="int", **plan):
 
     tables.register(spark, "/root/testdata/sf0.001", pipeline.TABLES)
     row = {"qid": "q", "question": "how many?", "route": "sql", "blocker": None, "constraints": ""} | plan
-    return pipeline.answer(sql.Guarded(spark), generator, row, hint, ["c"], []), told
+    return pipeline.answer(sql.Guarded(spark), generator, row, hint), told
 
 
 def test_repairs_and_review(spark):
@@ -58,7 +58,32 @@ def test_repairs_and_review(spark):
     assert record.review == "documents don't answer this"
 
 
+def test_facts_answer(spark):
+    fact = {"subject": "Perishables", "members": "", "low": 3, "high": 7, "chunk_id": "policy::chunk1"}
+    record, _ = run_with(spark, [""], route="rag", facts=[fact])
+    assert record.final_answer == 7 and record.chunks == ["policy::chunk1"]
+    record, _ = run_with(spark, [""], route="rag", facts=[fact, fact | {"high": 9}])
+    assert record.review == "documents disagree"
+
+
+def test_rewrites_before_execution(spark):
+    record, _ = run_with(spark, ["SELECT n_name, COUNT(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey ORDER BY n DESC LIMIT 1"], hint="{nation:str,n:int}")
+    assert record.status == "answered" and record.figures["rewrites"] == 1 and "any_value(n_name)" in record.sql
+    record, _ = run_with(spark, ["SELECT COUNT(*) AS n FROM orders WHERE o_orderdate <= '1998-12-31'"])
+    assert "try_cast(o_orderdate AS DATE)" in record.sql
+
+
 def test_batch(spark):
     got = {r["qid"]: r for r in pipeline.run(spark, "/root/testdata/sf0.001").collect()}
-    assert [q for q, r in got.items() if r["status"] == "answered"] == ["q1", "q2", "q4", "q5", "q6"]
-    assert got["q4"]["answer"] == "7" and got["q3"]["review"] == "no column for CostOfGoods"
+    assert [q for q, r in sorted(got.items()) if r["status"] == "answered"] == ["q1", "q2", "q4", "q5", "q6"]
+    assert got["q4"]["answer"] == "7" and got["q4"]["route"] == "rag" and got["q3"]["review"] == "no column for CostOfGoods"
+    # Only chunks that shaped the answer are cited: both sides of the window's conflict, and the group's and the formula's.
+    assert got["q1"]["chunks"] == ["campaigns::chunk1", "catalog::chunk1", "memo::chunk0", "metrics::chunk3"]
+    assert got["q5"]["chunks"] == [] and got["q5"]["route"] == "sql" and got["q5"]["confidence"] == 0.75
+    assert 0.05 <= got["q1"]["confidence"] < 0.75 and "gross margin" in got["q3"]["packet"] and got["q3"]["confidence"] is None
+
+
+def test_failed_checks_go_to_review(spark):
+    wrong = lambda step: "SELECT 'x' AS n FROM orders"
+    got = {r["qid"]: r for r in pipeline.run(spark, "/root/testdata/sf0.001", wrong).collect()}
+    assert got["q5"]["status"] == "needs_review" and got["q5"]["answer"] is None and got["q5"]["repairs"] == 2

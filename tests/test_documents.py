@@ -49,10 +49,19 @@ def test_windows(spark):
 def test_supplied_approximation_opens_the_gate(spark):
     d = corpus.documents(spark)
     q = corpus.questions(spark, [("a", "Best gross margin?"), ("b", "Best gross margin? Approximate CostOfGoods as 0.7 * l_extendedprice.")])
-    got = {r["qid"]: r["blocker"] for r in constraints.plans(corpus.chunks(d), q, d, ["l_extendedprice"]).collect()}
+    got = {r["qid"]: r["blocker"] for r in constraints.plans(corpus.chunks(d), q, d, {"lineitem": ["l_extendedprice"]}).collect()}
     assert got == {"a": "no column for CostOfGoods", "b": None}
 
 
+def test_plans_name_groups_columns_and_chunks(spark):
+    d = corpus.documents(spark)
+    q = corpus.questions(spark, [("a", "Revenue of heavy parts in Harvest Sale 1997?"), ("b", "According to the returns policy, when are engines returned?")])
+    got = {r["qid"]: r for r in constraints.plans(corpus.chunks(d), q, d, {"part": ["p_type"], "lineitem": ["l_extendedprice", "l_discount"]}).collect()}
+    lines = got["a"]["constraints"].split("\n")
+    assert "REPORTING GROUP: Heavy = Large, Standard" in lines and "COLUMN: l_discount of lineitem" in lines and "DATE WINDOW: harvest sale 1997 1997-06-01 to 1997-06-30" in lines
+    assert [(f["subject"], f["high"]) for f in got["b"]["facts"]] == [("Engines", 30)] and got["b"]["route"] == "rag"
+
+
 def test_leakage(spark):
     train = spark.createDataFrame([("1", "How many orders are there? Return an int.", False), ("2", "Total revenue of all heavy parts", True), ("3", "Something else entirely", False)], "qid string, question string, added boolean")
     test = spark.createDataFrame([("a", "how many orders are there"), ("b", "total revenue of all the heavy parts"), ("3", "no overlap whatsoever here")], "qid string, question string")

@@ -15,7 +15,8 @@ def views(spark):
 
 @pytest.mark.parametrize("statement", [
     "DELETE FROM orders", "UPDATE orders SET o_orderkey = 1", "DROP TABLE orders", "INSERT INTO orders SELECT * FROM orders", "EXPLAIN SELECT 1", "SET a = 1", "SHOW TABLES", "SELECT 1; DELETE FROM orders", "SELECT 1; SELECT 2",
-    "WITH x AS (SELECT 1) INSERT INTO orders SELECT * FROM x", "WITH x AS (DELETE FROM orders) SELECT 1", "SELECT reflect('java.lang.System', 'getProperty', 'x')", "SELECT java_method('a', 'b')", "SELECT * FROM parquet.`/tmp`",
+    "WITH x AS (SELECT 1) INSERT INTO orders SELECT * FROM x", "WITH x AS (DELETE FROM orders) SELECT 1", "SELECT reflect('java.lang.System', 'getProperty', 'x')", "SELECT java_method('a', 'b')", "SELECT * FROM parquet.`/tmp`", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.name')", "SELECT 1 WHERE EXISTS (SELECT `try_reflect`('a', 'b'))", "WITH x AS (SELECT `java_method`('a', 'b') AS a) SELECT a FROM x",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'x')", "SELECT * FROM IDENTIFIER('parquet.`/tmp`')", "SELECT spark_catalog.default.f(1)", "SELECT input_file_name() FROM orders", "SELECT * FROM orders WHERE version() = 'x'",
     "FROM orders SELECT *", "TABLE orders", "VALUES (1)", "", "SELECT (", "-- only a comment",
 ])
 def test_rejected(views, statement):
@@ -24,6 +25,8 @@ def test_rejected(views, statement):
 
 @pytest.mark.parametrize("statement", [
     "SELECT COUNT(*) FROM orders", "SELECT 1;", "-- note\nSELECT 1", "/* a */ WITH x AS (SELECT * FROM orders) SELECT COUNT(*) FROM x", "SELECT 'DROP TABLE x; DELETE' AS a", "SELECT REPLACE('a', 'a', 'b') AS a", "SELECT 1 -- DROP TABLE x", "SELECT c_name AS `drop` FROM customer",
+    "SELECT 'parquet.`x`, reflect(1)' AS a", "SELECT row_number() OVER (ORDER BY c_name) AS r FROM customer", "SELECT CASE WHEN c_name LIKE 'a%' THEN 1 END AS a FROM customer WHERE c_custkey IN (1, 2) AND c_name IS NOT NULL", "SELECT x FROM customer LATERAL VIEW explode(array(1, 2)) t AS x",
+    "WITH RECURSIVE y(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM y WHERE n < 3) SELECT n FROM y", "SELECT a FROM VALUES (1), (2) AS t(a) UNION SELECT 2 EXCEPT SELECT 3 ORDER BY 1 LIMIT 1 OFFSET 1", "SELECT EXTRACT(YEAR FROM o_orderdate) AS y, CAST(1 AS DOUBLE) FROM orders GROUP BY 1 HAVING COUNT(*) > 1",
 ])
 def test_accepted(views, statement):
     assert sql.verdict(views, statement) is None
@@ -62,10 +65,51 @@ def test_grain(views):
     assert notes == ["any_value(c_name)", "any_value(c_mktsegment)"] and sql.static_error(views, changed) is None
     assert views.sql(changed).columns == ["c_name", "m", "n"]
     assert sql.grain_safe(views, "SELECT c_custkey, COUNT(*) AS n FROM customer GROUP BY c_custkey")[1] == []
+    # Only the query that lacks the aggregate changes, and only the place of the column.
+    changed, notes = sql.grain_safe(views, "WITH x AS (SELECT c_name AS a, c_custkey FROM customer) SELECT upper(a) AS u, EXTRACT(YEAR FROM max(o_orderdate)) AS y FROM x JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+    assert notes == ["any_value(a)"] and "c_name AS a" in changed and "upper(any_value(a)) AS u" in changed and sql.static_error(views, changed) is None
+    changed, _ = sql.grain_safe(views, "SELECT * FROM (SELECT c_custkey, c_name, COUNT(*) AS n FROM customer GROUP BY c_custkey) WHERE n > 0")
+    assert views.sql(changed).columns == ["c_custkey", "c_name", "n"]
+
+
+def test_labels_become_keys(views):
+    labels = {"c_name": "c_custkey"}
+    changed, notes = sql.by_key(views, "SELECT c.c_name, 'GROUP BY c_name' AS t, COUNT(*) AS n FROM customer c JOIN orders ON c_custkey = o_custkey GROUP BY c.c_name ORDER BY n DESC", labels)
+    assert notes == ["c_name -> c_custkey"] and "GROUP BY `c`.c_custkey ORDER" in changed and "'GROUP BY c_name'" in changed
+    changed, _ = sql.grain_safe(views, changed)
+    assert views.sql(changed).columns == ["c_name", "t", "n"]
+    for fine in ("SELECT c_name, COUNT(*) FROM customer GROUP BY c_name, c_custkey", "SELECT p_brand, COUNT(*) FROM part GROUP BY p_brand", "SELECT c_name FROM customer ORDER BY c_name"):
+        assert sql.by_key(views, fine, labels) == (fine, [])
+    inner = "SELECT MAX(n) AS m FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_name)"
+    assert sql.by_key(views, inner, labels)[0].endswith("GROUP BY c_custkey)")
+
+
+def test_whole_days(views):
+    views.sql("CREATE OR REPLACE TEMP VIEW loose AS SELECT o_orderkey, concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 12:00:00') AS orderdate FROM orders")
+    statement = "SELECT COUNT(*) AS n FROM loose WHERE orderdate BETWEEN '1997-06-01' AND '1997-06-30' AND 'orderdate <= x' <> ''"
+    changed, notes = sql.whole_days(views, statement)
+    assert notes == ["day of orderdate"] and "try_cast(orderdate AS DATE) BETWEEN" in changed and "'orderdate <= x'" in changed
+    day = views.sql("SELECT COUNT(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE'1997-06-01' AND DATE'1997-06-30'").first()[0]
+    assert views.sql(changed).first()[0] == day
+    for fine in ("SELECT 1 FROM loose WHERE orderdate >= '1997-06-01' AND orderdate < '1997-07-01'", "SELECT 1 FROM loose WHERE date(orderdate) <= '1997-06-30'", "SELECT 1 FROM orders WHERE o_orderkey = 5"):
+        assert sql.whole_days(views, fine) == (fine, [])
+    assert sql.whole_days(views, "SELECT 1 FROM orders WHERE o_orderdate <= DATE'1997-06-30'")[1] == ["day of o_orderdate"]
+    assert [n.names for n in sql.loose_dates(views, "SELECT 1 FROM loose WHERE '1997-06-01' > orderdate")] == [["orderdate"]]
+
+
+def test_order_at_the_top(views):
+    assert sql.ordered(views, "SELECT 1 AS a ORDER BY a LIMIT 3") and sql.ordered(views, "WITH x AS (SELECT 1 AS a) SELECT a FROM x ORDER BY a;")
+    assert not sql.ordered(views, "SELECT * FROM (SELECT 1 AS a ORDER BY a)") and not sql.ordered(views, "SELECT 'ORDER BY a' AS a")
 
 
 def test_dialect(views):
-    run = lambda s: views.sql(sql.compatible(s)).collect()
+    sql.install_dialect(views)
+    run = lambda s: views.sql(sql.compatible(s, ["c_name", "customer", "nation"])).collect()
+    assert run("SELECT COUNT(*) FROM \"customer\" WHERE \"c_name\" LIKE \"CUSTOMER#%\"")[0][0] > 0
+    assert run("SELECT strftime('%Y', date(d)), strftime('%H:%M', d), datetime(d), unixepoch(d), julianday(d) FROM (SELECT '2017-06-30 12:00:00' AS d)")[0][:] == ("2017", "12:00", "2017-06-30 12:00:00", 1498824000, 2457935.0)
+    assert run("SELECT date('now') = current_date(), strftime('%Y', 'bad'), datetime('now') IS NOT NULL")[0][:] == (True, None, True)
+    assert run("SELECT total(o_totalprice * (1 - 0.5)), 'total(x)' FROM orders WHERE o_orderkey < 0")[0][:] == (0.0, "total(x)")
+    assert run("SELECT a FROM (SELECT 'a.c' AS a) WHERE a GLOB 'a.[b-d]' AND NOT a GLOB '?[^.]c' AND NOT 'abc' GLOB 'a.c'") != []
     assert run("SELECT COUNT(*) FROM main.customer WHERE [c_name] LIKE 'CUSTOMER#%'")[0][0] > 0
     assert run("SELECT total(o_totalprice) FROM orders WHERE o_orderkey < 0")[0][0] == 0.0
     assert run("SELECT strftime('%Y-%m', d), date(d), julianday(d) FROM (SELECT '2017-06-30 12:00:00' AS d)")[0][0] == "2017-06"
@@ -77,8 +121,15 @@ def test_dialect(views):
 def test_replies():
     assert sql.clean_sql("Sure:\n```sql\nSELECT  'a;  b'\nFROM t;\n```\nDone.") == "SELECT 'a;  b' FROM t"
     assert sql.clean_sql("sql: WITH x AS (SELECT 1) SELECT * FROM x; DROP TABLE y") == "WITH x AS (SELECT 1) SELECT * FROM x"
-    assert sql.repaired("SELECT a FROM OrderDetails WHERE d BETWEDIR 1 AND 2 AND n = 'BETWEDIR'", ["Order Details"], ["a", "d", "n"]) == ("SELECT a FROM `Order Details` WHERE d BETWEEN 1 AND 2 AND n = 'BETWEDIR'", ["OrderDetails -> `Order Details`", "BETWEDIR -> BETWEEN"])
-    assert sql.repaired("SELECT distinctive FROM t", ["t"], ["distinctive"])[1] == []
+
+
+def test_repairs_only_what_spark_refuses(views):
+    views.sql("CREATE OR REPLACE TEMP VIEW `Order Details` AS SELECT 1 AS a, 2 AS d")
+    assert sql.repaired(views, "SELECT a FROM OrderDetails WHERE d BETWEEM 1 AND 2 AND 'x' <> 'BETWEEM'") == ("SELECT a FROM `order details` WHERE d BETWEEN 1 AND 2 AND 'x' <> 'BETWEEM'", ["BETWEEM -> BETWEEN", "OrderDetails -> `order details`"])
+    assert sql.repaired(views, "SELCT c_name FROM customer GRUOP BY c_name")[0] == "SELECT c_name FROM customer GROUP BY c_name"
+    for fine in ("SELECT o_orderdate - INTERVAL 1 DAY AS groups FROM orders", "SELECT a AS distinctive FROM `Order Details`", "SELECT nothing FROM orders"):
+        assert sql.repaired(views, fine) == (fine, [])
+    assert sql.repaired(views, "DROP everything now")[1] == []
 
 
 def test_open_choices(views):
@@ -96,5 +147,8 @@ def test_equivalence(views):
     assert not sql.equivalent(guard, "SELECT COUNT(*) FROM orders", gold)
     assert not sql.equivalent(guard, "SELECT nothing", gold)
     assert not sql.equivalent(sql.Guarded(views, row_limit=2), "SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders")
+    by = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus ORDER BY n"
+    assert sql.equivalent(guard, by, by) and not sql.equivalent(guard, by + " DESC", by) and sql.equivalent(guard, by + " DESC", gold)
+    assert sql.equivalent(guard, "SELECT 1.004 AS x UNION ALL SELECT 2.0", "SELECT 2.009 AS x UNION ALL SELECT 1.0") and not sql.equivalent(guard, "SELECT 1.004 AS x", "SELECT 1.02 AS x")
     with pytest.raises(ValueError):
         sql.equivalent(guard, gold, "SELECT nothing")
