@@ -17,7 +17,6 @@ WINDOW = ("1997-06-01", "1997-06-30")
 GROUP = {"name": "Heavy", "members": ["LARGE", "STANDARD"]}
 
 
-
 def _revenue():
     return money("l_extendedprice", "l_discount")
 
@@ -34,9 +33,11 @@ def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [table(spark, d, n) for n in names]
 
 
-def _lines_of_parts(spark, d):
-    li, p = _t(spark, d, "lineitem", "part")
-    return li.join(p, li.l_partkey == p.p_partkey)
+def _revenue_of_types(spark, d, lines):
+    """Sums of lines by part, which are then few, joined with the parts' types."""
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    per = lines.groupBy("l_partkey").agg(F.sum(_revenue()).alias("revenue"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("quantity"))
+    return per.join(p, per.l_partkey == p.p_partkey)
 
 
 def count_all(spark, d):
@@ -56,32 +57,32 @@ def revenue_total(spark, d):
 
 
 def revenue_type_window(spark, d):
-    o = table(spark, d, "orders").filter(_in_window())
-    lines = _lines_of_parts(spark, d)
-    return lines.join(o, lines.l_orderkey == o.o_orderkey).groupBy("p_type").agg(_double(F.sum(_revenue())).alias("revenue"))
+    return _revenue_of_types(spark, d, _window_lines(spark, d)).groupBy("p_type").agg(_double(F.sum("revenue")).alias("revenue"))
 
 
 def qty_group_topk(spark, d):
-    o = table(spark, d, "orders").filter(_in_window())
-    lines = _lines_of_parts(spark, d)
-    return lines.join(o, lines.l_orderkey == o.o_orderkey).groupBy("p_type").agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity")).orderBy(F.desc("quantity"), "p_type").limit(3)
+    return _revenue_of_types(spark, d, _window_lines(spark, d)).groupBy("p_type").agg(_double(F.sum("quantity")).alias("quantity")).orderBy(F.desc("quantity"), "p_type").limit(3)
 
 
 def lowest_group(spark, d):
-    return _lines_of_parts(spark, d).groupBy("p_type").agg(_double(F.sum(_revenue())).alias("revenue")).orderBy("revenue", "p_type").limit(1)
+    return _revenue_of_types(spark, d, table(spark, d, "lineitem")).groupBy("p_type").agg(_double(F.sum("revenue")).alias("revenue")).orderBy("revenue", "p_type").limit(1)
 
 
 def revenue_topk_supplier(spark, d):
+    """Lines are summed by key and the five best kept before names are joined; every line's supplier exists (a foreign key)."""
     li, s, n, r = _t(spark, d, "lineitem", "supplier", "nation", "region")
-    joined = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return joined.groupBy("s_suppkey").agg(F.any_value("s_name").alias("supplier"), F.any_value("r_name").alias("region"), _double(F.sum(_revenue())).alias("revenue")).orderBy(F.desc("revenue"), "s_suppkey").limit(5)
+    best = li.groupBy("l_suppkey").agg(_double(F.sum(_revenue())).alias("revenue")).orderBy(F.desc("revenue"), "l_suppkey").limit(5)
+    named = s.join(F.broadcast(best), s.s_suppkey == best.l_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)  # five rows
+    return named.select("s_suppkey", F.col("s_name").alias("supplier"), F.col("r_name").alias("region"), "revenue").orderBy(F.desc("revenue"), "s_suppkey")
 
 
 def topk_customer_grain(spark, d):
+    """The three best customers by key; names are joined last."""
     o, c, li = _t(spark, d, "orders", "customer", "lineitem")
     per_order = li.groupBy("l_orderkey").agg(F.sum(_revenue()).alias("revenue"))
     per_customer = per_order.join(o, per_order.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(_double(F.sum("revenue")).alias("revenue"))
-    return per_customer.join(c, per_customer.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "revenue").orderBy(F.desc("revenue"), "c_custkey").limit(3)
+    best = per_customer.orderBy(F.desc("revenue"), "o_custkey").limit(3)
+    return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "revenue").orderBy(F.desc("revenue"), "c_custkey")  # three rows
 
 
 def _window_lines(spark, d):
@@ -90,20 +91,23 @@ def _window_lines(spark, d):
 
 
 def aov_current(spark, d):
-    rows = _window_lines(spark, d).agg(_double(F.sum(_revenue())).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
+    """Lines are summed by order first, so that orders are counted without expanding rows."""
+    per_order = _window_lines(spark, d).groupBy("o_orderkey").agg(F.sum(_revenue()).alias("revenue"))
+    rows = per_order.agg(_double(F.sum("revenue")).alias("revenue"), F.count("*").alias("orders"))
     return rows.select("revenue", "orders", F.round(F.try_divide("revenue", "orders").cast("decimal(18,6)"), 2).cast("double").alias("aov"))
 
 
 def aov_legacy(spark, d):
-    rows = _window_lines(spark, d).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double").alias("gross"), F.count_distinct("o_orderkey").alias("orders"))
+    per_order = _window_lines(spark, d).groupBy("o_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("gross"))
+    rows = per_order.agg(_double(F.sum("gross")).alias("gross"), F.count("*").alias("orders"))
     return rows.select("gross", "orders", F.round(F.try_divide("gross", "orders").cast("decimal(18,6)"), 2).cast("double").alias("aov"))
 
 
 def margin_topk(spark, d):
     cost = F.col("l_extendedprice").cast("decimal(12,2)") * F.lit(0.7).cast("decimal(3,2)")
-    per_customer = _window_lines(spark, d).groupBy("o_custkey").agg(F.sum(_revenue() - cost).cast("double").alias("margin"))
+    best = _window_lines(spark, d).groupBy("o_custkey").agg(_double(F.sum(_revenue() - cost)).alias("margin")).orderBy(F.desc("margin"), "o_custkey").limit(1)
     c = table(spark, d, "customer")
-    return per_customer.join(c, per_customer.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "margin").orderBy(F.desc("margin"), "c_custkey").limit(1)
+    return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "margin")  # one row
 
 
 def pct_discounted(spark, d):
@@ -126,8 +130,8 @@ def reporting_group_count(spark, d):
 
 def reporting_group_rollup(spark, d):
     group = F.create_map(*(F.lit(x) for m in GROUP["members"] for x in (m, GROUP["name"])))
-    lines = _lines_of_parts(spark, d)
-    return lines.groupBy(F.coalesce(F.element_at(group, F.col("p_type")), F.col("p_type")).alias("reporting_group")).agg(F.sum(_revenue()).cast("double").alias("revenue"))
+    lines = _revenue_of_types(spark, d, table(spark, d, "lineitem"))
+    return lines.groupBy(F.coalesce(F.element_at(group, F.col("p_type")), F.col("p_type")).alias("reporting_group")).agg(_double(F.sum("revenue")).alias("revenue"))
 
 
 def null_predicate(spark, d):

@@ -123,3 +123,13 @@ def similar_questions(a: DataFrame, b: DataFrame, least: float, key: str = "qid"
 
     pairs = prefixes(x, "a_").join(prefixes(y, "b_"), "w").withColumn("overlap", F.round(jaccard(F.col("a_words"), F.col("b_words")), 6))
     return pairs.filter(F.col("overlap") >= least).select("a_key", "b_key", "overlap").distinct()
+
+
+def similar_sets(texts: DataFrame, least: float, key: str = "qid", text: str = "question") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of the word sets of one table: pairs (a, b, overlap) of different sets whose words overlap by least
+    or more, each named by its smallest key, a < b; members (key, set) give every row's set. Rows with the same words are one."""
+    named = texts.select(F.col(key).alias("key"), question_words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    sets = named.groupBy("w").agg(F.min("key").alias("set"))
+    one = sets.select(F.col("set").alias("qid"), F.array_join("w", " ").alias("question"))
+    pairs = similar_questions(one, one, least).filter("a_key < b_key").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "overlap")
+    return pairs, named.join(sets, "w").select("key", "set")

@@ -181,14 +181,21 @@ def resolved_windows(spark, d):
 
 def planned_constraints(spark, d):
     columns = {t: table(spark, d, t).columns for t in pipeline.TABLES}
-    return constraints.plans(_chunks(spark), corpus.questions(spark), corpus.documents(spark), columns).select("qid", "route", "blocker", "constraints", "used_chunks")
+    return constraints.plans(_chunks(spark), corpus.questions(spark), corpus.documents(spark), columns).select("qid", "route", "blocker", "constraints", F.array_join("used_chunks", ",").alias("used_chunks"))
+
+
+#: Questions in several wordings, put beside the opening turns, which are all unlike each other in generated tables.
+ASKED = [("a1", "How many orders are there in total?"), ("a2", "how many orders are there, in TOTAL"), ("a3", "How many open orders are there in total?"), ("a4", "Revenue of heavy parts in Harvest Sale 1997"), ("a5", "Revenue of all heavy parts in Harvest Sale 1997. Return a float.")]
 
 
 def jaccard_pairs(spark, d):
-    """Conversations' opening turns whose words overlap with another's by 0.8 or more."""
-    turns = table(spark, d, "conversations").filter("turn = 0 AND conv_id IS NOT NULL").select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
-    pairs = retrieval.similar_questions(turns.filter("qid % 2 = 0"), turns.filter("qid % 2 = 1"), 0.8)
-    return pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "overlap")
+    """Opening turns of conversations, and questions, whose words overlap with another's by 0.8 or more: pairs of different
+    word sets, each named by its smallest key and with the number of texts that have it."""
+    turns = table(spark, d, "conversations").filter("turn = 0 AND conv_id IS NOT NULL").select(F.col("conv_id").cast("string").alias("qid"), F.col("text").alias("question"))
+    pairs, members = retrieval.similar_sets(turns.unionByName(spark.createDataFrame(ASKED, "qid string, question string")), 0.8)
+    sizes = members.groupBy("set").agg(F.count("*").alias("n"))
+    of = lambda x: sizes.select(F.col("set").alias(x), F.col("n").alias("n_" + x))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "overlap", "n_a", "n_b")
 
 
 def typed_answer_json(spark, d):
@@ -256,7 +263,7 @@ def column_owners(spark, d):
 _STATEMENTS = [
     ("plain", "SELECT COUNT(*) FROM orders"), ("semicolon", "SELECT 1;"), ("cte", "WITH x AS (SELECT * FROM orders) SELECT COUNT(*) FROM x JOIN part ON 1 = 1"), ("subquery", "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"),
     ("literal", "SELECT 'DELETE FROM x; DROP' AS a"), ("replace", "SELECT REPLACE('a', 'a', 'b') AS a"), ("delete", "DELETE FROM orders"), ("drop", "DROP TABLE orders"), ("two", "SELECT 1; DELETE FROM orders"), ("explain", "EXPLAIN SELECT 1"),
-    ("cte_insert", "WITH x AS (SELECT 1) INSERT INTO orders SELECT * FROM x"), ("reflect", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')"), ("file", "SELECT * FROM parquet.`/tmp/x`"), ("unknown_table", "SELECT * FROM nowhere"), ("unknown_column", "SELECT nothing FROM orders"),
+    ("cte_insert", "WITH x AS (SELECT 1) INSERT INTO orders SELECT * FROM x"), ("reflect", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')"), ("quoted_reflect", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.name')"), ("file", "SELECT * FROM parquet.`/tmp/x`"), ("unknown_table", "SELECT * FROM nowhere"), ("unknown_column", "SELECT nothing FROM orders"),
     ("ambiguous", "SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey"), ("bare", "SELECT c_name, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
 ]
 
@@ -284,7 +291,7 @@ def schema_text(spark, d):
 
 
 def answered_questions(spark, d):
-    return pipeline.run(spark, d)
+    return pipeline.run(spark, d).withColumns({"tables": F.array_join("tables", ","), "chunks": F.array_join("chunks", ",")}).drop("packet")
 
 
 _TEXT = {
@@ -295,10 +302,82 @@ _TEXT = {
 }
 
 
+_ENTITY = "((?:[A-Z][a-z]+ ){1,4}(?:19|20)[0-9]{2})"
+_NAMED = f"(SELECT DISTINCT qid, chunk_id FROM (SELECT qid, unnest(regexp_extract_all(question, '{_ENTITY}')) AS e FROM {_QUESTIONS}) JOIN (SELECT chunk_id, unnest(regexp_extract_all(content, '{_ENTITY}')) AS f FROM {_CHUNKS}) ON lower(e) = lower(f))"
+
+
+def _stems_sql(text: str) -> str:
+    """The distinct words of a text in the singular."""
+    return f"list_sort(list_distinct(list_transform({_tokens(text)}, lambda t: {_SINGULAR})))"
+
+
+_HEADINGS = f"(SELECT chunk_id, unnest(list_concat([trim(regexp_replace(regexp_replace(h, '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'))], list_transform(regexp_extract_all(h, '\\(([^)]*)\\)', 1), lambda x: trim(x)))) AS v FROM (SELECT chunk_id, trim(regexp_extract(content, '^#{{1,6}}\\s+([^\\n]*)', 1)) AS h FROM {_CHUNKS}))"
+_DEFINED = f"(SELECT DISTINCT qid, chunk_id FROM (SELECT chunk_id, {_stems_sql('v')} AS need FROM {_HEADINGS} WHERE length(v) >= 3 AND NOT regexp_matches(v, '^[0-9]+$')) JOIN (SELECT qid, {_stems_sql('question')} AS have FROM {_QUESTIONS}) ON len(need) > 0 AND len(list_intersect(need, have)) = len(need))"
+_DOC_LINES = f"(SELECT chunk_id, unnest(string_split(content, chr(10))) AS line FROM {_CHUNKS})"
+#: What the fixture corpus, its questions and _STATEMENTS say, read by hand.
+_EXPECTED = {
+    "policy_facts": ("chunk_id, subject, members, low, high", [("policy::chunk1", "Perishables", "Fruit, Dairy", 3, 7), ("policy::chunk1", "Unopened parts", "", 14, 14), ("policy::chunk1", "Opened parts", "", 0, 0), ("policy::chunk1", "Engines", "", 30, 30)]),
+    "route_labels": ("qid, route", [("q1", "hybrid"), ("q2", "hybrid"), ("q3", "hybrid"), ("q4", "rag"), ("q5", "sql"), ("q6", "hybrid")]),
+    "interpretive_choices": ("name, choices", [("open", "l_shipdate or o_orderdate"), ("named", ""), ("single", "")]),
+    "guard_verdicts": ("name, rejected, error, tables, rewrites", [
+        ("plain", None, None, "orders", ""), ("semicolon", None, None, "", ""), ("cte", None, None, "orders,part", ""), ("subquery", None, None, "customer,orders", ""), ("literal", None, None, "", ""), ("replace", None, None, "", ""),
+        ("delete", "not a query", None, None, ""), ("drop", "not a query", None, None, ""), ("two", "more than one statement", None, None, ""), ("explain", "not a query", None, None, ""), ("cte_insert", "not read-only", None, None, ""),
+        ("reflect", "reaches outside of the tables", None, None, ""), ("quoted_reflect", "reaches outside of the tables", None, None, ""), ("file", "reaches outside of the tables", None, None, ""), ("unknown_table", None, "TABLE_OR_VIEW_NOT_FOUND", None, ""),
+        ("unknown_column", None, "UNRESOLVED_COLUMN.WITH_SUGGESTION", None, ""), ("ambiguous", None, "AMBIGUOUS_REFERENCE", None, ""), ("bare", None, "MISSING_AGGREGATION", None, "any_value(c_name)"),
+    ]),
+    "sql_rewrites": ("name, notes", [("label", "c_name -> c_custkey,any_value(c_name)"), ("keyed", ""), ("last_day", "day of o_orderdate"), ("half_open", ""), ("garbled", "GRUOP -> GROUP"), ("sound", "")]),
+}
+_GRAIN = "ENTITY GRAIN: one row a key; names are shown, not grouped by"
+_DATES = "DATES: both ends are included; a date with a time of day counts as its day"
+_COLUMNS = "COLUMN: l_extendedprice of lineitem\nCOLUMN: l_discount of lineitem"
+_PLANNED = [
+    ("q1", "hybrid", None, f"ROUTE: hybrid\nDATE WINDOW: harvest sale 1997 1997-06-01 to 1997-06-30\n{_DATES}\nFORMULA: Revenue = SUM(l_extendedprice * (1 - l_discount))\n{_COLUMNS}\nREPORTING GROUP: Heavy = Large, Standard\n{_GRAIN}", "campaigns::chunk1,catalog::chunk1,memo::chunk0,metrics::chunk3"),
+    ("q2", "hybrid", None, f"ROUTE: hybrid\nDATE WINDOW: frost sale 1998 1998-12-01 to 1998-12-31\n{_DATES}\nFORMULA: AOV = SUM(l_extendedprice * (1 - l_discount)) / COUNT(DISTINCT o_orderkey)\n{_COLUMNS}\nCOLUMN: o_orderkey of orders\n{_GRAIN}", "campaigns::chunk2,metrics::chunk1"),
+    ("q3", "hybrid", "no column for CostOfGoods", f"ROUTE: hybrid\nFORMULA: GM = SUM(l_extendedprice * (1 - l_discount) - CostOfGoods)\n{_COLUMNS}\nMISSING: CostOfGoods\n{_GRAIN}", "metrics::chunk2"),
+    ("q4", "rag", None, "ROUTE: rag", ""), ("q5", "sql", None, f"ROUTE: sql\n{_GRAIN}", ""), ("q6", "hybrid", None, f"ROUTE: hybrid\nFORMULA: Revenue = SUM(l_extendedprice * (1 - l_discount))\n{_COLUMNS}\n{_GRAIN}", "metrics::chunk3"),
+]
+#: Statements with what they need before they run.
+_REWRITTEN = [
+    ("label", "SELECT c_name, COUNT(*) AS n FROM customer GROUP BY c_name"), ("keyed", "SELECT c_name, COUNT(*) AS n FROM customer GROUP BY c_custkey, c_name"), ("last_day", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate <= '1997-06-30'"),
+    ("half_open", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate < '1997-07-01'"), ("garbled", "SELECT c_name FROM customer GRUOP BY c_name"), ("sound", "SELECT o_orderdate - INTERVAL 1 DAY AS groups FROM orders"),
+]
+
+
+def sql_rewrites(spark, d):
+    """Which rewrites statements get: repair where Spark refuses, labels to keys, any_value, whole days."""
+    tables.register(spark, d, pipeline.TABLES)
+    rows = []
+    for name, statement in _REWRITTEN:
+        statement, notes = sqls.repaired(spark, statement)
+        for rewrite in () if notes else (lambda s: sqls.by_key(spark, s, {"c_name": "c_custkey"}), lambda s: sqls.grain_safe(spark, s), lambda s: sqls.whole_days(spark, s)):
+            statement, more = rewrite(statement)
+            notes += more
+        rows.append((name, ",".join(notes)))
+    return spark.createDataFrame(rows, "name string, notes string")
+
+
+_TEXT["sql_rewrites"] = sql_rewrites
+
+
 def queries() -> dict:
     return {name: getattr(relational, name) for name in RELATIONAL} | _TEXT
 
 
+def _answers_sql() -> str:
+    """The registered questions' records, with answers computed from the tables."""
+    window = "CAST(o_orderdate AS DATE) BETWEEN DATE '{}' AND DATE '{}'"
+    heavy = f"SELECT CAST(ROUND(CAST({REVENUE} AS DECIMAL(28,8)), 2) AS DOUBLE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE {window.format('1997-06-01', '1997-06-30')} AND p_type IN ('LARGE', 'STANDARD')"
+    value = f"SELECT ROUND(CAST({REVENUE} AS DOUBLE) / COUNT(DISTINCT o_orderkey), 2) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {window.format('1998-12-01', '1998-12-31')}"
+    best = f"SELECT '[' || string_agg('{{\"revenue\": ' || CAST(r AS VARCHAR) || ', \"supplier\": \"' || s || '\"}}', ', ' ORDER BY r DESC, k) || ']' FROM (SELECT s_suppkey AS k, MIN(s_name) AS s, CAST(ROUND(CAST({REVENUE} AS DECIMAL(28,8)), 2) AS DOUBLE) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY {REVENUE} DESC, 1 LIMIT 3)"
+    rows = [
+        ("q1", "hybrid", "answered", f"CAST(({heavy}) AS VARCHAR)", "lineitem,orders,part", _PLANNED[0][4], 0.55, "o_orderdate and not l_shipdate", None), ("q2", "hybrid", "answered", f"CAST(({value}) AS VARCHAR)", "lineitem,orders", _PLANNED[1][4], 0.65, "o_orderdate and not l_shipdate", None),
+        ("q3", "hybrid", "needs_review", "NULL", "", "", None, "", "no column for CostOfGoods"), ("q4", "rag", "answered", "'7'", "", "policy::chunk1", 0.65, "", None), ("q5", "sql", "answered", "CAST((SELECT COUNT(*) FROM orders) AS VARCHAR)", "orders", "", 0.75, "", None),
+        ("q6", "hybrid", "answered", f"({best})", "lineitem,supplier", "metrics::chunk3", 0.7, "", None),
+    ]
+    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, float) else f"'{v}'"
+    return " UNION ALL ".join(f"SELECT {lit(q)} AS qid, {lit(r)} AS route, {lit(s)} AS status, {a} AS answer, {lit(t)} AS tables, {lit(c)} AS chunks, CAST({lit(n)} AS DOUBLE) AS confidence, 0 AS repairs, {lit(x)} AS assumptions, {lit(v)} AS review" for q, r, s, a, t, c, n, x, v in rows)
+
+
 def oracle_sql() -> dict[str, str]:
     label = lambda t, c: f"SELECT '{t}.{c}' AS label, COUNT(*) AS n, COUNT(DISTINCT {c}) AS n_distinct, COUNT(DISTINCT {c}) < COUNT(*) AND COUNT(DISTINCT {c}) >= 0.9 * COUNT(*) AS collides FROM {t}"
     cells = _values([(i, a, b) for i, (a, b) in enumerate(_CELLS)], "i, a, b")
@@ -307,7 +386,7 @@ def oracle_sql() -> dict[str, str]:
     cents = " - ".join(["75", *(f"{c} * {round(v * 100)}" for c, v in answers.CONFIDENCE.items())])
     cases = _values([(q, *(f.get(c, 0) for c in answers.CONFIDENCE), i) for q, f, i in _CASES], "qid, " + ", ".join(answers.CONFIDENCE) + ", invented")
     words = "list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '\\breturn\\b.*$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')))"
-    turns = f"(SELECT conv_id, {words} AS w FROM conversations WHERE turn = 0 AND conv_id IS NOT NULL)"
+    turns = f"(SELECT key, {words} AS w FROM (SELECT CAST(conv_id AS VARCHAR) AS key, text FROM conversations WHERE turn = 0 AND conv_id IS NOT NULL UNION ALL SELECT * FROM {_values(ASKED, 'key, text')}))"
     overlap = "len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
     text = {
         "chunk_markdown": f"SELECT * FROM {_CHUNKS}",
@@ -318,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_corpus": _bm25_sql(f"(SELECT * FROM {_CHUNKS})", "chunk_id", "content", f"(SELECT * FROM {_QUESTIONS})", "qid", "question", 4),
         "quarantine_lines": f"SELECT chunk_id, line, rtrim(rules, ',') AS rules FROM (SELECT chunk_id, line, {_RULES} AS rules FROM (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT chunk_id, unnest(string_split(content, chr(10))) FROM {_CHUNKS}) WHERE NOT regexp_matches(line, '^\\s*$|^\\s*#{{1,6}}\\s')) WHERE rules <> ''",
         "date_windows": f"SELECT chunk_id, source, name, kind, TRY_CAST(nullif(s, '') AS DATE) AS start_date, TRY_CAST(e AS DATE) AS end_date FROM (SELECT chunk_id, source, name, 'declared' AS kind, regexp_extract(content, '(?i)Dates:\\s*([0-9-]{{10}})\\s*(?:to|through|until|-|–|—)\\s*([0-9-]{{10}})', 1) AS s, regexp_extract(content, '(?i)Dates:\\s*([0-9-]{{10}})\\s*(?:to|through|until|-|–|—)\\s*([0-9-]{{10}})', 2) AS e FROM (SELECT *, lower(regexp_extract(content, '((?:[A-Z][a-z]+ ){{1,4}}(?:19|20)[0-9]{{2}})', 1)) AS name FROM {_CHUNKS}) UNION ALL SELECT chunk_id, source, name, 'revised', '', regexp_extract(content, '(?i)Revised end date:\\s*([0-9-]{{10}})', 1) FROM (SELECT *, lower(regexp_extract(content, '((?:[A-Z][a-z]+ ){{1,4}}(?:19|20)[0-9]{{2}})', 1)) AS name FROM {_CHUNKS})) WHERE e <> ''",
-        "jaccard_pairs": f"SELECT a.conv_id AS a, b.conv_id AS b, ROUND({overlap}, 6) AS overlap FROM {turns} a JOIN {turns} b ON a.conv_id % 2 = 0 AND b.conv_id % 2 = 1 WHERE len(a.w) > 0 AND len(b.w) > 0 AND ROUND({overlap}, 6) >= 0.8",
+        "jaccard_pairs": f"WITH s AS (SELECT w, MIN(key) AS k, COUNT(*) AS n FROM {turns} WHERE len(w) > 0 GROUP BY w) SELECT a.k AS a, b.k AS b, ROUND({overlap}, 6) AS overlap, a.n AS n_a, b.n AS n_b FROM s a JOIN s b ON a.k < b.k WHERE ROUND({overlap}, 6) >= 0.8",
         "validator_failures": "SELECT * FROM (VALUES ('a', ''), ('b', 'format,tables,chunks,rows'), ('c', 'tables')) t(qid, failed)",
         "confidence_rubric": f"SELECT qid, CAST(LEAST(GREATEST(CASE WHEN invented > 0 THEN LEAST(c, 60) WHEN open_choices > 0 THEN LEAST(c, 75) ELSE c END, 5), 99) AS DOUBLE) / 100 AS confidence FROM (SELECT *, {cents} AS c FROM {cases})",
         "cell_tolerance": f"SELECT i, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL WHEN TRY_CAST(a AS DOUBLE) IS NOT NULL AND TRY_CAST(b AS DOUBLE) IS NOT NULL THEN abs(TRY_CAST(a AS DOUBLE) - TRY_CAST(b AS DOUBLE)) <= 0.01 ELSE trim(regexp_replace(a, '\\s+', ' ', 'g')) = trim(regexp_replace(b, '\\s+', ' ', 'g')) END AS same FROM {cells}",
@@ -330,4 +409,18 @@ def oracle_sql() -> dict[str, str]:
         "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n FROM {t}" for t in tables.TABLES),
         "typed_answer_json": f"SELECT '[' || string_agg('{{\"supplier\":\"' || supplier || '\",\"revenue\":' || CAST(ROUND(CAST(revenue AS DECIMAL(28,8)), 2) AS DECIMAL(28,2)) || '}}', ',' ORDER BY revenue DESC, s_suppkey) || ']' AS answer FROM ({RELATIONAL['revenue_topk_supplier']})",
     }
+    read = lambda rows, names: f"SELECT * FROM {_values(rows, names)}"
+    text |= {name: read(rows, names) for name, (names, rows) in _EXPECTED.items()}
+    owners = f"(SELECT column_name, list_sort(list(table_name)) AS o FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in tables.TABLES)}) GROUP BY 1)"
+    text |= {
+        "entity_expand": f"SELECT * FROM {_NAMED}",
+        "definition_expand": f"SELECT * FROM {_DEFINED}",
+        "retrieve_chunks": f"WITH hits AS (SELECT qid, chunk_id, score FROM ({text['bm25_corpus']})), named AS (SELECT * FROM {_NAMED}), defined AS (SELECT * FROM {_DEFINED}) SELECT qid, chunk_id, score, 'bm25' AS via FROM hits UNION ALL SELECT qid, chunk_id, 0, 'conflict-expansion' FROM named ANTI JOIN hits USING (qid, chunk_id) UNION ALL SELECT qid, chunk_id, 0, 'definition-expansion' FROM defined ANTI JOIN hits USING (qid, chunk_id) ANTI JOIN named USING (qid, chunk_id)",
+        "kpi_formulas": f"SELECT chunk_id, trim(regexp_replace(f, '\\([^)]*\\)', '', 'g')) AS name, CASE WHEN regexp_matches(f, '(?i)legacy|retired') THEN 'legacy' WHEN regexp_matches(f, '(?i)current|effective') THEN 'current' ELSE 'unspecified' END AS label, expression FROM (SELECT chunk_id, regexp_extract(line, '^([A-Za-z][^=]{{1,80}}?)\\s*=\\s*(.+)$', 1) AS f, regexp_extract(line, '^([A-Za-z][^=]{{1,80}}?)\\s*=\\s*(.+)$', 2) AS expression FROM {_DOC_LINES}) WHERE f <> '' AND contains(expression, '(')",
+        "reporting_groups": f"SELECT chunk_id, regexp_extract(line, 'group named ([A-Z][a-z]+)', 1) AS name, unnest(string_split(regexp_extract(line, '^(.*) are combined into a single', 1), ' and ')) AS member FROM {_DOC_LINES} WHERE contains(line, 'combined into a single reporting group')",
+        "resolved_windows": "SELECT qid, name, CAST(a AS DATE) AS start_date, CAST(b AS DATE) AS end_date, conflict, status FROM " + _values([("q1", "harvest sale 1997", "1997-06-01", "1997-06-30", True, "revision claims precedence"), ("q2", "frost sale 1998", "1998-12-01", "1998-12-31", False, "no conflict")], "qid, name, a, b, conflict, status"),
+        "planned_constraints": read(_PLANNED, "qid, route, blocker, constraints, used_chunks"),
+        "column_owners": f"SELECT column_name, array_to_string(o, ',') AS owners, CASE WHEN len(o) = 1 THEN 'column of ' || o[1] || ' only' ELSE 'exists on ' || array_to_string(o, ', ') || ' - qualify' END AS advice FROM {owners}",
+        "answered_questions": _answers_sql(),
+    }
     return RELATIONAL | text
