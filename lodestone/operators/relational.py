@@ -1,6 +1,6 @@
 """Questions over orders, lines, parts, customers and suppliers, as DataFrame operations.
 
-Sums of money are exact decimals; every top-k has a key as tie-break; a label is shown beside the key that is grouped by.
+Sums of money are exact; every top-k has a key as tie-break; a label is shown beside the key that is grouped by.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import as_date, julian_day, like, money, strftime
+from lodestone.functions.columns import amount, as_date, cents, julian_day, like, money, strftime
 from lodestone.functions.columns import total as total_of
 from lodestone.sources.tables import table
 
@@ -25,8 +25,9 @@ def _in_window(date: str = "o_orderdate"):
     return F.col(date).cast("date").between(*(F.lit(x).cast("date") for x in WINDOW))
 
 
-def _double(total):
-    return total.cast("double")
+def _with_type(spark, d, lines):
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    return lines.join(p, lines.l_partkey == p.p_partkey)
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -34,10 +35,8 @@ def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
 
 
 def _revenue_of_types(spark, d, lines):
-    """Sums of lines by part, which are then few, joined with the parts' types."""
-    p = table(spark, d, "part").select("p_partkey", "p_type")
-    per = lines.groupBy("l_partkey").agg(F.sum(_revenue()).alias("revenue"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("quantity"))
-    return per.join(p, per.l_partkey == p.p_partkey)
+    """Sums of all lines by part, which are then few, joined with the parts' types."""
+    return _with_type(spark, d, lines.groupBy("l_partkey").agg(F.sum(_revenue()).alias("revenue")))
 
 
 def count_all(spark, d):
@@ -53,25 +52,25 @@ def count_gt_window(spark, d):
 
 
 def revenue_total(spark, d):
-    return table(spark, d, "lineitem").agg(_double(F.sum(_revenue())).alias("revenue"))
+    return table(spark, d, "lineitem").agg(amount(F.sum(_revenue())).alias("revenue"))
 
 
 def revenue_type_window(spark, d):
-    return _revenue_of_types(spark, d, _window_lines(spark, d)).groupBy("p_type").agg(_double(F.sum("revenue")).alias("revenue"))
+    return _with_type(spark, d, _window_lines(spark, d)).groupBy("p_type").agg(amount(F.sum(_revenue())).alias("revenue"))
 
 
 def qty_group_topk(spark, d):
-    return _revenue_of_types(spark, d, _window_lines(spark, d)).groupBy("p_type").agg(_double(F.sum("quantity")).alias("quantity")).orderBy(F.desc("quantity"), "p_type").limit(3)
+    return _with_type(spark, d, _window_lines(spark, d)).groupBy("p_type").agg((F.sum(cents(F.col("l_quantity"))) / 100).alias("quantity")).orderBy(F.desc("quantity"), "p_type").limit(3)
 
 
 def lowest_group(spark, d):
-    return _revenue_of_types(spark, d, table(spark, d, "lineitem")).groupBy("p_type").agg(_double(F.sum("revenue")).alias("revenue")).orderBy("revenue", "p_type").limit(1)
+    return _revenue_of_types(spark, d, table(spark, d, "lineitem")).groupBy("p_type").agg(amount(F.sum("revenue")).alias("revenue")).orderBy("revenue", "p_type").limit(1)
 
 
 def revenue_topk_supplier(spark, d):
     """Lines are summed by key and the five best kept before names are joined; every line's supplier exists (a foreign key)."""
     li, s, n, r = _t(spark, d, "lineitem", "supplier", "nation", "region")
-    best = li.groupBy("l_suppkey").agg(_double(F.sum(_revenue())).alias("revenue")).orderBy(F.desc("revenue"), "l_suppkey").limit(5)
+    best = li.groupBy("l_suppkey").agg(amount(F.sum(_revenue())).alias("revenue")).orderBy(F.desc("revenue"), "l_suppkey").limit(5)
     named = s.join(F.broadcast(best), s.s_suppkey == best.l_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)  # five rows
     return named.select("s_suppkey", F.col("s_name").alias("supplier"), F.col("r_name").alias("region"), "revenue").orderBy(F.desc("revenue"), "s_suppkey")
 
@@ -80,7 +79,7 @@ def topk_customer_grain(spark, d):
     """The three best customers by key; names are joined last."""
     o, c, li = _t(spark, d, "orders", "customer", "lineitem")
     per_order = li.groupBy("l_orderkey").agg(F.sum(_revenue()).alias("revenue"))
-    per_customer = per_order.join(o, per_order.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(_double(F.sum("revenue")).alias("revenue"))
+    per_customer = per_order.join(o, per_order.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(amount(F.sum("revenue")).alias("revenue"))
     best = per_customer.orderBy(F.desc("revenue"), "o_custkey").limit(3)
     return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "revenue").orderBy(F.desc("revenue"), "c_custkey")  # three rows
 
@@ -93,19 +92,19 @@ def _window_lines(spark, d):
 def aov_current(spark, d):
     """Lines are summed by order first, so that orders are counted without expanding rows."""
     per_order = _window_lines(spark, d).groupBy("o_orderkey").agg(F.sum(_revenue()).alias("revenue"))
-    rows = per_order.agg(_double(F.sum("revenue")).alias("revenue"), F.count("*").alias("orders"))
+    rows = per_order.agg(amount(F.sum("revenue")).alias("revenue"), F.count("*").alias("orders"))
     return rows.select("revenue", "orders", F.round(F.try_divide("revenue", "orders").cast("decimal(18,6)"), 2).cast("double").alias("aov"))
 
 
 def aov_legacy(spark, d):
-    per_order = _window_lines(spark, d).groupBy("o_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("gross"))
-    rows = per_order.agg(_double(F.sum("gross")).alias("gross"), F.count("*").alias("orders"))
+    per_order = _window_lines(spark, d).groupBy("o_orderkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("gross"))
+    rows = per_order.agg((F.sum(F.col("gross").cast("decimal(18,0)")) / 100).cast("double").alias("gross"), F.count("*").alias("orders"))
     return rows.select("gross", "orders", F.round(F.try_divide("gross", "orders").cast("decimal(18,6)"), 2).cast("double").alias("aov"))
 
 
 def margin_topk(spark, d):
-    cost = F.col("l_extendedprice").cast("decimal(12,2)") * F.lit(0.7).cast("decimal(3,2)")
-    best = _window_lines(spark, d).groupBy("o_custkey").agg(_double(F.sum(_revenue() - cost)).alias("margin")).orderBy(F.desc("margin"), "o_custkey").limit(1)
+    cost = cents(F.col("l_extendedprice")) * 70  # 0.7 of the price, in ten-thousandths
+    best = _window_lines(spark, d).groupBy("o_custkey").agg(amount(F.sum(_revenue() - cost)).alias("margin")).orderBy(F.desc("margin"), "o_custkey").limit(1)
     c = table(spark, d, "customer")
     return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "margin")  # one row
 
@@ -131,7 +130,7 @@ def reporting_group_count(spark, d):
 def reporting_group_rollup(spark, d):
     group = F.create_map(*(F.lit(x) for m in GROUP["members"] for x in (m, GROUP["name"])))
     lines = _revenue_of_types(spark, d, table(spark, d, "lineitem"))
-    return lines.groupBy(F.coalesce(F.element_at(group, F.col("p_type")), F.col("p_type")).alias("reporting_group")).agg(_double(F.sum("revenue")).alias("revenue"))
+    return lines.groupBy(F.coalesce(F.element_at(group, F.col("p_type")), F.col("p_type")).alias("reporting_group")).agg(amount(F.sum("revenue")).alias("revenue"))
 
 
 def null_predicate(spark, d):
