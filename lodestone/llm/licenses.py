@@ -96,9 +96,10 @@ def signature(hashes: Column) -> Column:
     return F.array(*map(band, range(BANDS)))
 
 
-def windows_of(h: Column, length: int) -> Column:
-    """(class, at, own): the runs of length shingles that begin at every half length, and where."""
-    starts = F.sequence(F.lit(0), F.size(h) - 1, F.lit(length // 2))
+def windows_of(h: Column, at: Column, length: int) -> Column:
+    """(class, at, own): the runs of length shingles that begin at every half length and hold one of the places at."""
+    half = length // 2
+    starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p - p % half, F.greatest(p - p % half - half, F.lit(0))))))
     return F.transform(starts, lambda s: F.struct(F.lit(length).alias("class"), s.alias("at"), F.slice(h, s + 1, length).alias("own")))
 
 
@@ -123,11 +124,15 @@ def licenses(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     known = _templates(spark, templates)
     rows = known.select("own", "class").collect()  # fixed values
-    every = F.array(*(F.lit(h) for h in sorted({h for r in rows for h in r["own"]}))).cast("array<bigint>")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), plain_words(F.col(f"`{text}`").cast("string")).alias("w"))
-    own = own.select("row", "doc_id", shingles(F.col("w")).alias("h")).filter(F.arrays_overlap("h", every))
-    pieces = [windows_of(F.col("h"), n) for n in sorted({r["class"] for r in rows})]
-    windows = own.select("row", "doc_id", F.explode(F.concat(*pieces)).alias("x")).select("row", "doc_id", "x.class", "x.at", "x.own").filter(F.arrays_overlap("own", every))
+    every = sorted({h for r in rows for h in r["own"]})
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), plain_words(F.col(f"`{text}`").cast("string")).alias("w"))
+    own = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", shingles(F.col("w")).alias("h"))
+    # Places of shingles that some template has; texts without any can't match and leave. The number beside them keeps the
+    # filter above, so that places aren't computed a second time for it.
+    known_at = F.array_compact(F.transform("h", lambda x, i: F.when(x.isin(every), i)))
+    own = own.select("row", "doc_id", "h", known_at.alias("known"), F.monotonically_increasing_id().alias("stays")).filter((F.size("known") > 0) & (F.col("stays") >= 0))
+    pieces = [windows_of(F.col("h"), F.col("known"), n) for n in sorted({r["class"] for r in rows})]
+    windows = own.select("row", "doc_id", F.explode(F.concat(*pieces)).alias("x")).select("row", "doc_id", "x.class", "x.at", "x.own")
     columns = ("row", "doc_id", "class", "at", "own", "window")
     banded = windows.withColumn("window", F.monotonically_increasing_id()).select(*columns, F.explode(signature(F.col("own"))).alias("s")).select(*columns, "s.band", "s.value")
     fields = ("template", "license", "t_own", "must", "t_class")
