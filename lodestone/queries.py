@@ -378,6 +378,15 @@ def _answers_sql() -> str:
     return " UNION ALL ".join(f"SELECT {lit(q)} AS qid, {lit(r)} AS route, {lit(s)} AS status, {a} AS answer, {lit(t)} AS tables, {lit(c)} AS chunks, CAST({lit(n)} AS DOUBLE) AS confidence, 0 AS repairs, {lit(x)} AS assumptions, {lit(v)} AS review" for q, r, s, a, t, c, n, x, v in rows)
 
 
+def _schema_sql(names: list[str]) -> str:
+    """The rendering of tables that are not empty."""
+    keys = ", ".join(f"'{t}.{c}'" for t in names for c in tables.PRIMARY_KEYS[t])
+    kind = "CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' THEN 'num' WHEN data_type = 'VARCHAR' THEN 'txt' ELSE 'date' END"
+    column = f"column_name || ':' || {kind} || CASE WHEN table_name || '.' || column_name IN ({keys}) THEN '*' ELSE '' END"
+    joins = _values([(f"JOIN {a}.{b} = {c}.{d}",) for a, b, c, d in tables.FOREIGN_KEYS if a in names and c in names], "line")
+    return f"SELECT table_name || '(' || string_agg({column}, ', ' ORDER BY ordinal_position) || ')' AS line FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in names)}) GROUP BY table_name UNION ALL SELECT * FROM {joins}"
+
+
 def oracle_sql() -> dict[str, str]:
     label = lambda t, c: f"SELECT '{t}.{c}' AS label, COUNT(*) AS n, COUNT(DISTINCT {c}) AS n_distinct, COUNT(DISTINCT {c}) < COUNT(*) AND COUNT(DISTINCT {c}) >= 0.9 * COUNT(*) AS collides FROM {t}"
     cells = _values([(i, a, b) for i, (a, b) in enumerate(_CELLS)], "i, a, b")
@@ -421,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "resolved_windows": "SELECT qid, name, CAST(a AS DATE) AS start_date, CAST(b AS DATE) AS end_date, conflict, status FROM " + _values([("q1", "harvest sale 1997", "1997-06-01", "1997-06-30", True, "revision claims precedence"), ("q2", "frost sale 1998", "1998-12-01", "1998-12-31", False, "no conflict")], "qid, name, a, b, conflict, status"),
         "planned_constraints": read(_PLANNED, "qid, route, blocker, constraints, used_chunks"),
         "column_owners": f"SELECT column_name, array_to_string(o, ',') AS owners, CASE WHEN len(o) = 1 THEN 'column of ' || o[1] || ' only' ELSE 'exists on ' || array_to_string(o, ', ') || ' - qualify' END AS advice FROM {owners}",
+        "schema_text": _schema_sql(pipeline.TABLES),
         "answered_questions": _answers_sql(),
     }
     return RELATIONAL | text
