@@ -8,7 +8,8 @@ match of containment 0.8 then has a Jaccard similarity of 0.19 or more; with 48
 in at least one band with probability 1 - 0.81 ** 48 > 0.9999. Candidates count if the window contains at least 0.8 of
 the template's shingles.
 
-Scale: one pass; texts and windows without any template shingle can't match and leave before signatures are made.
+Scale: one pass; texts without any template shingle, and windows with fewer of them than the least match of their class
+has, can't match and leave before signatures are made.
 Templates are fixed values, broadcast; what is shuffled is one row per matching window. Bands retrieve: a window meets
 the templates with which it shares the least hash of some band, so that containment is computed for those alone.
 
@@ -22,10 +23,12 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import words
+from lodestone.llm.common import saved, words
 
 SHINGLE, BANDS, CONTAINED = 3, 48, 0.8
 
@@ -96,11 +99,12 @@ def signature(hashes: Column) -> Column:
     return F.array(*map(band, range(BANDS)))
 
 
-def windows_of(h: Column, at: Column, length: int) -> Column:
-    """(class, at, own): the runs of length shingles that begin at every half length and hold one of the places at."""
+def windows_of(h: Column, at: Column, length: int, least: int) -> Column:
+    """(class, at, own): the runs of length shingles that begin at every half length and hold at least so many of the places at."""
     half = length // 2
     starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p - p % half, F.greatest(p - p % half - half, F.lit(0))))))
-    return F.transform(starts, lambda s: F.struct(F.lit(length).alias("class"), s.alias("at"), F.slice(h, s + 1, length).alias("own")))
+    enough = F.filter(starts, lambda s: F.size(F.filter(at, lambda p: (p >= s) & (p < s + length))) >= least)
+    return F.transform(enough, lambda s: F.struct(F.lit(length).alias("class"), s.alias("at"), F.slice(h, s + 1, length).alias("own")))
 
 
 def _templates(spark, templates) -> DataFrame:
@@ -131,7 +135,9 @@ def licenses(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text:
     # filter above, so that places aren't computed a second time for it.
     known_at = F.array_compact(F.transform("h", lambda x, i: F.when(x.isin(every), i)))
     own = own.select("row", "doc_id", "h", known_at.alias("known"), F.monotonically_increasing_id().alias("stays")).filter((F.size("known") > 0) & (F.col("stays") >= 0))
-    pieces = [windows_of(F.col("h"), F.col("known"), n) for n in sorted({r["class"] for r in rows})]
+    # A match holds CONTAINED of some template of its class, so that many places at least.
+    least = {n: math.ceil(CONTAINED * min(len(r["own"]) for r in rows if r["class"] == n)) for n in sorted({r["class"] for r in rows})}
+    pieces = [windows_of(F.col("h"), F.col("known"), n, m) for n, m in least.items()]
     windows = own.select("row", "doc_id", F.explode(F.concat(*pieces)).alias("x")).select("row", "doc_id", "x.class", "x.at", "x.own")
     columns = ("row", "doc_id", "class", "at", "own", "window")
     banded = windows.withColumn("window", F.monotonically_increasing_id()).select(*columns, F.explode(signature(F.col("own"))).alias("s")).select(*columns, "s.band", "s.value")
@@ -141,7 +147,8 @@ def licenses(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text:
     met = banded.join(F.broadcast(retrieved), (F.col("class") == F.col("t_class")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
     contained = F.size(F.array_intersect("own", "t_own")) / F.size("t_own")
     verified = met.withColumn("contained", contained).filter((F.col("contained") >= CONTAINED) & (F.size(F.array_except("must", "own")) == 0))
-    places = verified.groupBy("row", "doc_id", "license", "window", "at", F.col("class").alias("length")).agg(F.max("contained").alias("contained"))
+    # Few and narrow rows, written because they meet each other below: texts are read once.
+    places = saved(verified.groupBy("row", "doc_id", "license", "window", "at", F.col("class").alias("length")).agg(F.max("contained").alias("contained")), "licenses")
     # The statement that a longer one contains doesn't count where that is; a reservation of rights not beside a license.
     outer = places.select(F.col("row").alias("o_row"), F.col("license").alias("outer"), F.col("at").alias("o_at"), F.col("length").alias("o_length"))
     longer = outer.join(F.broadcast(_outdone(known)), "outer").select("o_row", "inner", "o_at", "o_length")  # fixed values
