@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import discriminant, htmlmain, kneser_ney, licenses, lsa, mixing, quality, secrets, simhash, tokens, toxicity
+from lodestone.llm import discriminant, divergence, htmlmain, kneser_ney, licenses, lsa, mixing, quality, secrets, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_tokens(_table(spark, sf_dir, "documents"), vocabulary()).documents()
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_lm_scores, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files, op12_quality_classifier)}
+    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_lm_scores, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files, op11_divergence, op12_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_divergence": divergence.SQL}
