@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import discriminant, divergence, htmlmain, kneser_ney, licenses, lsa, mixing, quality, secrets, simhash, tokens, toxicity
+from lodestone.llm import discriminant, divergence, htmlmain, kneser_ney, licenses, lsa, mixing, negatives, quality, secrets, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,14 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), ids % 100 == 0, label=F.when(ids % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_lm_scores, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files, op11_divergence, op12_quality_classifier)}
+    return {f.__name__: f for f in (op1_main_text, op2_mix_sources, op3_lm_scores, op4_simhash, op5_toxicity, op6_decontaminate, op7_quality_rules, op8_licenses, op9_secrets, op10_token_files, op11_divergence, op12_quality_classifier, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_divergence": divergence.SQL}
+    return {"op11_divergence": divergence.SQL, "op13_hard_negatives": negatives.SQL}
