@@ -7,7 +7,10 @@ Tokens that embed a checksum (CRC-32 in base 62, decodable JSON in base 64url, P
 
 Scale: one pass in tasks, no shuffle; memory is bounded by a batch of rows.
 
-Edge cases: null and empty texts have no spans; repeated rows get equal answers; an empty table gives an empty result;
+Time grows in proportion to a text: no expression looks twice at a stretch that no match covers, whatever is repeated in it.
+
+Edge cases: null and empty texts have no spans; very long texts are scanned whole, in memory; a token whose header can't be decoded, for
+whatever reason, is none; repeated rows get equal answers; an empty table gives an empty result;
 other columns of the input are ignored; positions count code points, ends are exclusive.
 """
 
@@ -35,7 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", re.ASCII)
 _NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", re.ASCII)
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", re.ASCII)
+#: A token of three parts between dots, of which the first two begin with eyJ; _Jwt reads its parts.
+_PART = re.compile(r"[A-Za-z0-9_-]*+", re.ASCII)
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
 _BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -52,13 +56,41 @@ def _crc_holds(token: str) -> bool:
 
 
 def _json_holds(token: str) -> bool:
+    """The header is a JSON object with an algorithm; no header is nested so deep that Python can't read it."""
     try:
         head = token.split(".")[0]
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+    except (ValueError, binascii.Error, TypeError, RecursionError):
         return False
 
 
+class _Jwt:
+    """Matches of `eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+` at rising places of one text.
+
+    A keyword may stand many times in one run of characters, whose end alone decides about all of them: it is
+    looked for once, and what follows it is, too.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.run, self.token = text, 0, None
+
+    def end(self, start: int) -> int | None:
+        """Where the token that begins at start ends."""
+        if start >= self.run:
+            self.run = _PART.match(self.text, start).end()
+            self.token = self._rest(self.run)
+        return self.token if start + 3 < self.run else None
+
+    def _rest(self, dot: int) -> int | None:
+        if not self.text.startswith(".eyJ", dot):
+            return None
+        second = _PART.match(self.text, dot + 1).end()
+        if second == dot + 4 or not self.text.startswith(".", second):
+            return None
+        third = _PART.match(self.text, second + 1).end()
+        return third if third > second + 1 else None
+
+
 def _pem_holds(token: str) -> bool:
     try:
         return len(base64.b64decode("".join(token.split("-----")[2].split()), validate=True)) >= 32
@@ -66,14 +98,14 @@ def _pem_holds(token: str) -> bool:
         return False
 
 
-#: kind: (keywords, expression, what a match must satisfy), in the order in which kinds are listed.
+#: kind: (keywords, expression or None for _Jwt, what a match must satisfy), in the order in which kinds are listed.
 KINDS = {
     "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), _ASSIGN, lambda m: len(m[1]) >= 12),
     "access": (("akia",), _ACCESS, lambda m: len(m[0]) >= 18),
     "hex": ((), _HEX, lambda m: True),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _GITHUB, lambda m: _crc_holds(m[0])),
     "npm": (("npm_",), _NPM, lambda m: _crc_holds(m[0])),
-    "jwt": (("eyj",), _JWT, lambda m: _json_holds(m[0])),
+    "jwt": (("eyj",), None, _json_holds),
     "pem": (("-----begin ",), _PEM, lambda m: _pem_holds(m[0])),
 }
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -97,11 +129,21 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans = []
     over = dict.fromkeys(KINDS, 0)
     hits = sorted((end - length + 1, ORDER[kind], kind) for end, (kind, length) in _automaton().iter(ascii_lower(text)))
+    jwt = _Jwt(text)
     for start, _, kind in hits:
-        if start >= over[kind] and (m := KINDS[kind][1].match(text, start)):
-            over[kind] = m.end()
-            if KINDS[kind][2](m):
-                spans.append((start, ORDER[kind], m.end()))
+        if start < over[kind]:
+            continue
+        expression, holds = KINDS[kind][1:]
+        if expression:
+            found = expression.match(text, start)
+            end = found.end() if found else None
+        else:
+            end = jwt.end(start) if text.startswith("eyJ", start) else None
+            found = text[start:end] if end else None
+        if end:
+            over[kind] = end
+            if holds(found):
+                spans.append((start, ORDER[kind], end))
     spans += [(m.start(), ORDER["hex"], m.end()) for m in _HEX.finditer(text)]
     kinds = list(KINDS)
     return [(kinds[k], start, end) for start, k, end in sorted(spans)]
