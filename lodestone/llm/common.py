@@ -75,12 +75,11 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
 
 def ascii_lower(text: str) -> str:
     """A-Z in lower case, everything else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    # bytes.lower() changes A-Z alone.
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def split_words(text: str) -> list[str]:

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,33 +43,38 @@ from lodestone.llm.common import ascii_lower, new_path, saved
 
 _TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Entries of a task's count before they are sent on, terms of a shard, and what travels at once.
-FLUSH, SHARD_TERMS, LAP_BYTES, LAP_ROUNDS = 300_000, 4096, 4 << 30, 512
+FLUSH, SHARD_TERMS, LAP_BYTES, LAP_ROUNDS = 400_000, 4096, 4 << 30, 512
 #: A term is kept if so many documents of its language have it; so many terms of a group are returned.
 DOCUMENTS, TOP = 10, 10
 UNIT = 1_000_000_000
 
 
-def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows() -> pd.DataFrame:
-        table = [(lang, source, term, n, docs) for (lang, source), terms in seen.items() for term, (n, docs) in terms.items()]
-        return pd.DataFrame(table, columns=["lang", "source", "term", "n", "docs"])
-
-    seen: dict[tuple[str, str], dict[str, list[int]]] = {}
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of every (lang, source, term), added up over FLUSH entries or a little more."""
+    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     entries = 0
-    for pdf in batches:
-        for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
-            terms = seen.setdefault((lang, source), {})
-            for term, n in Counter(_TERM.findall(ascii_lower(text))).items():
-                if (entry := terms.get(term)) is None:
-                    terms[term] = [n, 1]
-                    entries += 1
-                else:
-                    entry[0] += n
-                    entry[1] += 1
+
+    def counted() -> pa.RecordBatch:
+        columns: dict[str, list] = {c: [] for c in ("lang", "source", "term", "n", "docs")}
+        for (lang, source), (n, docs) in seen.items():
+            columns["lang"] += [lang] * len(n)
+            columns["source"] += [source] * len(n)
+            columns["term"] += n
+            columns["n"] += n.values()
+            columns["docs"] += map(docs.__getitem__, n)
+        return pa.record_batch([pa.array(v, pa.string() if c in ("lang", "source", "term") else pa.int64()) for c, v in columns.items()], list(columns))
+
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            n, docs = seen.setdefault((lang, source), (Counter(), Counter()))
+            before, terms = len(n), _TERM.findall(ascii_lower(text))
+            n.update(terms)
+            docs.update(set(terms))
+            entries += len(n) - before
             if entries > FLUSH:
-                yield rows()
+                yield counted()
                 seen, entries = {}, 0
-    yield rows()
+    yield counted()
 
 
 def probability(count: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -183,7 +189,7 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     none = F.lit("")
     own = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), none).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))))
     # Dealt by (lang, term) once: the sums by group, and the windows over all groups of a term.
-    counted = own.mapInPandas(_count_terms, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counted = own.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     counted = counted.select("lang", "source", "term", "n", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("docs"), (F.col("source") == F.min("source").over(term)).cast("long").alias("first"))
