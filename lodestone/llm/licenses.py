@@ -100,11 +100,18 @@ def signature(hashes: Column) -> Column:
 
 
 def windows_of(h: Column, at: Column, length: int, least: int) -> Column:
-    """(class, at, own): the runs of length shingles that begin at every half length and hold at least so many of the places at."""
+    """(class, at, own): the runs of length shingles that begin at every half length and hold at least so many of the rising places at.
+
+    Such a run begins at or before some place and ends after the place least - 1 further on; for each place two beginnings are possible.
+    """
     half = length // 2
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p - p % half, F.greatest(p - p % half - half, F.lit(0))))))
-    enough = F.filter(starts, lambda s: F.size(F.filter(at, lambda p: (p >= s) & (p < s + length))) >= least)
-    return F.transform(enough, lambda s: F.struct(F.lit(length).alias("class"), s.alias("at"), F.slice(h, s + 1, length).alias("own")))
+
+    def beginnings(p: Column, i: Column) -> Column:
+        block = p - p % half
+        return F.filter(F.array(F.greatest(block - half, F.lit(0)), block), lambda s: F.get(at, i + (least - 1)) < s + length)
+
+    starts = F.array_distinct(F.flatten(F.transform(at, beginnings)))
+    return F.transform(starts, lambda s: F.struct(F.lit(length).alias("class"), s.alias("at"), F.slice(h, s + 1, length).alias("own")))
 
 
 def _templates(spark, templates) -> DataFrame:

@@ -85,3 +85,36 @@ def test_licenses_that_share_words_are_told_apart(spark):
     for r in licenses.licenses(df).collect():
         got.setdefault(r["doc_id"], []).append(r["license"])
     assert [sorted(got.get(i, [])) for i in range(len(cases))] == list(cases.values())
+
+
+def test_windows_by_counting_every_place(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    data = []
+    for _ in range(40):
+        n = rng.randrange(1, 60)
+        data.append((list(range(n)), sorted(rng.sample(range(n), rng.randrange(1, n + 1)))))
+    df = spark.createDataFrame(data, "h array<long>, at array<int>")
+    for length, least in ((4, 1), (4, 3), (8, 2), (8, 8), (16, 5)):
+        got = df.select("h", "at", licenses.windows_of(F.col("h"), F.col("at"), length, least).alias("w")).collect()
+        for r in got:
+            want = [s for s in range(0, len(r["h"]), length // 2) if sum(s <= p < s + length for p in r["at"]) >= least]
+            assert sorted(w["at"] for w in r["w"]) == want
+            assert all(w["own"] == r["h"][w["at"] : w["at"] + length] and w["class"] == length for w in r["w"])
+
+
+def test_repeated_statements_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "All rights reserved. " * n)], "doc_id long, text string")
+        began = time.time()
+        (row,) = licenses.licenses(df).collect()
+        assert row["n_windows"] == 2 * n - 1
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(16_000) < 4 * seconds(8_000)
