@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,11 +262,19 @@ def column_owners(spark, d):
     return tables.column_owners(spark, d, tables.TABLES)
 
 
+#: A call into Java, where a statement may hide one.
+_PROBE = "reflect('java.lang.System', 'setProperty', 'lodestone.probe', 'hit')"
 _STATEMENTS = [
     ("plain", "SELECT COUNT(*) FROM orders"), ("semicolon", "SELECT 1;"), ("cte", "WITH x AS (SELECT * FROM orders) SELECT COUNT(*) FROM x JOIN part ON 1 = 1"), ("subquery", "SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"),
     ("literal", "SELECT 'DELETE FROM x; DROP' AS a"), ("replace", "SELECT REPLACE('a', 'a', 'b') AS a"), ("delete", "DELETE FROM orders"), ("drop", "DROP TABLE orders"), ("two", "SELECT 1; DELETE FROM orders"), ("explain", "EXPLAIN SELECT 1"),
     ("cte_insert", "WITH x AS (SELECT 1) INSERT INTO orders SELECT * FROM x"), ("reflect", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')"), ("quoted_reflect", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.name')"), ("file", "SELECT * FROM parquet.`/tmp/x`"), ("unknown_table", "SELECT * FROM nowhere"), ("unknown_column", "SELECT nothing FROM orders"),
     ("ambiguous", "SELECT n_name FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey"), ("bare", "SELECT c_name, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
+    ("window", f"SELECT SUM(o_orderkey) OVER w AS x FROM orders WINDOW w AS (PARTITION BY {_PROBE})"), ("window_fine", "SELECT SUM(o_orderkey) OVER w AS x FROM orders WINDOW w AS (PARTITION BY o_custkey)"),
+    ("pivot", f"SELECT * FROM (SELECT o_orderstatus AS s, o_totalprice AS p FROM orders) PIVOT (SUM(p) FOR s IN ({_PROBE} AS a))"), ("pivot_aggregate", f"SELECT * FROM (SELECT o_orderstatus AS s, o_totalprice AS p FROM orders) PIVOT (MAX({_PROBE}) FOR s IN ('F' AS f))"),
+    ("pivot_fine", "SELECT * FROM (SELECT o_orderstatus AS s, o_totalprice AS p FROM orders) PIVOT (SUM(p) FOR s IN ('F' AS f))"), ("lateral", f"SELECT o_orderkey, x FROM orders, LATERAL (SELECT {_PROBE} AS x)"),
+    ("lateral_view", f"SELECT x FROM orders LATERAL VIEW explode(array({_PROBE})) t AS x"), ("values", f"SELECT x FROM VALUES (1), (length({_PROBE})) AS t(x)"), ("hint", f"SELECT /*+ REPARTITION({_PROBE}) */ o_orderkey FROM orders"),
+    ("hint_fine", "SELECT /*+ REPARTITION(3, o_custkey) */ o_orderkey FROM orders"), ("grouping_sets", f"SELECT COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_custkey), ({_PROBE}))"), ("lambda", f"SELECT transform(array(1), x -> {_PROBE}) AS a FROM orders"),
+    ("filter_clause", f"SELECT COUNT(*) FILTER (WHERE {_PROBE} = 'x') AS n FROM orders"), ("range_argument", f"SELECT id FROM range(length({_PROBE}))"), ("unpivot_fine", "SELECT k, v FROM (SELECT p_size AS a, p_partkey AS b FROM part) UNPIVOT (v FOR k IN (a, b))"),
 ]
 
 
@@ -324,6 +334,8 @@ _EXPECTED = {
         ("delete", "not a query", None, None, ""), ("drop", "not a query", None, None, ""), ("two", "more than one statement", None, None, ""), ("explain", "not a query", None, None, ""), ("cte_insert", "not read-only", None, None, ""),
         ("reflect", "reaches outside of the tables", None, None, ""), ("quoted_reflect", "reaches outside of the tables", None, None, ""), ("file", "reaches outside of the tables", None, None, ""), ("unknown_table", None, "TABLE_OR_VIEW_NOT_FOUND", None, ""),
         ("unknown_column", None, "UNRESOLVED_COLUMN.WITH_SUGGESTION", None, ""), ("ambiguous", None, "AMBIGUOUS_REFERENCE", None, ""), ("bare", None, "MISSING_AGGREGATION", None, "any_value(c_name)"),
+        ("window", "reaches outside of the tables", None, None, ""), ("pivot", "reaches outside of the tables", None, None, ""), ("pivot_aggregate", "reaches outside of the tables", None, None, ""), ("lateral", "reaches outside of the tables", None, None, ""), ("lateral_view", "reaches outside of the tables", None, None, ""), ("values", "reaches outside of the tables", None, None, ""), ("grouping_sets", "reaches outside of the tables", None, None, ""), ("lambda", "reaches outside of the tables", None, None, ""), ("filter_clause", "reaches outside of the tables", None, None, ""), ("range_argument", "reaches outside of the tables", None, None, ""),
+        ("window_fine", None, None, "orders", ""), ("pivot_fine", None, None, "orders", ""), ("hint_fine", None, None, "orders", ""), ("unpivot_fine", None, None, "part", ""), ("hint", "reaches outside of the tables", None, None, ""),
     ]),
     "sql_rewrites": ("name, notes", [("label", "c_name -> c_custkey,any_value(c_name)"), ("keyed", ""), ("last_day", "day of o_orderdate"), ("half_open", ""), ("garbled", "GRUOP -> GROUP"), ("sound", "")]),
 }
@@ -356,7 +368,44 @@ def sql_rewrites(spark, d):
     return spark.createDataFrame(rows, "name string, notes string")
 
 
-_TEXT["sql_rewrites"] = sql_rewrites
+#: Lines by part, the part named in several ways; names of parts are not unique.
+_BY_NAME = {
+    "direct": "SELECT p_name AS part, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name",
+    "alias": "SELECT p_name AS part, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY part",
+    "ordinal": "SELECT p_name AS part, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    "cte": "WITH sold AS (SELECT p_name AS part, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT part, COUNT(*) AS n FROM sold GROUP BY part",
+    "cte_with_key": "WITH sold AS (SELECT p_partkey, p_name AS part FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.part, COUNT(*) AS n FROM sold x GROUP BY x.part",
+    "derived": "SELECT part, COUNT(*) AS n FROM (SELECT item AS part FROM (SELECT p_name AS item, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE l_quantity > 0) GROUP BY part",
+    "derived_ordinal": "SELECT part, COUNT(*) AS n FROM (SELECT p.p_name AS part FROM lineitem JOIN part p ON l_partkey = p.p_partkey) y GROUP BY 1",
+}
+#: Orders until a day, with a time of day under several names.
+_NOON = "(SELECT o_orderkey, o_orderstatus, o_orderdate + INTERVAL 12 HOUR AS at FROM orders)"
+_UNTIL = {
+    "direct": f"SELECT o_orderstatus AS status, COUNT(*) AS n FROM {_NOON} WHERE at <= '1997-06-30' GROUP BY o_orderstatus",
+    "cte": f"WITH x AS (SELECT at AS placed, o_orderstatus FROM {_NOON}) SELECT o_orderstatus AS status, COUNT(*) AS n FROM x WHERE placed <= '1997-06-30' GROUP BY o_orderstatus",
+    "derived": f"SELECT status, COUNT(*) AS n FROM (SELECT y.at AS placed, o_orderstatus AS status FROM {_NOON} y) z WHERE '1997-06-30' >= z.placed GROUP BY status",
+    "between": f"SELECT status, COUNT(*) AS n FROM (SELECT at AS placed, o_orderstatus AS status FROM {_NOON}) WHERE placed BETWEEN '1900-01-01' AND '1997-06-30' GROUP BY status",
+    "case": f"WITH x AS (SELECT at AS placed, o_orderstatus FROM {_NOON}) SELECT o_orderstatus AS status, SUM(CASE WHEN placed <= '1997-06-30' THEN 1 ELSE 0 END) AS n FROM x GROUP BY o_orderstatus",
+}
+
+
+def keyed_groups(spark, d):
+    """The rows of _BY_NAME, grouped by the key instead of the name, wherever the name comes from."""
+    tables.register(spark, d, ["lineitem", "part"])
+    found = []
+    for form, statement in _BY_NAME.items():
+        statement = sqls.grain_safe(spark, sqls.by_key(spark, statement, {"p_name": "p_partkey"})[0])[0]
+        found.append(spark.sql(statement).select(F.lit(form).alias("form"), "part", "n"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def whole_day_counts(spark, d):
+    """The rows of _UNTIL, the last day included whole."""
+    tables.register(spark, d, ["orders"])
+    return reduce(DataFrame.unionAll, (spark.sql(sqls.whole_days(spark, s)[0]).select(F.lit(form).alias("form"), "status", "n") for form, s in _UNTIL.items()))
+
+
+_TEXT |= {f.__name__: f for f in (sql_rewrites, keyed_groups, whole_day_counts)}
 
 
 def queries() -> dict:
@@ -414,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
         "confusion": f"SELECT label, predicted, COUNT(*) AS n FROM {outcomes} GROUP BY 1, 2",
         "calibration": f"SELECT n, ROUND(a, 6) AS accuracy, ROUND(c, 6) AS confidence, ROUND(c - a, 6) AS gap FROM (SELECT COUNT(*) AS n, AVG(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE 0 END) AS a, AVG(CAST(confidence AS DOUBLE)) AS c FROM {outcomes} WHERE answered)",
         "config_ranking": f"SELECT config, ROUND(AVG(CAST(score AS DOUBLE)), 6) AS mean, ROUND(CAST(MAX(score) - MIN(score) AS DOUBLE), 6) AS spread, AVG(CAST(calls AS DOUBLE)) AS calls FROM {runs} GROUP BY config HAVING NOT bool_or(disqualified)",
+        "keyed_groups": f"SELECT form, part, n FROM (SELECT p_partkey, MIN(p_name) AS part, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey), {_values([(x,) for x in _BY_NAME], 'form')}",
+        "whole_day_counts": f"SELECT form, status, n FROM (SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders WHERE CAST(o_orderdate + INTERVAL 12 HOUR AS DATE) <= DATE '1997-06-30' GROUP BY 1), {_values([(x,) for x in _UNTIL], 'form')}",
         "label_profile": " UNION ALL ".join(label(t, c) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"), ("nation", "n_name"))),
         "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n FROM {t}" for t in tables.TABLES),
         "typed_answer_json": f"SELECT '[' || string_agg('{{\"supplier\":\"' || supplier || '\",\"revenue\":' || CAST(ROUND(CAST(revenue AS DECIMAL(28,8)), 2) AS DECIMAL(28,2)) || '}}', ',' ORDER BY revenue DESC, s_suppkey) || ']' AS answer FROM ({RELATIONAL['revenue_topk_supplier']})",

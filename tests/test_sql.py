@@ -84,6 +84,78 @@ def test_labels_become_keys(views):
     assert sql.by_key(views, inner, labels)[0].endswith("GROUP BY c_custkey)")
 
 
+LABELLED = "customer JOIN orders ON c_custkey = o_custkey"
+
+
+@pytest.mark.parametrize(("statement", "grouping"), [
+    (f"SELECT c_name AS who, COUNT(*) AS n FROM {LABELLED} GROUP BY who", "GROUP BY c_custkey"), (f"SELECT c_name AS who, COUNT(*) AS n FROM {LABELLED} GROUP BY 1 ORDER BY n", "GROUP BY c_custkey ORDER BY n"),
+    (f"SELECT c.c_name, o_orderstatus, COUNT(*) AS n FROM customer c JOIN orders ON c_custkey = o_custkey GROUP BY c.c_name, o_orderstatus", "GROUP BY `c`.c_custkey, o_orderstatus"),
+    (f"WITH x AS (SELECT c_name AS who FROM {LABELLED}) SELECT who, COUNT(*) AS n FROM x GROUP BY who", "GROUP BY lodestone_c_custkey"), (f"WITH x AS (SELECT c_custkey AS k, c_name AS who FROM {LABELLED}) SELECT who, COUNT(*) AS n FROM x y GROUP BY y.who", "GROUP BY `y`.k"),
+    (f"SELECT who, COUNT(*) AS n FROM (SELECT who FROM (SELECT c_name AS who, c_acctbal FROM {LABELLED}) WHERE c_acctbal > 0) GROUP BY who", "GROUP BY lodestone_c_custkey"),
+    ("SELECT a.c_name, COUNT(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_name", "GROUP BY `a`.c_custkey"), ("SELECT c_name, COUNT(*) AS n FROM customer GROUP BY c_name UNION ALL SELECT p_name, 1 FROM part", "GROUP BY c_custkey UNION ALL"),
+    ("SELECT COUNT(*) AS n FROM nation WHERE n_nationkey IN (SELECT MAX(c_nationkey) FROM customer GROUP BY c_name)", "GROUP BY c_custkey)"),
+])
+def test_labels_are_followed_to_their_tables(views, statement, grouping):
+    changed, notes = sql.by_key(views, statement, {"c_name": "c_custkey"})
+    assert notes == ["c_name -> c_custkey"] and grouping in changed
+    safe, _ = sql.grain_safe(views, changed)
+    assert sql.static_error(views, safe) is None and views.sql(safe).columns == views.sql(statement).columns
+    assert sql.by_key(views, safe, {"c_name": "c_custkey"}) == (safe, [])
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT who, COUNT(*) AS n FROM (SELECT DISTINCT c_name AS who FROM customer) GROUP BY who", "SELECT who, COUNT(*) AS n FROM (SELECT c_name AS who FROM customer UNION ALL SELECT p_name FROM part) GROUP BY who", "SELECT upper(c_name) AS u, COUNT(*) AS n FROM customer GROUP BY upper(c_name)",
+    "SELECT c_name, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_name)", "SELECT who, COUNT(*) AS n FROM (SELECT c_name AS who, COUNT(*) AS k FROM customer GROUP BY c_name, c_custkey) GROUP BY who", "SELECT p_name AS c_name, COUNT(*) AS n FROM part GROUP BY c_name", "SELECT c_name AS who, COUNT(*) AS n FROM customer GROUP BY who, c_custkey",
+    "SELECT * FROM (SELECT *, 1 AS one FROM (SELECT c_name AS who FROM customer)) GROUP BY who, one",
+])
+def test_labels_stay_where_a_key_would_change_the_meaning(views, statement):
+    assert sql.by_key(views, statement, {"c_name": "c_custkey"}) == (statement, [])
+
+
+def test_days_are_followed_to_their_tables(views):
+    views.sql("CREATE OR REPLACE TEMP VIEW noon AS SELECT o_orderkey, o_orderdate + INTERVAL 12 HOUR AS o_orderdate, concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 12:00:00') AS orderdate FROM orders")
+    until = views.sql("SELECT COUNT(*) FROM orders WHERE o_orderdate < '1997-07-01'").first()[0]
+    for column in ("o_orderdate", "orderdate"):
+        for statement in (
+            f"WITH x AS (SELECT {column} AS placed FROM noon) SELECT COUNT(*) FROM x WHERE placed <= '1997-06-30'", f"SELECT COUNT(*) FROM (SELECT y.{column} AS placed FROM noon y) z WHERE '1997-06-30' >= z.placed",
+            f"SELECT COUNT(*) FROM (SELECT {column} AS placed FROM noon) WHERE placed BETWEEN DATE'1900-01-01' AND DATE'1997-06-30'", f"SELECT COUNT(CASE WHEN b.{column} <= '1997-06-30' THEN 1 END) FROM noon a JOIN noon b USING (o_orderkey)",
+        ):
+            changed, notes = sql.whole_days(views, statement)
+            assert len(notes) == 1 and views.sql(changed).first()[0] == until, statement
+            assert sql.whole_days(views, changed) == (changed, [])
+    for fine in ("WITH x AS (SELECT CAST(o_orderdate AS DATE) AS placed FROM noon) SELECT COUNT(*) FROM x WHERE placed <= '1997-06-30'", "WITH x AS (SELECT substr(orderdate, 1, 10) AS placed FROM noon) SELECT COUNT(*) FROM x WHERE placed <= '1997-06-30'", "SELECT nothing FROM noon WHERE o_orderdate <= '1997-06-30'"):
+        assert sql.whole_days(views, fine) == (fine, [])
+
+
+def test_what_is_read_comes_from_typed_plans(views):
+    assert sql.footprint(views, "SELECT 'View (`part`' AS x FROM nation") == ["nation"]
+    assert sql.footprint(views, "SELECT c_name FROM customer WHERE EXISTS (SELECT 1 FROM big_orders WHERE o_custkey = c_custkey) ORDER BY (SELECT MAX(p_size) FROM part)") == ["customer", "orders", "part"]
+    assert sql.columns_read(views, "SELECT 'ReadSchema: struct<x:int>' AS a, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > (SELECT AVG(p_retailprice) FROM part))") == {"c_name", "c_custkey", "o_custkey", "o_totalprice", "p_retailprice"}
+
+
+PROBE = "reflect('java.lang.System', 'setProperty', 'lodestone.probe', 'hit')"
+
+
+@pytest.mark.parametrize("statement", [
+    f"SELECT sum(o_orderkey) OVER w AS x FROM orders WINDOW w AS (PARTITION BY {PROBE}) LIMIT 1", f"SELECT sum(o_orderkey) OVER w AS x FROM orders WINDOW w AS (ORDER BY {PROBE}), v AS (PARTITION BY 1)", f"WITH x AS (SELECT 1 AS a) SELECT sum(a) OVER w FROM x WINDOW w AS (PARTITION BY {PROBE})",
+    f"SELECT * FROM (SELECT o_orderstatus s, o_totalprice p FROM orders) PIVOT (sum(p) FOR s IN ({PROBE}))", f"SELECT * FROM (SELECT o_orderstatus s, o_totalprice p FROM orders) PIVOT (max({PROBE}) FOR s IN ('F'))", f"SELECT * FROM orders, LATERAL (SELECT {PROBE})", f"SELECT * FROM orders LEFT JOIN LATERAL (SELECT {PROBE}) ON true",
+    f"SELECT * FROM VALUES ({PROBE}) AS t(x)", f"SELECT * FROM orders LATERAL VIEW explode(array({PROBE})) t", f"SELECT count(*) FROM orders GROUP BY CUBE ({PROBE})", f"SELECT (SELECT max({PROBE})) FROM orders", f"SELECT * FROM orders ORDER BY {PROBE} LIMIT length({PROBE})", f"SELECT * FROM range({PROBE})",
+    f"SELECT x FROM orders UNPIVOT (v FOR x IN (o_orderkey)) WHERE {PROBE} = ''", f"SELECT aggregate(array(1), 0, (a, b) -> {PROBE})", f"SELECT * FROM orders JOIN customer ON {PROBE} = c_name", f"SELECT * FROM orders TABLESAMPLE (10 ROWS) WHERE {PROBE} IS NULL", f"SELECT CASE {PROBE} WHEN 1 THEN 2 END",
+    f"SELECT first_value({PROBE}) IGNORE NULLS FROM orders", f"SELECT * FROM IDENTIFIER({PROBE})", f"SELECT named_struct('a', {PROBE}).a", f"SELECT DATE'2020-01-01' + make_interval(length({PROBE}))",
+])
+def test_no_call_into_java_passes(views, statement):
+    jvm = views._jvm.java.lang.System
+    jvm.clearProperty("lodestone.probe")
+    assert sql.Guarded(views).execute(statement).error in ("reaches outside of the tables", "has a part that can't be read")
+    assert jvm.getProperty("lodestone.probe") is None
+
+
+def test_functions_of_others_under_known_names_are_refused(views):
+    other = views.newSession()
+    other.udf.register("soundex", lambda x: "mine")
+    assert sql.verdict(other, "SELECT soundex('a') AS a") and sql.verdict(views, "SELECT soundex('a') AS a") is None
+
+
 def test_whole_days(views):
     views.sql("CREATE OR REPLACE TEMP VIEW loose AS SELECT o_orderkey, concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 12:00:00') AS orderdate FROM orders")
     statement = "SELECT COUNT(*) AS n FROM loose WHERE orderdate BETWEEN '1997-06-01' AND '1997-06-30' AND 'orderdate <= x' <> ''"
