@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.matching import ROUNDING, matchable
 from lodestone.operators.retrieval import similar_questions
 
 #: Outcomes of an evaluation run as (id, gold label, predicted label, confidence, correct, answered).
@@ -47,22 +49,58 @@ def recall_grid(gold: DataFrame, hits: DataFrame, ks: list[int]) -> DataFrame:
     return rows.select("k", F.round(F.coalesce("found", F.lit(0)) / F.col("total"), 6).alias("recall"), F.round(F.col("chunks") / F.col("questions"), 6).alias("mean_chunks"))
 
 
-def normalized(df: DataFrame) -> DataFrame:
-    """A result's cells as texts: numbers with two decimals, white space collapsed."""
-    cells = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        number = kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal")
-        cells.append((F.round(c.cast("decimal(28,6)"), 2).cast("string") if number else F.trim(F.regexp_replace(c.cast("string"), r"\s+", " "))).alias(f"c{len(cells)}"))
-    return df.select(*cells)
+_NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
+#: Rows that one task may have to pair at once, where several columns of numbers lie close together without a gap.
+GROUP = 20_000
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two results hold the same rows, duplicates counted, in any order; cells as normalized() has them."""
+def _split(df: DataFrame, numeric: list[bool], side: int) -> DataFrame:
+    """(side, t: the cells that must be equal, as texts, x0, x1 ...: the numbers); a number that is missing or none is a text."""
+    texts, numbers = [], []
+    for name, is_number in zip(df.columns, numeric, strict=True):
+        c = F.col(f"`{name}`")
+        if is_number:
+            d = c.cast("double")
+            odd = d.isNull() | F.isnan(d) | (F.abs(d) == float("inf"))
+            texts.append(F.when(odd, F.coalesce(d.cast("string"), F.lit("null"))).otherwise(""))
+            numbers.append(F.when(odd, 0.0).otherwise(d).alias(f"x{len(numbers)}"))
+        else:
+            texts.append(F.coalesce(F.concat(F.lit("="), F.trim(F.regexp_replace(c.cast("string"), r"\s+", " "))), F.lit("null")))
+    return df.select(F.lit(side).alias("side"), F.array(*texts).cast("array<string>").alias("t"), *numbers)
+
+
+def _unpaired(key, pdf: pd.DataFrame, columns: list[str], tolerance: float) -> pd.DataFrame:
+    if len(pdf) > GROUP:
+        raise ValueError(f"more than {GROUP} rows lie within {tolerance} of each other: they can't be paired in one task")
+    x, y = (pdf.loc[pdf["side"] == s, columns].to_numpy() for s in (0, 1))
+    return pd.DataFrame({"n": [] if matchable(x, y, tolerance) else [len(pdf)]})
+
+
+def same_rows(a: DataFrame, b: DataFrame, tolerance: float = 0.01) -> bool:
+    """Whether two results hold the same rows, duplicates counted, in any order, numbers within tolerance: whether all rows
+    can be paired. White space in texts is collapsed.
+
+    Rows whose other cells are equal are sorted by a number and part wherever the next one is more than tolerance away,
+    for each column of numbers. One column is paired by rank, as a join; several are matched group by group. A group
+    has rows that lie close together in every column; more than GROUP of them are refused.
+    """
     if len(a.columns) != len(b.columns):
         return False
-    x, y = normalized(a), normalized(b)
-    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+    numeric = [all(kind in _NUMBERS or kind.startswith("decimal") for kind in kinds) for kinds in zip((k for _, k in a.dtypes), (k for _, k in b.dtypes), strict=True)]
+    rows = _split(a, numeric, 0).unionAll(_split(b, numeric, 1))
+    columns = [c for c in rows.columns if c.startswith("x")]
+    if len(columns) < 2:
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("side", "t").orderBy(*columns or [F.lit(0)])))
+        x, y = (ranked.filter(F.col("side") == s).select("t", "rank", F.col(columns[0] if columns else "rank").alias(f"v{s}")) for s in (0, 1))
+        off = F.col("v0").isNull() | F.col("v1").isNull() | (F.abs(F.col("v0") - F.col("v1")) > tolerance + ROUNDING)
+        return x.join(y, ["t", "rank"], "full").filter(off).isEmpty()
+    keys = ["t"]
+    for c in columns:  # a new group wherever a gap is wider than the tolerance
+        w = Window.partitionBy(*keys).orderBy(c)
+        gap = (F.col(c) - F.lag(c).over(w) > tolerance + ROUNDING).cast("int")
+        rows = rows.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn(f"g{c}", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+        keys = [*keys, f"g{c}"]
+    return rows.groupBy(*keys).applyInPandas(lambda key, pdf: _unpaired(key, pdf, columns, tolerance), "n long").isEmpty()
 
 
 def changed_records(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
