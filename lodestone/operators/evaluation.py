@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.columns import jaccard, question_words
 from lodestone.functions.matching import ROUNDING, matchable
 from lodestone.operators.retrieval import similar_questions
 
@@ -117,7 +118,34 @@ def leakage(train: DataFrame, test: DataFrame, least: float = 0.85) -> DataFrame
     return ids.unionByName(pairs).distinct()
 
 
-def closest(train: DataFrame, test: DataFrame, least: float = 0.3) -> DataFrame:
-    """(train_id, test_id, overlap): each training question's nearest test question, of those that overlap by least or more."""
-    pairs = similar_questions(train, test, least)
-    return pairs.groupBy(F.col("a_key").alias("train_id")).agg(F.max(F.struct("overlap", "b_key")).alias("m")).select("train_id", F.col("m.b_key").alias("test_id"), F.col("m.overlap").alias("overlap"))
+def closest(train: DataFrame, test: DataFrame, key: str = "qid", text: str = "question") -> DataFrame:
+    """(train_id, test_id, overlap): each training question's nearest test question by overlap of words, ties by the
+    smallest id; with overlap 0 where no word is shared, and no row at all where test is empty. Texts with the same words are compared once.
+
+    An exact search without a threshold, by two prefix filters. Test questions that share one of a question's two rarest
+    words give it a lower bound of its best overlap. An overlap as large needs a shared word among all but as many of
+    its rarest words; only test questions with one of those are compared. The better the bound, the fewer and rarer
+    these words; common words are met only by questions that have little else in common with any.
+    """
+    named = train.select(F.col(key).alias("train_id"), question_words(F.col(text)).alias("w"))
+    a = named.groupBy("w").agg(F.min("train_id").alias("a"))
+    b = test.select(F.col(key).alias("b"), question_words(F.col(text)).alias("v")).groupBy("v").agg(F.min("b").alias("b"))
+    index = b.select("b", F.explode("v").alias("word"))
+    rarity = index.groupBy("word").agg(F.count("*").alias("n"))
+    # Words that no test question has can't be shared, so that they don't count among the rarest.
+    known = a.select("a", "w", F.explode("w").alias("word")).join(rarity, "word")
+    of_a = Window.partitionBy("a")
+    known = known.select("a", "w", "word", F.row_number().over(of_a.orderBy("n", "word")).alias("place"), F.count("*").over(of_a).alias("known"))
+
+    def met(words: DataFrame) -> DataFrame:
+        pairs = words.join(index, "word").select("a", "b").distinct().join(a, "a").join(b, "b")
+        return pairs.select("a", "b", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("overlap"))
+
+    bound = met(known.filter("place <= 2")).groupBy("a").agg(F.max("overlap").alias("least"))
+    # What rounding may add is taken off.
+    shared = F.ceil((F.coalesce("least", F.lit(0.0)) - 1e-6) * F.size("w"))
+    wide = met(known.join(bound, "a", "left").filter(F.col("place") <= F.col("known") - F.greatest(shared, F.lit(1)) + 1))
+    best = wide.groupBy("a").agg(F.max("overlap").alias("overlap"), F.min_by("b", F.struct(-F.col("overlap"), F.col("b"))).alias("test_id"))
+    first = test.agg(F.min(key).alias("first")).filter("first IS NOT NULL")  # one row
+    rows = named.join(a, "w").join(best, "a", "left").crossJoin(F.broadcast(first))
+    return rows.select("train_id", F.coalesce("test_id", "first").alias("test_id"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))

@@ -127,6 +127,15 @@ def parsed(spark: SparkSession, sql: str) -> Node:
     return Node(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), _classes(spark))
 
 
+def operands(spark: SparkSession, expression: str) -> list[str] | None:
+    """The names of columns in an expression, each once, in order; None where Spark can't read it as one."""
+    try:
+        root = Node(spark._jsparkSession.sessionState().sqlParser().parseExpression(expression), _classes(spark))
+        return list(dict.fromkeys(n.names[-1] for n in root.all() if n.kind == "UnresolvedAttribute"))
+    except (PySparkException, Unreadable):
+        return None
+
+
 def parse_error(spark: SparkSession, sql: str) -> tuple[str, int] | None:
     """(condition, place in the text) of the parser's refusal, or None."""
     try:

@@ -11,6 +11,7 @@ from lodestone.functions import columns as C
 from lodestone.operators import answers, constraints, evaluation, relational, retrieval
 from lodestone.plans import pipeline
 from lodestone.plans import sql as sqls
+from lodestone.plans.scopes import schema_problems
 from lodestone.sources import corpus, tables
 from lodestone.sources.tables import table
 
@@ -337,7 +338,7 @@ _EXPECTED = {
         ("window", "reaches outside of the tables", None, None, ""), ("pivot", "reaches outside of the tables", None, None, ""), ("pivot_aggregate", "reaches outside of the tables", None, None, ""), ("lateral", "reaches outside of the tables", None, None, ""), ("lateral_view", "reaches outside of the tables", None, None, ""), ("values", "reaches outside of the tables", None, None, ""), ("grouping_sets", "reaches outside of the tables", None, None, ""), ("lambda", "reaches outside of the tables", None, None, ""), ("filter_clause", "reaches outside of the tables", None, None, ""), ("range_argument", "reaches outside of the tables", None, None, ""),
         ("window_fine", None, None, "orders", ""), ("pivot_fine", None, None, "orders", ""), ("hint_fine", None, None, "orders", ""), ("unpivot_fine", None, None, "part", ""), ("hint", "reaches outside of the tables", None, None, ""),
     ]),
-    "sql_rewrites": ("name, notes", [("label", "c_name -> c_custkey,any_value(c_name)"), ("keyed", ""), ("last_day", "day of o_orderdate"), ("half_open", ""), ("garbled", "GRUOP -> GROUP"), ("sound", "")]),
+    "sql_rewrites": ("name, notes", [("label", "c_name -> c_custkey,any_value(c_name)"), ("keyed", ""), ("last_day", "day of o_orderdate"), ("half_open", ""), ("garbled", "GRUOP -> GROUP"), ("sound", ""), ("swapped", "SELCT -> SELECT,FORM -> FROM"), ("longer", "BETWEWEN -> BETWEEN"), ("three", "FORM -> FROM,WEHRE -> WHERE,ODER -> ORDER")]),
 }
 _GRAIN = "ENTITY GRAIN: one row a key; names are shown, not grouped by"
 _DATES = "DATES: both ends are included; a date with a time of day counts as its day"
@@ -352,6 +353,7 @@ _PLANNED = [
 _REWRITTEN = [
     ("label", "SELECT c_name, COUNT(*) AS n FROM customer GROUP BY c_name"), ("keyed", "SELECT c_name, COUNT(*) AS n FROM customer GROUP BY c_custkey, c_name"), ("last_day", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate <= '1997-06-30'"),
     ("half_open", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate < '1997-07-01'"), ("garbled", "SELECT c_name FROM customer GRUOP BY c_name"), ("sound", "SELECT o_orderdate - INTERVAL 1 DAY AS groups FROM orders"),
+    ("swapped", "SELCT COUNT(*) FORM orders"), ("longer", "SELECT c_name FROM customer WHERE c_custkey BETWEWEN 1 AND 2"), ("three", "SELECT c_name FORM customer WEHRE c_custkey > 3 ODER BY c_name"),
 ]
 
 
@@ -405,7 +407,34 @@ def whole_day_counts(spark, d):
     return reduce(DataFrame.unionAll, (spark.sql(sqls.whole_days(spark, s)[0]).select(F.lit(form).alias("form"), "status", "n") for form, s in _UNTIL.items()))
 
 
-_TEXT |= {f.__name__: f for f in (sql_rewrites, keyed_groups, whole_day_counts)}
+def closest_turns(spark, d):
+    """For every opening turn of a conversation the later turn of a user whose words overlap most with its own."""
+    turns = table(spark, d, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    opening = turns.filter("turn = 0").select(F.col("conv_id").cast("string").alias("qid"), F.col("text").alias("question"))
+    later = turns.filter("turn > 0 AND role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.col("text").alias("question"))
+    return evaluation.closest(opening, later)
+
+
+def formula_operands(spark, d):
+    """Operands that no table has, of one formula for every type of part."""
+    types = table(spark, d, "part").select("p_type").distinct()
+    rate = F.concat(F.lower("p_type"), F.lit("_rate"))
+    text = F.concat(F.lit("SUM(l_extendedprice * (1 - l_discount) * "), rate, F.lit(") / NULLIF(COUNT(DISTINCT l_orderkey), 0) + CASE WHEN p_type = 'LARGE' THEN "), F.initcap("p_type"), F.lit("Bonus ELSE 0 END"))
+    formulas = types.select(F.col("p_type").alias("qid"), F.lit("rated revenue").alias("name"), text.alias("expression"))
+    return constraints.missing_fields(formulas, [c for t in pipeline.TABLES for c in table(spark, d, t).columns])
+
+
+def schema_findings(spark, d):
+    """What is wrong with a statement that misspells every column of a table, and asks for it under a name that isn't there."""
+    tables.register(spark, d, pipeline.TABLES)
+    rows = []
+    for t in pipeline.TABLES:
+        statement = f"SELECT {', '.join(f'x.{c}_x, y.{c}, x.{c}' for c in spark.table(t).columns)} FROM {t} x WHERE {t}_z > 0 AND EXISTS (SELECT 1 FROM {t}_y WHERE x.{t}_w = 1)"
+        rows += [(t, p.kind, p.name) for p in schema_problems(spark, statement)]
+    return spark.createDataFrame(rows, "table_name string, kind string, name string")
+
+
+_TEXT |= {f.__name__: f for f in (closest_turns, formula_operands, schema_findings, sql_rewrites, keyed_groups, whole_day_counts)}
 
 
 def queries() -> dict:
@@ -445,6 +474,10 @@ def oracle_sql() -> dict[str, str]:
     cases = _values([(q, *(f.get(c, 0) for c in answers.CONFIDENCE), i) for q, f, i in _CASES], "qid, " + ", ".join(answers.CONFIDENCE) + ", invented")
     words = "list_sort(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '\\breturn\\b.*$', ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')))"
     turns = f"(SELECT key, {words} AS w FROM (SELECT CAST(conv_id AS VARCHAR) AS key, text FROM conversations WHERE turn = 0 AND conv_id IS NOT NULL UNION ALL SELECT * FROM {_values(ASKED, 'key, text')}))"
+    later = f"(SELECT conv_id || ':' || turn AS key, {words} AS w FROM conversations WHERE conv_id IS NOT NULL AND turn > 0 AND role = 'user')"
+    opening = f"(SELECT CAST(conv_id AS VARCHAR) AS key, {words} AS w FROM conversations WHERE conv_id IS NOT NULL AND turn = 0)"
+    shared = "len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 1)"
+    named = f"SELECT table_name, column_name AS c FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in pipeline.TABLES)})"
     overlap = "len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
     text = {
         "chunk_markdown": f"SELECT * FROM {_CHUNKS}",
@@ -463,6 +496,9 @@ def oracle_sql() -> dict[str, str]:
         "confusion": f"SELECT label, predicted, COUNT(*) AS n FROM {outcomes} GROUP BY 1, 2",
         "calibration": f"SELECT n, ROUND(a, 6) AS accuracy, ROUND(c, 6) AS confidence, ROUND(c - a, 6) AS gap FROM (SELECT COUNT(*) AS n, AVG(CASE WHEN correct THEN CAST(1 AS DOUBLE) ELSE 0 END) AS a, AVG(CAST(confidence AS DOUBLE)) AS c FROM {outcomes} WHERE answered)",
         "config_ranking": f"SELECT config, ROUND(AVG(CAST(score AS DOUBLE)), 6) AS mean, ROUND(CAST(MAX(score) - MIN(score) AS DOUBLE), 6) AS spread, AVG(CAST(calls AS DOUBLE)) AS calls FROM {runs} GROUP BY config HAVING NOT bool_or(disqualified)",
+        "closest_turns": f"SELECT a.key AS train_id, b.key AS test_id, ROUND({shared}, 6) AS overlap FROM {opening} a, {later} b QUALIFY row_number() OVER (PARTITION BY a.key ORDER BY ROUND({shared}, 6) DESC, b.key) = 1",
+        "formula_operands": "SELECT p_type AS qid, 'rated revenue' AS name, unnest([lower(p_type) || '_rate', upper(p_type[1]) || lower(p_type[2:]) || 'Bonus']) AS field FROM (SELECT DISTINCT p_type FROM part)",
+        "schema_findings": f"SELECT table_name, kind, name FROM ({named}), LATERAL (SELECT 'column' AS kind, 'x.' || c || '_x' AS name UNION ALL SELECT 'qualifier', 'y.' || c) UNION ALL SELECT table_name, unnest(['column', 'table', 'column']), unnest([table_name || '_z', table_name || '_y', 'x.' || table_name || '_w']) FROM (SELECT DISTINCT table_name FROM ({named}))",
         "keyed_groups": f"SELECT form, part, n FROM (SELECT p_partkey, MIN(p_name) AS part, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey), {_values([(x,) for x in _BY_NAME], 'form')}",
         "whole_day_counts": f"SELECT form, status, n FROM (SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders WHERE CAST(o_orderdate + INTERVAL 12 HOUR AS DATE) <= DATE '1997-06-30' GROUP BY 1), {_values([(x,) for x in _UNTIL], 'form')}",
         "label_profile": " UNION ALL ".join(label(t, c) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"), ("nation", "n_name"))),
