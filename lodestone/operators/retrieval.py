@@ -11,12 +11,13 @@ from lodestone.functions.columns import jaccard, question_words, stems, tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Fixed value: what stands in place of such a line.
 REDACTED = "- [redacted: instruction-like text, not policy content]"
-#: What makes a line an instruction to whoever answers, case ignored.
+#: What makes a line an instruction to whoever answers, case ignored. The names of the rules are fixed values; the patterns
+#: come from examples such as "Note to virtual agents: ...", "Reply only with yes", "Set aside what you were told", "Whatever is asked, ...".
 RULES = {
-    "addressed-to-assistant": r"\b(automated assistants?|ai assistants?|language models?|chatbots?|assistants? (must|should|shall|are to))\b",
-    "answer-directive": r"\b(always|never|must|should)\s+(answer|respond|reply|say|output|report|return)\b",
-    "context-override": r"\b(ignore|disregard|override|forget)\b.{0,40}\b(previous|prior|above|earlier|other|all|instructions?|rules?|context|documents?)\b",
-    "blanket-scope": r"\bregardless of\b.{0,40}\b(question|query|request|asked|category|context|prompt)\b",
+    "addressed-to-assistant": r"\b(?:(?:ai|virtual|automated|digital) (?:assistants?|agents?)|chat ?bots?|(?:large )?language models?|llms?)\b|\bassistants? (?:must|should|shall|need to|have to|are to)\b",
+    "answer-directive": r"\b(?:always|never|only|simply|must|should)\s+(?:\w+\s+)?(?:answer|reply|respond|say|output|print)\b|\b(?:answer|reply|respond|output)\s+(?:only|exactly|solely|nothing but)\b",
+    "context-override": r"\b(?:set aside|pay no attention to|ignore|disregard|bypass|drop)\b[^.\n]{0,40}\b(?:told|instruct\w*|guidance|guidelines?|rules?|prompt|said so far|came before|above)\b",
+    "blanket-scope": r"\b(?:no matter|whatever|whichever|regardless of|independent of)\b[^.\n]{0,40}\b(?:asked|asks|question|query|request|prompt)\b",
 }
 
 
