@@ -5,8 +5,8 @@ shard a range: `.ids` (unsigned 16- or 32-bit token ids, one document after anot
 documents, from the shard's first id) and `.doc` (64-bit doc_ids; the first n_null rows have none). A shard's place in
 the whole corpus is the prefix sum of the shards before it, kept in the index, so that no shard waits for another.
 
-Scale: texts are shuffled once; a task holds a batch of texts and a bounded cache; the driver sees one row a shard.
-A task that is tried again writes another file, and the index names only files of tasks that succeeded.
+Scale: texts are shuffled once; a task holds a batch of texts and a bounded cache, offsets and ids of documents are written as they
+come; the driver sees one row a shard, and shards grow in number with the input, not in size. A task that is tried again writes another file, and the index names only files of tasks that succeeded.
 
 Edge cases: null and empty texts are documents of the end id alone; rows without doc_id come first; ties and repeated
 rows are all kept, in order of the text's hash; an empty table gives no shards; other columns are ignored. A vocabulary
@@ -40,6 +40,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words that a worker remembers, besides those of the texts at hand.
 CACHE = 500_000
+#: Input of a shard, by Spark's estimate of the size of docs, and most shards, for an estimate may be far too high.
+SHARD_BYTES, MOST_SHARDS = 256 << 20, 100_000
 
 
 def _has_run(text: str) -> bool:
@@ -110,31 +112,33 @@ def _store(folder: str):
 
 
 def _write_shard(batches: Iterator[pd.DataFrame], folder: str, vocabulary: str, dtype: str, end: int | None) -> Iterator[pd.DataFrame]:
-    encoder, files, name = _encoder(vocabulary, dtype, end), None, None
-    shard, n_null, lengths, docs = None, 0, [], []
+    """The three files of a shard, written side by side as texts come; nothing is kept of a document but its ids' number in the sum."""
+    encoder, files, name = _encoder(vocabulary, dtype, end), [], None
+    shard, n_docs, n_null, n_ids = None, 0, 0, 0
     for pdf in batches:
         # By size, for texts may be very long.
         group = pdf["text"].str.len().cumsum().to_numpy() // 4_000_000
         for _, some in pdf.groupby(group, sort=False):
-            if files is None:
+            if not files:
                 shard = int(some["shard"].iloc[0])
                 store, path = _store(folder)
                 store.create_dir(path, recursive=True)
                 name = f"{path}/{shard:06d}-{uuid.uuid4().hex}"
-                files = store.open_output_stream(name + ".ids")
-            for b in encoder(some["text"].tolist()):
-                files.write(b)
-                lengths.append(len(b) // encoder.dtype.itemsize)
-            n_null += int(some["absent"].sum())
-            docs.append(some["doc_id"].to_numpy("<i8"))
-    if files is None:
+                files = [store.open_output_stream(name + suffix) for suffix in (".ids", ".off", ".doc")]
+                files[1].write(np.zeros(1, "<i8").tobytes())
+            encoded = encoder(some["text"].tolist())
+            for b in encoded:
+                files[0].write(b)
+            ends = n_ids + np.cumsum([len(b) // encoder.dtype.itemsize for b in encoded], dtype="<i8")
+            files[1].write(ends.astype("<i8").tobytes())
+            files[2].write(some["doc_id"].to_numpy("<i8").tobytes())
+            n_docs, n_null, n_ids = n_docs + len(some), n_null + int(some["absent"].sum()), int(ends[-1])
+    if not files:
         return
-    files.close()
-    for suffix, array in ((".off", np.concatenate([[0], np.cumsum(lengths, dtype="<i8")]).astype("<i8")), (".doc", np.concatenate(docs))):
-        with store.open_output_stream(name + suffix) as f:
-            f.write(array.tobytes())
+    for f in files:
+        f.close()
     base = folder + name.removeprefix(path)
-    yield pd.DataFrame([(shard, base + ".ids", base + ".off", base + ".doc", len(lengths), n_null, sum(lengths))], columns=[x.split()[0] for x in _INDEX.split(", ")])
+    yield pd.DataFrame([(shard, base + ".ids", base + ".off", base + ".doc", n_docs, n_null, n_ids)], columns=[x.split()[0] for x in _INDEX.split(", ")])
 
 
 class TokenFiles:
@@ -203,11 +207,17 @@ def _read_shards(batches: Iterator[pd.DataFrame], dtype: str, with_ids: bool) ->
                 yield rows
 
 
+def _shards(docs: DataFrame) -> int:
+    """As many shards as the session has shuffle partitions, or more where the input is larger."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), MOST_SHARDS))
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, end: int | None = 2, dtype: str = "<u2", shards: int | None = None, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> TokenFiles:
     """Encodes and writes all docs; dtype must hold the vocabulary's ids ("<u2" below 65,536, else "<u4")."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or _shards(docs)
     ranged = (
         docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
         .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})

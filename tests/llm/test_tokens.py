@@ -74,3 +74,35 @@ def test_very_many_equal_rows_are_spread(spark):
     files = tokens.write_tokens(df, vocabulary(), shards=4)
     assert max(s[4] for s in files.shards) < 300
     assert sorted(r["start"] for r in files.documents().collect()) == list(range(0, 802, 2))
+
+
+def test_a_shard_of_many_documents_is_written_as_it_comes(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    folder = tokens.new_path(spark, "tokens")
+
+    def written(n):
+        batches = (pd.DataFrame({"shard": 0, "doc_id": range(at, at + 10_000), "absent": False, "text": "a b"}) for at in range(0, n, 10_000))
+        tracemalloc.start()
+        (row,) = list(tokens._write_shard(batches, folder, vocabulary(), "<u2", 2))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return row, peak
+
+    written(10_000)
+    (_, few), (row, many) = written(50_000), written(400_000)
+    assert many < 1.3 * few
+    store, path = tokens._store(row["off"][0])
+    off = np.frombuffer(store.open_input_file(path).read(), "<i8")
+    assert row["n_docs"][0] == 400_000 and len(off) == 400_001 and (np.diff(off) == 3).all() and off[-1] == row["n_ids"][0]
+
+
+def test_shards_grow_with_the_input(spark, monkeypatch):
+    docs = table(spark, sf="sf0.01")
+    assert tokens._shards(docs) == 4
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 100_000)
+    assert 10 < tokens._shards(docs) < 40
+    monkeypatch.setattr(tokens, "MOST_SHARDS", 6)
+    assert tokens._shards(docs) == 6
