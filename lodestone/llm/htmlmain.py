@@ -4,10 +4,13 @@ A page is cut into text lines (one per block element). Pages of a host are sorte
 neighbour whose path is nearest (longest common beginning), the two pages' lines are aligned by longest common
 subsequence, and shared lines are deleted: what a site repeats from page to page is not the article.
 
-Markup speaks only where it is plain: lines in elements that are menus, footers, sidebars, forms or hidden, or whose
-class, id or role says nothing but that, go; paragraphs, headings, lists and cells inside an article's container stay
-even if another page repeats them. All other lines, in an article or outside of it, are decided by differencing. A page
-without a neighbour has nothing to be compared with: there, lines outside an article go if the article has more text.
+Markup speaks only where it is plain: lines in elements that are menus, footers, sidebars, forms, reader comments or
+hidden, or whose class, id or role says nothing but that, go; headings, lists and cells inside an article's container
+stay even if another page repeats them. Paragraphs of an article go if they are short (NOTICE characters at most, as
+notices and adverts are) and the nearest page has them too, unless the two articles share most of their text, for then they
+are copies, or another host has the paragraph, for then it is a quotation, not a notice of this site. All other lines, in an article or outside of it, are decided by differencing. A page without a neighbour
+has nothing to be compared with: there, lines outside an article go if the article has more text. Where markup leaves no
+article, an element named like boilerplate that holds most of the page's prose is its wrapper, not boilerplate.
 
 Scale: pages are shuffled by nothing but hashes of lines; pairing is a sort by ranges of (host, path) and an equi-join
 on the row number, so that a host may have any number of pages. Only the numbers of deleted lines come back to pages.
@@ -41,6 +44,8 @@ from lodestone.llm.common import saved
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _HIDDEN = frozenset("noscript template svg math object select datalist canvas video audio".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that no page lies in, whatever they hold; the place of what they and comments hold.
+_NEVER_WRAPS, COMMENTS = frozenset("nav footer aside menu noscript template svg math object select datalist canvas video audio".split()), -2
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
@@ -55,7 +60,9 @@ _NEUTRAL = frozenset(
     "area bar block body bottom box btn button buttons center col column container content global group icons info inner items left line link links list main message outer page panel posts primary right row secondary "
     "section site slot top unit wrap wrapper the of and to".split()
 )
-_COMMENT = re.compile(r"(?:^|\s)(?:comment|comments|commentlist|respond|reply|replies|disqus|discussion)(?:[-_](?:body|list|area|item|content|thread))?(?:\s|$)", re.I)
+_COMMENT_WORDS = frozenset("comment comments commentlist commenter commentary respond reply replies disqus".split())
+#: Words that make a name with a comment word say something of the page, not of its comments.
+_OF_PAGE = frozenset("open closed enabled disabled has no with without allow allowed off on count status link number".split())
 _GOOD = re.compile(r"(?:^|\s)(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)(?:\s|$)|(?:^|\s)(?:articlebody|main|content|article|post|entry|story)(?:\s|$)", re.I)
 _OF_ARTICLE = frozenset("article post entry story".split())
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -65,8 +72,10 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 
-#: What markup says of a line: it goes, it stays, or differencing decides, inside an article or outside of it.
-DROP, KEEP, ASK, OUTSIDE = range(4)
+#: What markup says of a line: it goes, it stays, or differencing decides, inside an article or outside of it, or of a short paragraph in an article.
+DROP, KEEP, ASK, OUTSIDE, PARAGRAPH = range(5)
+#: Most characters of a paragraph that may be a notice; words from which on a line is prose; wrappers that a page may have around each other.
+NOTICE, PROSE_WORDS, WRAPPERS = 200, 10, 4
 
 
 class _Ahead:
@@ -142,8 +151,17 @@ def _says_boilerplate(named: str, but: frozenset[str]) -> bool:
     return False
 
 
+def _says_comments(named: str) -> bool:
+    """Whether some name of a class, id or role is that of readers' comments."""
+    for token in named.split()[:50]:
+        parts = set(_PART.findall(_CAMEL.sub(" ", token).lower()))
+        if parts & _COMMENT_WORDS and not parts & _OF_PAGE:
+            return True
+    return False
+
+
 def _kind(name: str, raw: str, in_article: bool) -> str:
-    """What an element's tag says: "bad", "article" or nothing."""
+    """What an element's tag says: "bad", "comments", "article" or nothing."""
     if name in _BOILERPLATE or (name == "header" and not in_article):
         return "bad"
     if name in ("html", "body"):
@@ -154,20 +172,39 @@ def _kind(name: str, raw: str, in_article: bool) -> str:
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return "bad"
     named = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
+    if _says_comments(named):
+        return "comments"
     if name in ("article", "main") or a.get("role") == "main" or a.get("itemprop", "").lower() == "articlebody" or _GOOD.search(named):
-        return "bad" if _COMMENT.search(named) else "article"
+        return "article"
     parts = set(_PART.findall(named.lower()))
     return "bad" if _says_boilerplate(named, frozenset(["header"]) if in_article or parts & _OF_ARTICLE else frozenset()) else ""
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(line, DROP | KEEP | ASK | OUTSIDE) of a page, in order."""
-    page = page or ""
+    """(line, DROP | KEEP | ASK | OUTSIDE | PARAGRAPH) of a page, in order."""
+    page, wrappers = page or "", frozenset()
+    for _ in range(WRAPPERS):
+        lines, held = _lines(page, wrappers)
+        if not held or any(k in (KEEP, ASK, PARAGRAPH) for _, k in lines):
+            break
+        # No article: the outermost element named like boilerplate that holds most prose is what the page lies in.
+        n, at = max((n, at) for at, n in held.items())
+        if at < 0 or 2 * n <= sum(held.values()):
+            break
+        wrappers |= {at}
+    return lines
+
+
+def _lines(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """A page's lines, with elements that begin at one of wrappers taken as plain ones; and the letters of prose by the
+    beginning of the outermost element like boilerplate around them, -1 for none, comments and menus left out."""
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, str]] = []
     open_: Counter = Counter()
     text: list[str] = []
     linked = links = bad = article = prose = 0
+    held: dict[int, int] = {}
+    outermost = -1
     ahead = _Ahead(page)
 
     def end_line() -> None:
@@ -176,24 +213,34 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             line = " ".join(_unescape("".join(text)).split())
             if line:
                 # Outside an article, a line that is mostly links is a menu.
-                kind = DROP if bad or not article and 2 * linked > len(line) else KEEP if article and prose else ASK if article or stack and stack[-1][0] == "h1" else OUTSIDE
+                top = stack[-1][0] if stack else ""
+                kept = PARAGRAPH if top == "p" and len(line) <= NOTICE else KEEP
+                kind = DROP if bad or not article and 2 * linked > len(line) else kept if article and prose else ASK if article or top == "h1" else OUTSIDE
                 lines.append((line, kind))
+                if 2 * linked <= len(line) and line.count(" ") + 1 >= PROSE_WORDS and outermost != COMMENTS:
+                    held[outermost] = held.get(outermost, 0) + len(line)
             text.clear()
         linked = 0
 
-    def push(name: str, kind: str) -> None:
-        nonlocal bad, article, prose
+    def push(name: str, kind: str, start: int) -> None:
+        nonlocal bad, article, prose, outermost
+        if kind == "bad" and start in wrappers:
+            kind = ""
+        if kind in ("bad", "comments") and not bad:
+            outermost = COMMENTS if kind == "comments" or name in _NEVER_WRAPS else start
         stack.append((name, kind))
         open_[name] += 1
-        bad += kind == "bad"
+        bad += kind in ("bad", "comments")
         article += kind == "article"
         prose += name in _PROSE
 
     def pop() -> str:
-        nonlocal bad, article, prose
+        nonlocal bad, article, prose, outermost
         name, kind = stack.pop()
         open_[name] -= 1
-        bad -= kind == "bad"
+        bad -= kind in ("bad", "comments")
+        if not bad:
+            outermost = -1
         article -= kind == "article"
         prose -= name in _PROSE
         return name
@@ -220,9 +267,9 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 end_line()
                 while pop() != name:
                     pass
-            elif not closing and raw and name not in _VOID and name != "a" and _kind(name, raw, article > 0) == "bad":
+            elif not closing and raw and name not in _VOID and name != "a" and (kind := _kind(name, raw, article > 0)) in ("bad", "comments"):
                 end_line()
-                push(name, "bad")
+                push(name, kind, start)
             continue
         if name not in ("svg", "math"):
             end_line()
@@ -239,12 +286,12 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             # Never closed, or not before its article is: it hides nothing.
             over = ahead(name, end)
             if over < len(page) and not any(open_[x] and ahead(x, end) < over for x in ("article", "main")):
-                push(name, "bad")
+                push(name, "bad", start)
             continue
-        push(name, "" if name == "head" else _kind(name, raw, article > 0))
+        push(name, "" if name == "head" else _kind(name, raw, article > 0), start)
     text.append(page[at:])
     end_line()
-    return lines
+    return lines, held
 
 
 def main_text(page: str | None, deleted: frozenset[int] | set[int] = frozenset()) -> str:
@@ -325,11 +372,15 @@ def _line_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def deleted_lines(lines: list[int], kinds: bytes, sizes: list[int], other: list[int] | None) -> list[int]:
-    """Numbers of the open lines that a page loses: those that its nearest page has too; without one, those outside of a longer article."""
+    """Numbers of the open lines that a page loses: those that its nearest page has too, short paragraphs only if the
+    articles aren't copies; without a nearest page, those outside of a longer article."""
     if other is not None:
-        return [i for i in common_lines(lines, other) if kinds[i] in (ASK, OUTSIDE)]
+        shared = common_lines(lines, other)
+        of_article = [i for i, k in enumerate(kinds) if k in (KEEP, PARAGRAPH)]
+        copy = 2 * sum(sizes[i] for i in shared if kinds[i] in (KEEP, PARAGRAPH)) > sum(sizes[i] for i in of_article)
+        return [i for i in shared if kinds[i] in (ASK, OUTSIDE) or kinds[i] == PARAGRAPH and not copy]
     outside = [i for i, k in enumerate(kinds) if k == OUTSIDE]
-    return outside if sum(n for n, k in zip(sizes, kinds, strict=True) if k in (KEEP, ASK)) > sum(sizes[i] for i in outside) else []
+    return outside if sum(n for n, k in zip(sizes, kinds, strict=True) if k in (KEEP, ASK, PARAGRAPH)) > sum(sizes[i] for i in outside) else []
 
 
 def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,8 +388,10 @@ def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in pdf.itertuples():
             other = (r.before, r.after)[nearest(r.path, r.before_path, r.after_path)]
-            rows.append((r.host, r.same, deleted_lines(r.lines.tolist(), r.kinds, r.sizes.tolist(), None if other is None else other.tolist())))
-        yield pd.DataFrame([x for x in rows if x[2]], columns=["host", "same", "deleted"])
+            lost = deleted_lines(r.lines.tolist(), r.kinds, r.sizes.tolist(), None if other is None else other.tolist())
+            notices = [{"at": i, "line": int(r.lines[i])} for i in lost if r.kinds[i] == PARAGRAPH]
+            rows.append((r.host, r.same, [i for i in lost if r.kinds[i] != PARAGRAPH], notices))
+        yield pd.DataFrame([x for x in rows if x[2] or x[3]], columns=["host", "same", "deleted", "notices"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,13 +424,20 @@ def differences(pages: DataFrame) -> DataFrame:
         return numbered.select((F.col("row") + step).alias("row"), F.col("host").alias(name + "_host"), F.col("path").alias(name + "_path"), F.col("lines").alias(name))
 
     # A page without open lines loses none.
-    open_lines = F.hex("kinds").rlike(f"^(..)*0[{ASK}{OUTSIDE}]")
+    open_lines = F.hex("kinds").rlike(f"^(..)*0[{ASK}{OUTSIDE}{PARAGRAPH}]")
     pairs = numbered.filter(open_lines).join(neighbour("before", 1), "row", "left").join(neighbour("after", -1), "row", "left")
     for name in ("before", "after"):
         same = F.col(name + "_host") == F.col("host")
         pairs = pairs.withColumns({name: F.when(same, F.col(name)), name + "_path": F.when(same, F.col(name + "_path"))})
     columns = ("host", "same", "path", "lines", "kinds", "sizes", "before", "before_path", "after", "after_path")
-    lost = pairs.select(*columns).mapInPandas(_deleted, "host string, same long, deleted array<int>")
+    lost = saved(pairs.select(*columns).mapInPandas(_deleted, "host string, same long, deleted array<int>, notices array<struct<at int, line long>>"), "lost")
+    notices = lost.select("host", "same", F.explode("notices").alias("x")).select("host", "same", "x.at", "x.line")
+    # Of those lines alone: whether any other host has one.
+    seen = read.select(F.col("host").alias("of"), F.explode("lines").alias("line")).join(notices.select("line").distinct(), "line", "left_semi")
+    local = seen.groupBy("line").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low = high").select("line")
+    # At most a row for each line of a page.
+    gone = notices.join(local, "line", "left_semi").groupBy("host", "same").agg(F.collect_list("at").alias("more"))
+    lost = lost.join(gone, ["host", "same"], "left").select("host", "same", F.concat("deleted", F.coalesce("more", F.array().cast("array<int>"))).alias("deleted")).filter(F.size("deleted") > 0)
     return read.select("key", "host", "same").dropDuplicates(["key"]).join(lost, ["host", "same"]).select("key", "deleted")
 
 

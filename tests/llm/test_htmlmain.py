@@ -88,13 +88,15 @@ def test_differencing_decides_inside_and_outside_of_articles(spark):
 
 
 def test_share_of_lines_decided_by_differencing(spark):
-    """Of pages whose markup says nothing, all lines; of the fixtures', whose markup says everything, none."""
+    """Of pages whose markup says nothing, all lines; of the fixtures', whose markup says everything else, short paragraphs of articles."""
     kinds = lambda pages: [k for p in pages for _, k in htmlmain.lines_of(p)]
     fixtures = [r["html"] for r in table(spark, "pages", "sf0.01").collect()]
     unmarked = [re.sub(r"</?(?:article|nav|footer)>", "", re.sub(r"<li><a [^>]*>([^<]*)</a></li>", r"<div>\1</div>", p)).replace(' class="ad"', "") for p in fixtures]
     share = lambda pages: sum(k in (htmlmain.ASK, htmlmain.OUTSIDE) for k in kinds(pages)) / len(kinds(pages))
-    print("decided by differencing:", share(fixtures), share(unmarked))
     assert share(fixtures) == 0 and share(unmarked) == 1
+    paragraphs = sum(k == htmlmain.PARAGRAPH for k in kinds(fixtures)) / len(kinds(fixtures))
+    print("put to differencing, of the fixtures' lines:", paragraphs)
+    assert paragraphs > 0.2
 
 
 def test_long_and_hostile_pages_take_linear_time():
@@ -107,3 +109,82 @@ def test_long_and_hostile_pages_take_linear_time():
     b = a[:]
     random.Random(1).shuffle(b)
     assert len(htmlmain.common_lines(a, b)) > 200 and htmlmain.common_lines(a, a) == a
+
+
+def texts(spark, data):
+    got = htmlmain.main_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_notices_inside_of_articles(spark):
+    sign_up, quoted = "<p>Sign up for our weekly newsletter and never miss a story</p>", "<p>To be or not to be, that is the question.</p>"
+    long = f"<p>{'A long passage that both pages have, word for word. ' * 6}</p>"
+    page = "<article><h1>Story {0}</h1><p>" + "Text of number {0}, told at some length. " * 12 + "</p>{1}<h2>Sources</h2></article>"
+    data = [(i, f"http://x.org/{i}", page.format(i, sign_up + quoted + long)) for i in range(2)] + [(5, "http://other.org/5", f"<article>{quoted}</article>")]
+    # Copies of one article keep what they share.
+    data += [(10 + i, f"http://y.org/{i}", f"<article><p>Same story. {'It goes on. ' * 20}</p><p>Short line of it.</p></article><div>{i}</div>") for i in range(2)]
+    got = texts(spark, data)
+    for i in range(2):
+        assert "newsletter" not in got[i] and "To be or not to be" in got[i] and "A long passage" in got[i] and got[i].endswith("Sources") and got[i].startswith(f"Story {i} Text of number {i}")
+        assert got[10 + i].endswith("Short line of it.") or "Short line of it." in got[10 + i]
+    assert got[5] == "To be or not to be, that is the question."
+
+
+def test_comments_under_any_name(spark):
+    for name in ("user-comments", "post-comments", "comments", "commentBlock", "comment_list", "article-comments", "reply-body"):
+        assert htmlmain.main_text(f"<article><p>Body.</p><div class='{name}'><p>Nice!</p></div><p>More.</p></article>") == "Body. More."
+        assert htmlmain.main_text(f"<article><p>Body.</p></article><section id='{name}'><article><p>Nice!</p></article></section>") == "Body."
+    for name in ("comments-open", "has-comments", "post comments-closed"):
+        assert htmlmain.main_text(f"<article class='{name}'><p>Body.</p></article>") == "Body."
+
+
+def test_wrappers_named_like_boilerplate(spark):
+    prose = "<p>" + "These are the words of the page, of which there are a good many. " * 3 + "</p>"
+    want = " ".join(("These are the words of the page, of which there are a good many. " * 3).split())
+    for before, after in (("<form id='aspnetForm'>", "</form>"), ("<div class='main-banner'>", "</div>"), ("<div class='dialog'>", "</div>"), ("<form><div class='modal'>", "</div></form>"), ("<form><article>", "</article></form>")):
+        page = f"<body><nav><a href=x>Menu</a></nav>{before}{prose}<label>Name</label>{after}<footer>Foot</footer></body>"
+        assert want in htmlmain.main_text(page) and "Menu" not in htmlmain.main_text(page) and "Foot" not in htmlmain.main_text(page)
+    # Beside an article, and comments or sidebars of any length, nothing changes.
+    assert htmlmain.main_text(f"<article><p>Short.</p></article><form>{prose}</form>") == "Short."
+    for wrap in ("<aside>{}</aside>", "<div class='user-comments'>{}</div>", "<footer>{}</footer>"):
+        assert htmlmain.main_text(f"<div>Short text.</div>{wrap.format(prose)}") == "Short text."
+
+
+def test_pairing_and_deletion_by_hand(spark):
+    """Every page of a host with every neighbour by its path, common lines by the table of lengths."""
+    rng = random.Random(9)
+    shared = [f"Line {i} of the site" for i in range(6)]
+    data = []
+    for i in range(60):
+        host, path = f"h{rng.randrange(4)}.org", "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) + f"/{i}"
+        lines = [*rng.sample(shared, rng.randrange(0, 5)), *(f"Own {i} {k}" for k in range(rng.randrange(0, 3)))]
+        rng.shuffle(lines)
+        data.append((i, f"http://{host}{path}", "".join(f"<div>{x}</div>" for x in lines)))
+    want = {}
+    for i, url, page in data:
+        host, path = re.match(r"http://([^/]+)(.*)", url).groups()
+        lines = re.findall(r"<div>(.*?)</div>", page)
+        unique = {}
+        for _, u, p in sorted(data, key=lambda r: r[1]):  # pages with the same lines are one, under the least path
+            h, q = re.match(r"http://([^/]+)(.*)", u).groups()
+            if h == host:
+                unique.setdefault(tuple(re.findall(r"<div>(.*?)</div>", p)), q)
+        order = sorted((q, x) for x, q in unique.items())
+        at = next(n for n, (_, x) in enumerate(order) if x == tuple(lines))
+        path = order[at][0]
+
+        def near(n, order=order, path=path):
+            if not 0 <= n < len(order):
+                return (-1, -1)
+            same = 0
+            while same < min(len(path), len(order[n][0])) and path[same] == order[n][0][same]:
+                same += 1
+            return (path[:same].count("/"), same)
+
+        other = at + 1 if near(at + 1) > near(at - 1) else at - 1
+        lost = set()
+        if 0 <= other < len(order):
+            lost = set(htmlmain.common_lines(lines, list(order[other][1])))
+        kept = [x for n, x in enumerate(lines) if n not in lost]
+        want[i] = " ".join(kept or lines)
+    assert texts(spark, data) == want
