@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 
@@ -100,16 +101,40 @@ def confidence(records: DataFrame) -> DataFrame:
     return records.select("qid", (F.least(F.greatest(cents, F.lit(5)), F.lit(99)) / 100).alias("confidence"))
 
 
+#: How far numbers of two answers may be apart: a cent, and what rounding adds.
+APART = 0.011
+
+
+def read_answer(text: str):
+    """A text as JSON or, where it is none, as a Python literal; ValueError where it is neither."""
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        try:
+            return ast.literal_eval((text or "").strip())
+        except (SyntaxError, TypeError, MemoryError, RecursionError) as e:
+            raise ValueError("no answer") from e
+
+
+def _alike(x, y) -> bool:
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    if number(x) and number(y):
+        return abs(x - y) <= APART
+    if isinstance(x, dict) and isinstance(y, dict):
+        return x.keys() == y.keys() and all(_alike(x[k], y[k]) for k in x)
+    if isinstance(x, (list, tuple)) and isinstance(y, (list, tuple)):
+        return len(x) == len(y) and all(map(_alike, x, y))
+    if isinstance(x, str) and isinstance(y, str):
+        return x.split() == y.split()
+    return type(x) is type(y) and x == y
+
+
 def agree(a: str, b: str) -> bool | None:
-    """Whether two answers say the same; None where either can't be read."""
+    """Whether two answers say the same, numbers within APART at any depth; None where either can't be read."""
     try:
-        x, y = json.loads(a), json.loads(b)
-    except (TypeError, ValueError):
+        return _alike(read_answer(a), read_answer(b))
+    except ValueError:
         return None
-    close = lambda p, q: abs(p - q) <= 0.01 if isinstance(p, (int, float)) and isinstance(q, (int, float)) else p == q
-    if isinstance(x, dict) and isinstance(y, dict):
-        return x.keys() == y.keys() and all(close(x[k], y[k]) for k in x)
-    return close(x, y)
 
 
 def record_errors(record: dict) -> list[str]:

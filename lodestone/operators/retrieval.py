@@ -45,6 +45,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "chunk_id", tex
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))).filter(F.col("rank") <= k)
 
 
+def containing(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, phrase: str) -> DataFrame:
+    """(item, doc) of texts that contain an item's phrase, letter by letter.
+
+    Only texts with the phrase's rarest inner word are searched for it; a phrase's first and last words may be parts of
+    a text's words. Phrases of fewer than three words have no inner one: they meet all texts, as a join without a key.
+    """
+    runs = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    wanted = items.filter(F.length(phrase) > 0).select(F.col(item), F.col(phrase).alias("_phrase"), runs(F.col(phrase)).alias("_t")).distinct()
+    inner = wanted.filter(F.size("_t") > 2).select(item, "_phrase", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("token"))
+    words = docs.select(doc, F.explode(F.array_distinct(runs(F.col(text)))).alias("token")).join(inner.select("token").distinct(), "token", "left_semi")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    # A word that no text has is the rarest: such a phrase is nowhere.
+    rarest = inner.join(df, "token", "left").groupBy(item, "_phrase").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    met = rarest.join(words, "token").join(docs.select(doc, F.col(text).alias("_text")), doc)
+    short = wanted.filter(F.size("_t") <= 2).select(item, "_phrase").join(docs.select(doc, F.col(text).alias("_text")), F.col("_text").contains(F.col("_phrase")))
+    return met.filter(F.col("_text").contains(F.col("_phrase"))).select(item, doc).unionByName(short.select(item, doc)).distinct()
+
+
 def entities(text: Column) -> Column:
     """Names of one to four capitalised words and a year, in lower case."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:[A-Z][a-z]+ ){1,4}(?:19|20)[0-9]{2})"), F.lit(1)), F.lower)))

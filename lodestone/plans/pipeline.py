@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import answers, constraints, retrieval
 from lodestone.plans import sql as sqls
+from lodestone.plans.parsed import operands
 from lodestone.sources import corpus, tables
 
 MAX_REPAIRS = 2
@@ -133,7 +134,7 @@ def answer(guard: sqls.Guarded, generator: Generator, plan: dict, hint: str, lab
         if not problem:
             record.status, record.final_answer, record.sql, record.n_rows = "answered", value, statement, len(result.rows)
             record.tables, record.chunks = sqls.footprint(spark, statement), list(plan.get("used_chunks") or [])
-            record.expected = record.tables
+            record.expected = sorted({*record.tables, *_needed(spark, plan)})
             record.choices = sqls.open_choices(spark, statement, plan["question"], plan["constraints"])
             windows = plan.get("windows") or []
             record.figures = {
@@ -149,6 +150,16 @@ def answer(guard: sqls.Guarded, generator: Generator, plan: dict, hint: str, lab
         feedback = problem
 
 
+def _needed(spark: SparkSession, plan: dict) -> set[str]:
+    """The tables whose columns a plan's formulas need: those that alone have an operand."""
+    owners: dict[str, set[str]] = {}
+    for t in TABLES:
+        for c in spark.table(t).columns:
+            owners.setdefault(c.lower(), set()).add(t)
+    named = {n.lower() for f in plan.get("formulas") or [] for n in operands(spark, f["expression"]) or []}
+    return {next(iter(owners[n])) for n in named if len(owners.get(n, ())) == 1}
+
+
 def shaped(result: sqls.Result, hint: str):
     """A result's rows as a value of the hint's type, by position; floats with two decimals."""
     cell = lambda v: round(float(v), 2) if not isinstance(v, (int, str, type(None))) else v
@@ -180,11 +191,13 @@ def packet(plan: dict, record: Record) -> dict[str, str]:
     })
 
 
-def run(spark: SparkSession, folder: str, generator: Generator = template_generator, hints: dict[str, str] = HINTS) -> DataFrame:
+def run(spark: SparkSession, folder: str, generator: Generator = template_generator, hints: dict[str, str] = HINTS, second: Callable[[Step], str] | None = None) -> DataFrame:
     """(qid, route, status, answer, tables, chunks, confidence, repairs, assumptions, review) of the registered questions.
 
     A batch of questions is small by nature: plans come to the driver, statements run as Spark jobs. Validation and the
-    confidence rubric then run over all records as DataFrames; an answer that fails a check goes to review.
+    confidence rubric then run over all records as DataFrames; an answer that fails a check goes to review: one of another
+    type, from a statement that leaves out a table that the plan's formulas need, with a chunk that neither retrieval nor the plan
+    had, or with a number from no rows. second, if given, is asked for an answer of its own, which lowers the confidence where it differs.
     """
     tables.register(spark, folder, TABLES)
     docs, questions = corpus.documents(spark), corpus.questions(spark)
@@ -199,6 +212,9 @@ def run(spark: SparkSession, folder: str, generator: Generator = template_genera
             r = answer(guard, generator, plan, hints[p["qid"]], labels)
         except Exception as e:  # one question's crash is its own review
             r = Record(p["qid"], review=f"crash: {type(e).__name__}")
+        if second and r.status == "answered":
+            same = answers.agree(json.dumps(r.final_answer), second(Step(plan["question"], hints[p["qid"]], plan["constraints"], r.repairs, "")))
+            r.figures |= {"no_opinion": int(same is None), "disagrees": int(same is False)}
         records.append((plan, r))
         about = [f"{c} and not {others}" for c, others in r.choices] + [f"{x['field']} as {x['expression']}" for x in plan["supplied"] or []]
         shown = sorted({*seen.get(r.qid, []), *plan["used_chunks"], *(f["chunk_id"] for f in plan["facts"] or [])})  # by retrieval, or in the plan

@@ -233,9 +233,8 @@ def recall_grid(spark, d):
     """How often BM25 over documents finds those that contain a benchmark item, by depth."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     hits = retrieval.bm25(docs, items, 5, "doc_id", "text", "item_id", "text").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("chunk_id"), "rank")
-    wanted = items.filter("text <> ''").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    # The benchmark is small; gold comes from all documents, not from hits.
-    gold = docs.join(F.broadcast(wanted), F.col("text").contains(F.col("item"))).select("qid", F.col("doc_id").alias("chunk_id")).distinct()
+    # Gold comes from all documents, not from hits.
+    gold = retrieval.containing(docs, items, "doc_id", "text", "item_id", "text").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("chunk_id"))
     return evaluation.recall_grid(gold, hits, [1, 2, 3, 5])
 
 

@@ -87,3 +87,12 @@ def test_failed_checks_go_to_review(spark):
     wrong = lambda step: "SELECT 'x' AS n FROM orders"
     got = {r["qid"]: r for r in pipeline.run(spark, "/root/testdata/sf0.001", wrong).collect()}
     assert got["q5"]["status"] == "needs_review" and got["q5"]["answer"] is None and got["q5"]["repairs"] == 2
+
+
+def test_tables_of_formulas_must_be_read(spark):
+    """A number of the right type that isn't computed from what the formula names fails validation; a second opinion lowers the confidence."""
+    made_up = lambda step: "SELECT 1.5 AS x FROM orders LIMIT 1" if "order value" in step.question else pipeline.template_generator(step)
+    second = lambda step: "45000" if "how many orders" in step.question.lower() else "no idea" if "suppliers" in step.question else "[1"
+    got = {r["qid"]: r for r in pipeline.run(spark, "/root/testdata/sf0.001", made_up, second=second).collect()}
+    assert got["q2"]["status"] == "needs_review" and got["q2"]["review"] == "failed: tables" and got["q2"]["answer"] is None
+    assert got["q5"]["confidence"] == 0.6 and got["q6"]["status"] == "answered"

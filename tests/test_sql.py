@@ -224,3 +224,14 @@ def test_equivalence(views):
     assert sql.equivalent(guard, "SELECT 1.004 AS x UNION ALL SELECT 2.0", "SELECT 2.009 AS x UNION ALL SELECT 1.0") and not sql.equivalent(guard, "SELECT 1.004 AS x", "SELECT 1.02 AS x")
     with pytest.raises(ValueError):
         sql.equivalent(guard, gold, "SELECT nothing")
+
+
+def test_glob_only_behind_the_operator(views):
+    run = lambda s: views.sql(sql.compatible(s)).collect()
+    assert run("SELECT 'a GLOB ''b''' AS x, 'c' GLOB  'C*' AS y, 'it''s' GLOB 'it''?' AS z, 'GLOB' AS g")[0][:] == ("a GLOB 'b'", False, True, "GLOB")
+
+
+def test_date_modifiers(views):
+    sql.install_dialect(views)
+    row = views.sql(sql.compatible("SELECT date('2017-03-31', '-1 month'), date('2017-03-31', 'start of month'), datetime('2017-03-31 10:00:00', '+36 hours'), strftime('%Y', '2017-12-31', '+1 day'), unixepoch('1970-01-01', '+2 days'), date('2017-03-31', 'nonsense'), date('x', '-1 day'), date('now', '-1 day') = date_sub(current_date(), 1), date('2016-02-29', '+1 year')")).first()
+    assert [str(x) for x in row] == ["2017-02-28", "2017-03-01", "2017-04-01 22:00:00", "2018", "172800", "None", "None", "True", "2017-02-28"]
