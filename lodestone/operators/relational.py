@@ -68,22 +68,27 @@ def lowest_group(spark, d):
 
 
 def revenue_topk_supplier(spark, d):
-    """Lines are summed by key and the five best kept before names are joined; every line's supplier exists (a foreign key)."""
+    """Lines are summed by key and the five best kept before names are joined; keys without a supplier don't count among the five."""
     li, s, n, r = _t(spark, d, "lineitem", "supplier", "nation", "region")
-    best = li.groupBy("l_suppkey").agg(amount(F.sum(_revenue())).alias("revenue")).orderBy(F.desc("revenue"), "l_suppkey").limit(5)
+    sums = li.groupBy("l_suppkey").agg(amount(F.sum(_revenue())).alias("revenue"))
+    best = sums.join(s.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi").orderBy(F.desc("revenue"), "l_suppkey").limit(5)
     named = s.join(F.broadcast(best), s.s_suppkey == best.l_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)  # five rows
     return named.select("s_suppkey", F.col("s_name").alias("supplier"), F.col("r_name").alias("region"), "revenue").orderBy(F.desc("revenue"), "s_suppkey")
 
 
 def topk_customer_grain(spark, d):
-    """The three best customers by key; names are joined last."""
+    """The three best customers by key; names are joined last, keys without a customer don't count."""
     o, c, li = _t(spark, d, "orders", "customer", "lineitem")
     per_order = li.groupBy("l_orderkey").agg(F.sum(_revenue()).alias("revenue"))
     per_customer = per_order.join(o, per_order.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(amount(F.sum("revenue")).alias("revenue"))
-    best = per_customer.orderBy(F.desc("revenue"), "o_custkey").limit(3)
+    best = per_customer.join(_keys(c), "o_custkey", "left_semi").orderBy(F.desc("revenue"), "o_custkey").limit(3)
     return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "revenue").orderBy(F.desc("revenue"), "c_custkey")  # three rows
 
 
+def _keys(customers):
+    return customers.select(F.col("c_custkey").alias("o_custkey"))
+
+
 def _window_lines(spark, d):
     li, o = _t(spark, d, "lineitem", "orders")
     return li.join(o.filter(_in_window()), li.l_orderkey == o.o_orderkey)
@@ -104,8 +109,9 @@ def aov_legacy(spark, d):
 
 def margin_topk(spark, d):
     cost = cents(F.col("l_extendedprice")) * 70  # 0.7 of the price, in ten-thousandths
-    best = _window_lines(spark, d).groupBy("o_custkey").agg(amount(F.sum(_revenue() - cost)).alias("margin")).orderBy(F.desc("margin"), "o_custkey").limit(1)
     c = table(spark, d, "customer")
+    sums = _window_lines(spark, d).groupBy("o_custkey").agg(amount(F.sum(_revenue() - cost)).alias("margin"))
+    best = sums.join(_keys(c), "o_custkey", "left_semi").orderBy(F.desc("margin"), "o_custkey").limit(1)
     return c.join(F.broadcast(best), best.o_custkey == c.c_custkey).select("c_custkey", F.col("c_name").alias("customer"), "margin")  # one row
 
 
