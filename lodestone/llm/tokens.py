@@ -36,6 +36,7 @@ from lodestone.llm.common import new_path
 
 _INDEX = "shard long, ids string, off string, doc string, n_docs long, n_null long, n_ids long"
 _RUN = re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Words that a worker remembers, besides those of the texts at hand.
@@ -76,12 +77,33 @@ class Encoder:
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.cuts = _cuts_at_spaces(vocabulary)
         self.known: dict[str, bytes] = {}
+        #: By id, whether a token begins with a space, which byte-level vocabularies write as U+0120.
+        self.begins = np.zeros(0, bool)
+        if self.cuts:
+            words = self.tokenizer.get_vocab()
+            self.begins = np.zeros(max(words.values(), default=0) + 1, bool)
+            self.begins[[i for w, i in words.items() if w.startswith("\u0120")]] = True
 
     def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 10_000):
             for e in self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False):
                 yield array(self.code, e.ids).tobytes()
 
+    def _of_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word, none of which has white space, behind a space. They are encoded as one text, in which a
+        token that begins with a space begins a word; should there be more or fewer of these, one by one."""
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            text = " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(some):
+                yield from self._encoded([" " + w for w in some])
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            ends = [*(starts * width).tolist(), len(raw)]
+            yield from (raw[a:b] for a, b in itertools.pairwise(ends))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [b + self.end for b in self._encoded(texts)]
@@ -90,8 +112,11 @@ class Encoder:
             parts = _CUT.split(t) if _has_run(t) else t.split(" ")
             cut.append(parts)
             words.update(parts)
-        missing = list(words.difference(known))
-        known.update(zip(missing, self._encoded([" " + w for w in missing]), strict=True))
+        missing = words.difference(known)
+        odd = [w for w in missing if not w or _SPACE.search(w)]
+        plain = list(missing.difference(odd))
+        known.update(zip(plain, self._of_words(plain), strict=True))
+        known.update(zip(odd, self._encoded([" " + w for w in odd]), strict=True))
         found = [first + b"".join(map(known.__getitem__, parts[1:])) + self.end for first, parts in zip(self._encoded([p[0] for p in cut]), cut, strict=True)]
         if len(known) > CACHE:  # the words of the last texts stay; frequent ones are among them
             self.known = {w: known[w] for w in words} if len(words) <= CACHE // 2 else {}
