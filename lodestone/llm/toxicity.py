@@ -4,7 +4,9 @@ Positives are documents that labels confirm as toxic; everything else is unlabel
 classifier in numpy minimises the class-prior-corrected risk: pi * R(positives as 1) + max(0, R(unlabelled as 0) -
 pi * R(positives as 0)), pi the share of toxic documents. Where the second term turns negative, a step is made
 against it, as the non-negative estimator asks. Inputs are counts of words and word beginnings; those kept are the
-ones whose document frequencies among positives and among unlabelled text differ most.
+ones whose document frequencies among positives and among unlabelled text differ most, of those that four positives or
+more have and that are more than twice as frequent among positives: with fewer than four positives in the sample no input is
+left and every score is the class prior.
 
 Scale: fitting sees a bounded sample, `positives` and `unlabelled` documents in order of a hash of their ids; features
 are counted in Spark, at most `features` of them are kept. Every whole text is scored in one pass without a shuffle.
