@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import jaccard, question_words
+from lodestone.functions.columns import question_words
 from lodestone.functions.matching import ROUNDING, matchable
 from lodestone.operators.retrieval import similar_questions
 
@@ -118,34 +119,79 @@ def leakage(train: DataFrame, test: DataFrame, least: float = 0.85) -> DataFrame
     return ids.unionByName(pairs).distinct()
 
 
+#: Words of texts that one task of closest() compares with each other, of either side, and parts of train at least.
+WORDS, PARTS = 2_000_000, 16
+#: The most frequent words of a task's texts are compared as bits of so many 64-bit numbers.
+MASKS = 2
+
+
+def _encoded(texts: pd.Series, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) of texts of distinct words; the word is -1 if it has no number."""
+    words = [t.split(" ") for t in texts]
+    flat = np.fromiter((ids.get(w, -1) for ws in words for w in ws), np.int64)
+    return np.repeat(np.arange(len(words)), [len(ws) for ws in words]), flat
+
+
+def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows (key, words, n: their number, of_train) -> (a, b, shared, united): for each row of train that shares a word with any, the best
+    others of this group, the smallest key for each overlap; what rounding to six digits may make equal to the best is among them."""
+    a, b = pdf[pdf["of_train"]].reset_index(drop=True), pdf[~pdf["of_train"]].sort_values("key", ignore_index=True)
+    ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in b["words"] for w in t.split(" ")))}
+    row, word = _encoded(b["words"], ids)
+    frequent = np.argsort(-np.bincount(word, minlength=len(ids)), kind="stable")[: 64 * MASKS]
+    bit = np.full(len(ids) + 1, -1)  # the last is for words without a number
+    bit[frequent] = np.arange(len(frequent))
+
+    def masks(n: int, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.zeros((MASKS, n), np.uint64)
+        some = bit[word] >= 0
+        np.bitwise_or.at(out, (bit[word[some]] // 64, row[some]), np.uint64(1) << (bit[word[some]] % 64).astype(np.uint64))
+        return out
+
+    mine, (a_row, a_word) = masks(len(b), row, word), _encoded(a["words"], ids)
+    theirs = masks(len(a), a_row, a_word)
+    order = np.argsort(word, kind="stable")
+    postings, ends = row[order], np.cumsum(np.bincount(word, minlength=len(ids)))
+    rare = (a_word >= 0) & (bit[a_word] < 0)
+    a_row, a_word = a_row[rare], a_word[rare]
+    cuts, sizes, found = np.searchsorted(a_row, np.arange(len(a) + 1)), b["n"].to_numpy("i8"), [np.empty((4, 0), np.int64)]
+    for i, n in enumerate(a["n"]):
+        shared = np.bitwise_count(mine & theirs[:, i, None]).sum(0, dtype=np.int64)
+        for w in a_word[cuts[i] : cuts[i + 1]]:  # a text has a word once, so that no place comes twice
+            shared[postings[ends[w - 1] if w else 0 : ends[w]]] += 1
+        overlap = shared / (sizes + n - shared)
+        most = overlap.max(initial=0)
+        if most > 0:
+            near = np.flatnonzero(overlap >= most - 1.1e-6)
+            near = near[np.unique(overlap[near], return_index=True)[1]]  # in order of keys
+            found.append(np.stack([np.full(len(near), i), near, shared[near], sizes[near] + n - shared[near]]))
+    i, j, shared, united = np.concatenate(found, axis=1)
+    return pd.DataFrame({"a": a["key"].to_numpy()[i], "b": b["key"].to_numpy()[j], "shared": shared, "united": united})
+
+
 def closest(train: DataFrame, test: DataFrame, key: str = "qid", text: str = "question") -> DataFrame:
     """(train_id, test_id, overlap): each training question's nearest test question by overlap of words, ties by the
     smallest id; with overlap 0 where no word is shared, and no row at all where test is empty. Texts with the same words are compared once.
 
-    An exact search without a threshold, by two prefix filters. Test questions that share one of a question's two rarest
-    words give it a lower bound of its best overlap. An overlap as large needs a shared word among all but as many of
-    its rarest words; only test questions with one of those are compared. The better the bound, the fewer and rarer
-    these words; common words are met only by questions that have little else in common with any.
+    An exact search without a threshold. The best overlap of unlike texts rests on words that very many have, so that nearly all
+    pairs must be looked at: work grows with texts of train times texts of test. Both sides are dealt into parts of at most about WORDS
+    words; every part meets every other in a task of its own, which returns each question's best of that part. No pair is
+    shuffled or written, and a task's memory doesn't grow with the input.
     """
-    named = train.select(F.col(key).alias("train_id"), question_words(F.col(text)).alias("w"))
-    a = named.groupBy("w").agg(F.min("train_id").alias("a"))
-    b = test.select(F.col(key).alias("b"), question_words(F.col(text)).alias("v")).groupBy("v").agg(F.min("b").alias("b"))
-    index = b.select("b", F.explode("v").alias("word"))
-    rarity = index.groupBy("word").agg(F.count("*").alias("n"))
-    # Words that no test question has can't be shared, so that they don't count among the rarest.
-    known = a.select("a", "w", F.explode("w").alias("word")).join(rarity, "word")
-    of_a = Window.partitionBy("a")
-    known = known.select("a", "w", "word", F.row_number().over(of_a.orderBy("n", "word")).alias("place"), F.count("*").over(of_a).alias("known"))
-
-    def met(words: DataFrame) -> DataFrame:
-        pairs = words.join(index, "word").select("a", "b").distinct().join(a, "a").join(b, "b")
-        return pairs.select("a", "b", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("overlap"))
-
-    bound = met(known.filter("place <= 2")).groupBy("a").agg(F.max("overlap").alias("least"))
-    # What rounding may add is taken off.
-    shared = F.ceil((F.coalesce("least", F.lit(0.0)) - 1e-6) * F.size("w"))
-    wide = met(known.join(bound, "a", "left").filter(F.col("place") <= F.col("known") - F.greatest(shared, F.lit(1)) + 1))
-    best = wide.groupBy("a").agg(F.max("overlap").alias("overlap"), F.min_by("b", F.struct(-F.col("overlap"), F.col("b"))).alias("test_id"))
+    named = train.select(F.col(key).alias("train_id"), F.array_join(question_words(F.col(text)), " ").alias("words"))
+    a = named.groupBy("words").agg(F.min("train_id").alias("key"))
+    b = test.select(F.col(key).alias("key"), F.array_join(question_words(F.col(text)), " ").alias("words")).groupBy("words").agg(F.min("key").alias("key"))
+    count = F.size(F.split("words", " ")).cast("long").alias("n")
+    a, b = (x.filter("words <> ''").select("key", "words", count) for x in (a, b))
+    parts = lambda x: -(-(x.agg(F.sum("n")).first()[0] or 0) // WORDS) or 1
+    of_a, of_b = max(PARTS, parts(a)), parts(b)
+    own, every = lambda n: F.pmod(F.xxhash64("words"), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = a.select("*", F.lit(True).alias("of_train"), own(of_a).cast("int").alias("i"), every(of_b).alias("j")).unionByName(b.select("*", F.lit(False).alias("of_train"), every(of_a).alias("i"), own(of_b).cast("int").alias("j")))
+    kind = dealt.schema["key"].dataType.simpleString()
+    # A fixed number of partitions isn't merged into few: the work lies in the pairs, not in the bytes.
+    met = dealt.repartition(4 * of_a * of_b, "i", "j").groupBy("i", "j").applyInPandas(_nearest, f"a {kind}, b {kind}, shared long, united long")
+    pairs = met.select("a", "b", F.round(F.col("shared") / F.col("united"), 6).alias("overlap"))
+    best = pairs.groupBy("a").agg(F.max("overlap").alias("overlap"), F.min_by("b", F.struct(-F.col("overlap"), F.col("b"))).alias("test_id"))
     first = test.agg(F.min(key).alias("first")).filter("first IS NOT NULL")  # one row
-    rows = named.join(a, "w").join(best, "a", "left").crossJoin(F.broadcast(first))
+    rows = named.join(a.select("words", F.col("key").alias("a")), "words", "left").join(best, "a", "left").crossJoin(F.broadcast(first))
     return rows.select("train_id", F.coalesce("test_id", "first").alias("test_id"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))

@@ -83,3 +83,23 @@ def test_nearest_question_without_a_threshold(spark):
         want[i] = (best[1], -best[0] or 0.0)
     assert {r["train_id"]: (r["test_id"], r["overlap"]) for r in evaluation.closest(f(train), f(test)).collect()} == want
     assert evaluation.closest(f(train), f(test).limit(0)).count() == 0 and evaluation.closest(f(train).limit(0), f(test)).count() == 0
+
+
+def test_nearest_question_in_parts(spark, monkeypatch):
+    """Parts of few words, more words than bits, ties and copies; no pair of texts is joined or shuffled."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(150)]
+    draw = lambda p, n: [(f"{p}{i}", " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(150)], k=rng.randrange(1, 30)))) for i in range(n)]
+    train, test = draw("t", 80), draw("e", 90)
+    train, test = [*train, *[("u" + i, t) for i, t in train[:9]], ("v", "nobody else")], [*test, *[("d" + i, t) for i, t in test[:9]]]
+    for name, value in (("WORDS", 200), ("PARTS", 3), ("MASKS", 1)):
+        monkeypatch.setattr(evaluation, name, value)
+    f = lambda rows: spark.createDataFrame(rows, "qid string, question string")
+    want = {}
+    for i, x in train:
+        x = set(x.split())
+        best = min((-round(len(x & set(y.split())) / len(x | set(y.split())), 6), j) for j, y in test)
+        want[i] = (best[1], -best[0] or 0.0)
+    df = evaluation.closest(f(train), f(test))
+    assert {r["train_id"]: (r["test_id"], r["overlap"]) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert all("sequence" in line for line in plan.split("\n") if "Generate" in line)  # texts are copied by part, not by word
