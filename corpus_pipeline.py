@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, exact Jaccard of 0.8 or more): that with the smallest doc_id."""
+    """One document of each group of near-duplicates (SimHash blocks and MinHash bands, then five-word shingles' exact Jaccard of 0.8 or more): that with the smallest doc_id."""
     delete(spark, _written)
     with noting(_written):
         return overlap.one_of_each(docs, least=0.8, shingle=5)

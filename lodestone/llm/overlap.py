@@ -1,4 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, with MinHash bands to find candidates.
+"""Near-duplicates: SimHash and MinHash bands find candidates, the exact Jaccard similarity of word shingles decides.
+
+SimHash is that of `simhash.py`: fingerprints cut into blocks, joined on choices of blocks, pairs within four bits, components
+of these. The members of such a component meet under a key of their own, as those of a band do. Fingerprints of texts that are alike by 0.8 often
+differ in more bits (about half of the pairs of 0.8 and more were within six), so MinHash bands find the others.
 
 A text is the set of its five-word shingles, as 32-bit hashes (chance meetings of two hashes shift a similarity by less
 than 1e-4 in texts of up to 400,000 words). BANDS keys of ROWS minima each meet two texts of similarity s with
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import ascii_lower, saved, split_words
 from lodestone.llm.components import connected_components
+from lodestone.llm.simhash import fingerprints, linked_components
 
 SEED, BANDS, ROWS = 42, 32, 8
 #: Bytes of sets in a chunk, and numbers that are compared with a set at once.
@@ -195,11 +200,21 @@ def _links_by_key(shared: DataFrame, sets: DataFrame, least: float, chunk: int)
     return star.unionByName(groups.repartition("g").sortWithinPartitions("g").mapInPandas(partial(_link_rest, least=least), "a long, b long"))
 
 
-def linked_sets(table: DataFrame, least: float, chunk: int = 512) -> DataFrame:
-    """table (row, fp, keys, hashes), row unique -> (node, root) over names of sets that link to some other, roots left out."""
+def simhash_keys(prints: DataFrame) -> DataFrame:
+    """prints (fp: name of a set, print: SimHash fingerprint of a text that has it) -> (fp, g): a key for each component of fingerprints within four bits."""
+    prints = saved(prints.distinct(), "prints")
+    roots = saved(linked_components(prints.select(F.col("print").alias("fp"))), "print-roots")
+    named = prints.join(roots.hint("merge"), prints["print"] == roots["node"], "left")
+    return named.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("root", "print")).alias("g")).distinct()
+
+
+def linked_sets(table: DataFrame, least: float, chunk: int = 512, more: DataFrame | None = None) -> DataFrame:
+    """table (row, fp, keys, hashes), row unique -> (node, root) over names of sets that link to some other, roots left out.
+    more (fp, g): further keys of sets."""
     # One row stands for its set; found by names alone, so that very many copies meet in partial minima only.
     chosen = saved(table.groupBy("fp").agg(F.min("row").alias("row"), F.max(F.octet_length("hashes")).cast("long").alias("size")), "chosen")
-    keyed = saved(table.select("row", "keys").join(chosen.hint("merge"), "row").select("fp", F.explode("keys").alias("g")), "keyed")
+    keyed = table.select("row", "keys").join(chosen.hint("merge"), "row").select("fp", F.explode("keys").alias("g"))
+    keyed = saved(keyed if more is None else keyed.unionByName(more), "keyed")
     met = saved(keyed.groupBy("g").agg(F.min("fp").alias("m"), F.count("*").alias("n")).filter("n > 1").drop("n"), "met")
     candidates = saved(connected_components(keyed.join(met.hint("merge"), "g").filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))), "candidates")
     members = candidates.select(F.col("node").alias("fp"), "root").unionByName(candidates.select(F.col("root").alias("fp"), "root").distinct())
@@ -224,9 +239,9 @@ def one_of_each(docs: DataFrame, least: float = 0.8, shingle: int = 5, doc_id: s
     hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
     own = ["_lodestone_o_a", "_lodestone_o_b"]
     keyed = docs.withColumns({own[0]: F.xxhash64(*hashed), own[1]: F.xxhash64(F.lit(1), *hashed)})
-    narrow = keyed.select(F.col(own[0]).alias("a"), F.col(own[1]).alias("b"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), sketches(F.col(f"`{text}`"), shingle).alias("s"))
-    table = saved(narrow.select(F.monotonically_increasing_id().alias("row"), "a", "b", "doc_id", "s.*"), "sketches")
-    roots = saved(linked_sets(table.select("row", "fp", "keys", "hashes"), least), "roots")
+    narrow = keyed.select(F.col(own[0]).alias("a"), F.col(own[1]).alias("b"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), sketches(F.col(f"`{text}`"), shingle).alias("s"), fingerprints(F.col(f"`{text}`")).alias("print"))
+    table = saved(narrow.select(F.monotonically_increasing_id().alias("row"), "a", "b", "doc_id", "s.*", "print"), "sketches")
+    roots = saved(linked_sets(table.select("row", "fp", "keys", "hashes"), least, more=simhash_keys(table.select("fp", "print"))), "roots")
     members = table.select("a", "b", "doc_id", "fp").join(roots, table["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("m"))
     kept = saved(best.select(F.col("m.a").alias(own[0]), F.col("m.b").alias(own[1])), "kept")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import overlap
+from lodestone.llm import overlap, simhash
 from tests.llm.helpers import edges, empty, lower, table, words
 
 
@@ -120,3 +120,16 @@ def test_edges(spark):
     assert kept.columns == edges(spark).columns
     assert [r["doc_id"] for r in kept.filter("text like 'same%'").collect()] == [4]
     assert overlap.one_of_each(empty(spark)).count() == 0
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    """Without MinHash keys, pairs within four bits are found if their Jaccard similarity holds, and only those."""
+    pairs, real = near_copies(spark), overlap.sketches
+    pairs = [(a, b) for a, b, _ in pairs if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4]
+    same, other = ("a b c " * 100 + " ".join(f"{p}{i}" for i in range(60)) for p in "xy")
+    assert (simhash.fingerprint(same) ^ simhash.fingerprint(other)).bit_count() <= 4 and jaccard(same, other) < 0.8
+    pairs.append((same, other))
+    docs = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    monkeypatch.setattr(overlap, "sketches", lambda text, shingle: real(text, shingle).withField("keys", F.array().cast("array<long>")))
+    kept = {r["doc_id"] for r in overlap.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(pairs) > 20 and not kept & {2 * i + 1 for i in range(len(pairs) - 1)} and kept >= {2 * len(pairs) - 2, 2 * len(pairs) - 1}
