@@ -79,3 +79,15 @@ def test_a_run_leaves_other_results_alone(spark):
     docs = spark.createDataFrame(first.collect(), first.schema)
     corpus_pipeline.distinct(spark, docs, "").count()  # deletes what the first stage wrote, nothing else
     assert unread.count() == table(spark).count()
+
+
+def test_texts_travel_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for before, after in ((10000, 1000), (0, 1000), (7, 7)):
+            spark.conf.set(name, before)
+            for _, stage in corpus_pipeline.STAGES[3:]:
+                stage(spark, empty(spark), "")
+                assert int(spark.conf.get(name)) == after
+    finally:
+        spark.conf.unset(name)
