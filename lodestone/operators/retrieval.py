@@ -26,22 +26,50 @@ def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+#: Rows up to which a small side of a join (keys with several rows, tokens of queries) is sent to every task.
+SENT = 1_000_000
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SENT else df
+
+
+def _whole_texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """docs with one row for a key: the texts of a key that has several rows, null too, are joined by spaces. Only these are shuffled."""
+    docs = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    twice = docs.groupBy("_doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_doc").alias("_twice"))
+    n = twice.limit(SENT + 1).count()
+    if not n:
+        return docs
+    same, twice = F.col("_doc").eqNullSafe(F.col("_twice")), _sent(twice, n)
+    joined = docs.join(twice, same, "left_semi").groupBy("_doc").agg(F.concat_ws(" ", F.collect_list("_text")).alias("_text"))
+    return docs.join(twice, same, "left_anti").unionByName(joined)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "chunk_id", text: str = "content", query: str = "qid", question: str = "question") -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query with a score above zero, ties by document.
 
     A token of a query counts as often as it occurs there. Tokens in over half of the documents get EPSILON times the
-    mean idf. Only documents' counts of query tokens meet the queries; lengths are sums of the same counts.
+    mean idf.
+
+    Texts are cut into tokens twice, where they lie: once to count documents by token, once for the tokens that queries have. Of
+    the former a row per token and task is shuffled, of the latter a row per document and token, to lie by document. There
+    they meet the queries, so that neither these pairs nor scores are shuffled, but a task's k best for each query.
     """
-    counts = token_counts(docs, doc, text)
-    lengths = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
-    whole = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(lengths.agg(F.sum("dl").alias("words")))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(whole)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
+    texts = _whole_texts(docs, doc, text).select("_doc", tokens(F.col("_text")).alias("_t")).select("_doc", "_t", F.size("_t").alias("dl"))
+    per = texts.select(F.explode(F.array_distinct("_t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    whole = n.crossJoin(F.broadcast(texts.agg(F.sum("dl").alias("words")))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
+    idf = per.crossJoin(F.broadcast(n)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
     floor = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
     wanted = token_counts(queries, query, question).withColumnRenamed("tf", "qtf")
-    scored = counts.join(wanted.select("token").distinct(), "token", "left_semi").join(idf, "token").join(lengths, doc).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(floor))
-    part = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.select("token", doc, part.alias("part")).join(wanted, "token").groupBy(query, doc).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score")).filter("score > 0")
+    rows = wanted.limit(SENT + 1).count()
+    found = texts.filter(F.col("_doc").isNotNull()).select("_doc", "dl", F.explode("_t").alias("token")).join(_sent(wanted.select("token").distinct(), rows), "token", "left_semi")
+    found = found.groupBy("_doc", "dl", "token").agg(F.count("*").alias("tf")).repartition("_doc")
+    weighed = wanted.join(idf, "token").crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(whole))
+    weighed = weighed.select("token", query, "avgdl", (F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")) * F.col("qtf")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = found.join(_sent(weighed, rows), "token").groupBy("_doc", query).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0").select(query, F.col("_doc").alias(doc), "score")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))).filter(F.col("rank") <= k)
 
 
