@@ -42,13 +42,17 @@ def ranking(df: DataFrame) -> DataFrame:
 
 def recall_grid(gold: DataFrame, hits: DataFrame, ks: list[int]) -> DataFrame:
     """gold (qid, chunk_id), hits (qid, chunk_id, rank) -> (k, recall, mean_chunks): found gold over all gold at each k."""
-    grid = gold.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    at_k = hits.join(F.broadcast(grid), F.col("rank") <= F.col("k"))
-    found = gold.join(at_k, ["qid", "chunk_id"]).groupBy("k").agg(F.count("*").alias("found"))
-    total = gold.agg(F.count("*").alias("total"), F.count_distinct("qid").alias("questions"))
-    size = at_k.groupBy("k").agg(F.count("*").alias("chunks"))
-    rows = size.join(found, "k", "left").crossJoin(F.broadcast(total))  # one row
-    return rows.select("k", F.round(F.coalesce("found", F.lit(0)) / F.col("total"), 6).alias("recall"), F.round(F.col("chunks") / F.col("questions"), 6).alias("mean_chunks"))
+    # Both sides are read once: all counts come from one join of pairs.
+    key = ["qid", "chunk_id"]
+    pairs = gold.groupBy(*key).agg(F.count("*").alias("n")).join(hits.groupBy(*key).agg(F.collect_list("rank").alias("ranks")), key, "full")
+    upto = lambda k: F.coalesce(F.size(F.filter("ranks", lambda r: r <= k)), F.lit(0))
+    n = F.coalesce("n", F.lit(0))
+    totals = pairs.agg(
+        F.sum(n).alias("total"), F.count_distinct(F.when(F.col("n").isNotNull(), F.col("qid"))).alias("questions"),
+        F.array(*(F.struct(F.lit(k).alias("k"), F.sum(F.when(F.col("ranks").isNotNull(), upto(k))).alias("chunks"), F.sum(F.when(F.col("ranks").isNotNull(), n * upto(k))).alias("found")) for k in ks)).alias("at"),
+    )
+    rows = totals.select("total", "questions", F.inline("at")).filter("chunks > 0")
+    return rows.select("k", F.round(F.col("found") / F.col("total"), 6).alias("recall"), F.round(F.col("chunks") / F.col("questions"), 6).alias("mean_chunks"))
 
 
 _NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
